@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import hilbert, licenses, simhash
+from . import boosting, decision_list, hilbert, licenses, simhash
 
 QUERIES = {
     "op1_simhash_multi_index": simhash.op1_simhash_multi_index,
+    "op3_decision_list": decision_list.op3_decision_list,
     "op4_hilbert_sharding": hilbert.op4_hilbert_sharding,
     "op9_license_digests": licenses.op9_license_digests,
+    "op10_boosted_quality": boosting.op10_boosted_quality,
 }
 ORACLE_SQL = {
     "op9_license_digests": licenses.ORACLE_SQL,
