@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import boosting, decision_list, hilbert, langmix, licenses, simhash
+from . import boosting, decision_list, hilbert, langmix, licenses, sentencepieces, simhash
 
 QUERIES = {
     "op1_simhash_multi_index": simhash.op1_simhash_multi_index,
     "op3_decision_list": decision_list.op3_decision_list,
     "op4_hilbert_sharding": hilbert.op4_hilbert_sharding,
+    "op5_sentencepiece": sentencepieces.op5_sentencepiece,
     "op6_language_mixture": langmix.op6_language_mixture,
     "op9_license_digests": licenses.op9_license_digests,
     "op10_boosted_quality": boosting.op10_boosted_quality,
