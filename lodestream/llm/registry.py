@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import boosting, decision_list, hilbert, langmix, licenses, linechunks, sentencepieces, simhash
+from . import boosting, decision_list, decontaminate, hilbert, langmix, licenses, linechunks, sentencepieces, simhash
 
 QUERIES = {
     "op1_simhash_multi_index": simhash.op1_simhash_multi_index,
+    "op2_qgram_decontamination": decontaminate.op2_qgram_decontamination,
     "op3_decision_list": decision_list.op3_decision_list,
     "op4_hilbert_sharding": hilbert.op4_hilbert_sharding,
     "op5_sentencepiece": sentencepieces.op5_sentencepiece,
