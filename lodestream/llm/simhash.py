@@ -68,7 +68,8 @@ def links(nodes: DataFrame) -> DataFrame:
     parts = nodes.select("fp", F.inline(segments))
     flips = F.array(F.lit(0).cast("bigint"), *(F.lit(1 << k).cast("bigint") for k in range(32)))
     probes = parts.select(F.col("fp").alias("a"), "part", "value", F.explode(flips).alias("flip")).select("a", "part", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
-    found = probes.join(parts.withColumnRenamed("fp", "b"), ["part", "value"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS))
+    # the planner does not see that a generator multiplies rows and might broadcast either side
+    found = probes.join(parts.withColumnRenamed("fp", "b").hint("merge"), ["part", "value"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS))
     return found.select("a", "b").distinct()
 
 
