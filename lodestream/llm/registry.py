@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import boosting, decision_list, decontaminate, hilbert, langmix, licenses, linechunks, sentencepieces, simhash
+from . import boosting, decision_list, decontaminate, hilbert, hmm, langmix, licenses, linechunks, sentencepieces, simhash
 
 QUERIES = {
     "op1_simhash_multi_index": simhash.op1_simhash_multi_index,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_hilbert_sharding": hilbert.op4_hilbert_sharding,
     "op5_sentencepiece": sentencepieces.op5_sentencepiece,
     "op6_language_mixture": langmix.op6_language_mixture,
+    "op7_hidden_markov": hmm.op7_hidden_markov,
     "op8_line_chunks": linechunks.op8_line_chunks,
     "op9_license_digests": licenses.op9_license_digests,
     "op10_boosted_quality": boosting.op10_boosted_quality,
