@@ -57,6 +57,14 @@ class Scratch:
         self.drop()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column has it (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def plain(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that other columns never clash with an operator's own names."""
     return docs.select(*(F.col(f"`{c}`").alias(c) for c in columns))

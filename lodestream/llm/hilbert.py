@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, plain, table
+from .common import Scratch, fresh, plain, table
 
 SHARDS = 40
 BITS = 8
@@ -101,8 +101,9 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id"
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, id_col: str = "doc_id", **columns: str) -> DataFrame:
     """Write whole documents (ids unique) into folders shard=k, in curve order; returns shard bounds for pruning."""
-    plan = hilbert_shards(docs, shards, id_col, **columns).select(F.col("doc_id").alias("_id"), "shard", "slot")
-    placed = docs.join(plan, docs[id_col].eqNullSafe(F.col("_id"))).drop("_id")
+    key = fresh(docs, "_id")
+    plan = hilbert_shards(docs, shards, id_col, **columns).select(F.col("doc_id").alias(key), "shard", "slot")
+    placed = docs.join(plan, F.col(f"`{id_col}`").eqNullSafe(F.col(key))).drop(key)
     placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     back = docs.sparkSession.read.parquet(path)
     kinds = {c: t for c, t in back.dtypes if t in ("string", "bigint", "int", "double", "timestamp") and c not in ("shard", "text")}

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, plain, table
+from .common import Scratch, fresh, plain, table
 
 WINDOW = 2
 DIVISOR = 2
@@ -103,44 +103,47 @@ def _cut(text: bytes, gone: list[dict]) -> bytes:
     return b"\n".join(kept + lines[at:])
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, mark: bool = False) -> DataFrame:
-    """``docs`` with repeated chunks of lines cut out of the text; ``mark`` adds _n_lines and _n_removed."""
-    own = scratch or Scratch(docs.sparkSession, "linechunks")
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: tuple[str, str] | None = None) -> DataFrame:
+    """``docs`` with repeated chunks of lines cut out of the text.
+
+    ``mark`` names two further columns: the lines a text had, and how many were removed.
+    """
+    key, doc, ranges = fresh(docs, "_key"), fresh(docs, "_doc"), fresh(docs, "_ranges")
+    scratch = Scratch(docs.sparkSession, "linechunks")
     try:
-        gone = own.keep(repeated_chunks(own, docs, id_col, text_col).withColumnRenamed("doc", "_doc").withColumnRenamed("gone", "_gone"))
+        gone = scratch.keep(repeated_chunks(scratch, docs, id_col, text_col).withColumnsRenamed({"doc": doc, "gone": ranges}))
     finally:
-        if scratch is None:
-            own.close()
+        scratch.close()
     names = docs.columns
-    at = names.index(text_col)
-    marked = {"_n_lines": "bigint", "_n_removed": "bigint"} if mark else {}
+    at, marks = names.index(text_col), list(mark or ())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t.as_buffer().to_pybytes() if t.is_valid else None for t in b.column(at)]
-            gone = b.column("_gone").to_pylist()
+            gone = b.column(len(names)).to_pylist()
             new = pa.array([_cut(t, g) if t is not None and g else t for t, g in zip(texts, gone, strict=True)], pa.binary()).cast(b.schema.field(at).type)
             columns = [*b.columns[:at], new, *b.columns[at + 1 : len(names)]]
-            if mark:
+            if marks:
                 columns.append(pa.array([t.count(b"\n") + 1 if t is not None else 0 for t in texts], pa.int64()))
                 columns.append(pa.array([sum(x["j"] - x["i"] for x in g) if t is not None and g else 0 for t, g in zip(texts, gone, strict=True)], pa.int64()))
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, *marked])
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, *marks])
 
-    key = F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(_LAST))
-    joined = docs.withColumn("_key", key).join(gone, F.col("_key") == F.col("_doc"), "left").select(*(F.col(f"`{c}`") for c in names), "_gone")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"{k} {v}" for k, v in marked.items())])
+    keyed = docs.withColumn(key, F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(_LAST)))
+    joined = keyed.join(gone, F.col(key) == F.col(doc), "left").select(*(F.col(f"`{c}`") for c in names), ranges)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"`{k}` bigint" for k in marks)])
     return joined.mapInArrow(cut, schema)
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``dedup_lines`` without the documents of which no word is left though they had some."""
-    done = dedup_lines(docs, id_col, text_col, mark=True)
+    had, lost = fresh(docs, "_had"), fresh(docs, "_lost")
+    done = dedup_lines(docs, id_col, text_col, mark=(had, lost))
     words = F.length(F.regexp_replace(F.col(f"`{text_col}`"), "[\\x20\\x09-\\x0D]+", "")) > 0
-    return done.where((F.col("_n_removed") == 0) | words).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return done.where((F.col(lost) == 0) | words).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = plain(table(spark, sf_dir, "documents"), "doc_id", "text")
-    done = dedup_lines(docs, mark=True)
+    done = dedup_lines(docs, mark=("n_lines", "n_removed"))
     crc = F.coalesce(F.crc32(F.encode("text", "utf-8")), F.lit(0)).cast("bigint")
-    return done.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("kept_bytes"), crc.alias("kept_crc32"))
+    return done.select("doc_id", "n_lines", "n_removed", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("kept_bytes"), crc.alias("kept_crc32"))

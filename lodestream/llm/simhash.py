@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, plain, table
+from .common import Scratch, fresh, plain, table
 from .components import components
 
 SEED = 42
@@ -102,8 +102,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows with a null id have no name to be kept under; they stay.
     """
     found = near_duplicates(docs, id_col, text_col)
-    firsts = found.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(firsts, docs[id_col] == F.col("_keep"), "left_semi").dropDuplicates([id_col])
+    name = fresh(docs, "_keep")
+    firsts = found.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(firsts, F.col(f"`{id_col}`") == F.col(name), "left_semi").dropDuplicates([id_col])
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
 
 
