@@ -166,6 +166,13 @@ class Codec:
         self.words = Tokenizer(self.whole.model)
         self.words.encode_special_tokens = True
         self.seen: dict[str, bytes] = {}
+        self.text_of = [self.piece_bytes(p, kind) for p, _, kind in self.model.pieces]
+
+    def piece_bytes(self, piece: str, kind: int) -> bytes | None:
+        """What a piece adds to a decoded text; None if only the library's decoder is to say."""
+        if kind == BYTE and self.model.byte_fallback:
+            return bytes([int(piece[1:-1], 16)])
+        return (piece.replace(SPACE, " ") if self.model.escape else piece).encode() if kind in (NORMAL, USER_DEFINED, UNUSED) else None
 
     def normalized(self, text: str) -> str:
         m = self.model
@@ -188,7 +195,15 @@ class Codec:
         return [np.frombuffer(b"".join([ids[w] for w in p]), "<i4") for p in parts]
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
-        return self.whole.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+        """Joined bytes of the pieces; ids of other pieces and broken UTF-8 go through the library's decoder."""
+        out = []
+        for x in ids:
+            try:
+                text = b"".join([self.text_of[k] for k in x.tolist()]).decode()
+                out.append(text[1:] if self.model.dummy_prefix and text[:1] == " " else text)
+            except (TypeError, UnicodeDecodeError):
+                out.append(self.whole.decode(x.tolist(), skip_special_tokens=False))
+        return out
 
     def restored(self, text: str) -> str:
         """What decoding must give: the normalised text without the marker."""

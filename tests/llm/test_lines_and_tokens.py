@@ -66,6 +66,15 @@ def test_parity_on_any_text(text):
     c = sentencepieces.codec(sentencepieces.MODEL, 1)
     ids = c.encode([text])
     assert ids[0].tolist() == c.reference.encode(text) and c.decode(ids) == [c.restored(text)]
+    assert c.decode(ids) == c.whole.decode_batch([ids[0].tolist()], skip_special_tokens=False)
+
+
+@needs_model
+def test_decoding_equals_the_library_on_any_ids():
+    c, rng = sentencepieces.codec(sentencepieces.MODEL, 1), np.random.default_rng(2)
+    for _ in range(300):
+        ids = rng.integers(0, 300 if rng.random() < 0.5 else len(c.model.pieces), rng.integers(0, 12)).astype(np.int32)
+        assert c.decode([ids]) == [c.whole.decode(ids.tolist(), skip_special_tokens=False)]
 
 
 @needs_model
