@@ -130,6 +130,7 @@ class Player:
             s["playing"] = int(kind == "play")
         elif kind == "stop":
             s.update(playing=0, frame=0, time_ms=0)
+            target = 0
         elif kind == "loop":
             s["loop"] = int(bool(e["value"]))
         elif kind == "seek":
