@@ -88,7 +88,7 @@ def repeated_chunks(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", t
     firsts = scratch.save(every.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc", "i")).alias("at")).where("n > 1").select("h", F.col("at.doc").alias("first_doc"), F.col("at.i").alias("first_i")), "firsts")
     again = every.join(firsts, "h").select("doc", F.struct("i", "j", "h", ((F.col("doc") == F.col("first_doc")) & (F.col("i") == F.col("first_i"))).alias("first")).alias("c"))
     by_doc = scratch.save(again.groupBy("doc").agg(F.collect_set("c").alias("found")), "by_doc")
-    bodies = scratch.save(narrow.join(by_doc, "doc").mapInArrow(_take, "doc bigint, i int, j int, h bigint, first boolean, body binary"), "bodies")
+    bodies = scratch.save(narrow.join(by_doc.hint("merge"), "doc").mapInArrow(_take, "doc bigint, i int, j int, h bigint, first boolean, body binary"), "bodies")
     kept = scratch.save(bodies.where("first").groupBy("h").agg(F.min("body").alias("kept")), "kept")
     same = bodies.where("not first").join(kept, "h").where("body = kept").select("doc", F.struct("i", "j").alias("c"))
     return same.groupBy("doc").agg(F.array_sort(F.collect_set("c")).alias("gone"))
@@ -129,7 +129,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays(columns, names=[*names, *marks])
 
     keyed = docs.withColumn(key, F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(_LAST)))
-    joined = keyed.join(gone, F.col(key) == F.col(doc), "left").select(*(F.col(f"`{c}`") for c in names), ranges)
+    joined = keyed.join(gone.hint("merge"), F.col(key) == F.col(doc), "left").select(*(F.col(f"`{c}`") for c in names), ranges)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"`{k}` bigint" for k in marks)])
     return joined.mapInArrow(cut, schema)
 
