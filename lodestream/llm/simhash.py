@@ -104,7 +104,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = near_duplicates(docs, id_col, text_col)
     name = fresh(docs, "_keep")
     firsts = found.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
-    kept = docs.join(firsts, F.col(f"`{id_col}`") == F.col(name), "left_semi").dropDuplicates([id_col])
+    kept = docs.join(firsts.hint("merge"), F.col(f"`{id_col}`") == F.col(name), "left_semi").dropDuplicates([id_col])
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
 
 
