@@ -122,8 +122,12 @@ def ratios() -> dict[str, Column]:
 def labelled_sample(stats: DataFrame, labels: DataFrame, label: str, most: int, columns: list[str]) -> DataFrame:
     """At most ``most`` labelled rows, those of lowest hash of the id: (columns..., label).
 
-    ``most`` bounds what reaches the driver, whatever the labels table holds.
+    ``most`` bounds what reaches the driver, whatever the labels table holds.  Only hashes in the
+    lower tail that should hold twice as many rows take part, so partitions do not each hand on
+    ``most`` rows.
     """
-    known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label")).where("_label in (0, 1)")
-    joined = stats.join(known, stats["doc_id"] == F.col("_id"))
-    return joined.withColumn("_at", F.xxhash64("doc_id")).orderBy("_at", "doc_id", "_label", *columns).limit(most).select(*columns, F.col("_label").alias("label"))
+    known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label")).where("_label in (0, 1)").withColumn("_at", F.xxhash64("_id"))
+    share = min(1.0, 2 * most / max(known.count(), 1))
+    tail = known.where(F.col("_at") <= -(2**63) + int(share * (2**64 - 1)))
+    joined = stats.join(tail, stats["doc_id"] == F.col("_id"))
+    return joined.orderBy("_at", "doc_id", "_label", *columns).limit(most).select(*columns, F.col("_label").alias("label"))
