@@ -6,15 +6,23 @@ They share nothing with the readers (not even the checksums), so round trips pro
 from __future__ import annotations
 
 import struct
+from functools import lru_cache
+
+
+@lru_cache(maxsize=1024)
+def _byte(value: int, poly: int, width: int) -> int:
+    """What one leading byte leaves behind, by shifting bit after bit."""
+    value <<= width - 8
+    for _ in range(8):
+        value = ((value << 1) ^ poly) if value & (1 << (width - 1)) else value << 1
+        value &= (1 << width) - 1
+    return value
 
 
 def _crc(data: bytes, poly: int, width: int) -> int:
-    value = 0
+    value, mask = 0, (1 << width) - 1
     for byte in data:
-        value ^= byte << (width - 8)
-        for _ in range(8):
-            value = ((value << 1) ^ poly) if value & (1 << (width - 1)) else value << 1
-            value &= (1 << width) - 1
+        value = (value << 8 & mask) ^ _byte(value >> (width - 8) ^ byte, poly, width)
     return value
 
 
