@@ -127,7 +127,7 @@ def labelled_sample(stats: DataFrame, labels: DataFrame, label: str, most: int,
     ``most`` rows.
     """
     known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label")).where("_label in (0, 1)").withColumn("_at", F.xxhash64("_id"))
-    share = min(1.0, 2 * most / max(known.count(), 1))
-    tail = known.where(F.col("_at") <= -(2**63) + int(share * (2**64 - 1)))
+    last = min(2**63 - 1, 2 * most * 2**64 // max(known.count(), 1) - 2**63)
+    tail = known.where(F.col("_at") <= F.lit(last).cast("bigint"))
     joined = stats.join(tail, stats["doc_id"] == F.col("_id"))
     return joined.orderBy("_at", "doc_id", "_label", *columns).limit(most).select(*columns, F.col("_label").alias("label"))
