@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codecs, samples, scalars
-from ..operators import machines, policy, replay, timeline
+from ..operators import machines, policy, replay, timeline, validity
 from ..sources import encode, media, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -516,3 +516,52 @@ def q40_latest_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest snapshot of each session by its revision."""
     c = table(spark, sf_dir, "conversations")
     return c.groupBy("conv_id").agg(F.max("turn").alias("revision"), F.max_by("role", "turn").alias("role"))
+
+
+@query("""
+WITH e AS (SELECT *, event_id % 9 AS a, event_id % 7 AS b, event_id % 5 AS c, event_id % 3 AS d, CAST(trunc(value) AS BIGINT) AS v FROM events)
+SELECT event_id, a <> 0 AND b <> 0 AND c <> 0 AND d <> 0 AS track_ok, v * 100000 BETWEEN 1 AND 16777216 AND a <> 0 AND v - 2 >= 0 AND b - 1 >= 0 AS packet_ok,
+v > 0 AND a * 5 BETWEEN 1 AND 32 AND b <> 0 AND c - 1 >= 0 AS audio_ok, a > 0 AND b > 0 AND v >= a * 4 AND d - 1 >= 0 AS video_ok,
+d = 1 AND v * 2000 BETWEEN 1 AND 384000 AND a * 5 BETWEEN 1 AND 32 AND b BETWEEN 1 AND 6 AND c = 0 AS pcm_ok, a <> 0 AND b <> 0 AND c BETWEEN 1 AND 4 AS lock_ok, a <> 0 AND b <> 0 AND d = 1 AS power_ok FROM e""")
+def q41_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, v = F.col("event_id"), F.col("value").cast("bigint")
+    a, b, c, d = (n % m for m in (9, 7, 5, 3))
+    return table(spark, sf_dir, "events").select(
+        "event_id", validity.track_ok(a, b, c, d).alias("track_ok"), validity.packet_ok(v * 100_000, a, v - 2, b - 1).alias("packet_ok"), validity.audio_frame_ok(v, a * 5, b, c - 1).alias("audio_ok"),
+        validity.video_frame_ok(a, b, v, d - 1).alias("video_ok"), validity.pcm_config_ok(d, v * 2000, a * 5, b, c).alias("pcm_ok"), validity.lock_request_ok(a, b, c).alias("lock_ok"),
+        validity.power_request_ok(a, b, d).alias("power_ok"),
+    )
+
+
+@query("""
+WITH s AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, conv_id % 3 AS playback, conv_id % 17 AS flags, turn * 100 AS position, conv_id % 4 * 150 AS duration, turn % 2 AS revision, role, text FROM conversations),
+t AS (SELECT *, playback IN (1, 2) AND flags BETWEEN 1 AND 15 AND (duration = 0 OR position <= duration) AND NOT regexp_matches(text, '[\\x00-\\x1f\\x7f]') AND strlen(text) < 128 AS ok FROM s)
+SELECT conv_id, turn, ok AND revision = 0 AS publisher_ok, ok AND revision <> 0 AS published_ok FROM t""")
+def q42_session_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, t = F.col("conv_id"), F.col("turn")
+    args = (c % 3, c % 17, t * 100, c % 4 * 150, t % 2, F.col("text"), F.col("role"), F.lit(""))
+    return longs(table(spark, sf_dir, "conversations").select("conv_id", "turn", validity.session_info_ok(*args, published=False).alias("publisher_ok"), validity.session_info_ok(*args, published=True).alias("published_ok")), "turn")
+
+
+@query("""
+WITH p AS (SELECT page_id, ['MJPG', 'jpeg', 'DIB ', 'RAW ', 'H264', 'mjpg'][CAST(page_id % 6 AS INT) + 1] AS code, CASE WHEN page_id % 2 = 0 THEN '' ELSE url END AS a, CASE WHEN page_id % 3 = 0 THEN '' ELSE html END AS b FROM pages)
+SELECT page_id, code, CASE WHEN upper(code) IN ('MJPG', 'JPEG') THEN 'mjpeg' WHEN code IN ('DIB ', 'RAW ') THEN 'raw' ELSE 'unknown' END AS codec,
+CASE WHEN length(a) > 0 AND strlen(a) <= 4096 THEN a WHEN length(b) > 0 AND strlen(b) <= 4096 THEN b ELSE '' END AS title FROM p""")
+def q43_codec_and_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("page_id")
+    code = F.element_at(F.array(*map(F.lit, ("MJPG", "jpeg", "DIB ", "RAW ", "H264", "mjpg"))), (n % 6 + 1).cast("int"))
+    df = table(spark, sf_dir, "pages").select("page_id", code.alias("code"), F.when(n % 2 == 0, "").otherwise(F.col("url")).alias("a"), F.when(n % 3 == 0, "").otherwise(F.col("html")).alias("b"))
+    return df.select("page_id", "code", validity.video_codec(F.col("code")).alias("codec"), validity.metadata(F.col("a"), F.col("b")).alias("title"))
+
+
+@query("""
+WITH s AS (SELECT CAST(l_orderkey AS VARCHAR) AS source_id, l_orderkey % 3 AS k, count(*) AS n FROM lineitem GROUP BY l_orderkey)
+SELECT source_id, 'index' AS stage, CAST(CASE k WHEN 0 THEN 0 WHEN 1 THEN -2 ELSE -1 END AS BIGINT) AS code, CASE WHEN k = 0 THEN n ELSE 0 END AS n_packets FROM s""")
+def q44_failure_atomic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of three sources, one is whole, one has its last frame cut, one is empty: all rows or none."""
+    o = F.col("source_id").cast("bigint") % 3
+    made = container_sources(spark, sf_dir, "adts")
+    cut = F.when(o == 0, F.col("content")).when(o == 1, F.substring("content", F.lit(1), F.octet_length("content") - 1)).otherwise(F.lit(bytearray()))
+    found = media.indexed(made.withColumn("content", cut))
+    counted = found.select("source_id", F.size("packets").cast("bigint").alias("n_packets"))
+    return longs(media.statuses(found).join(counted, "source_id"), "code")

@@ -72,8 +72,8 @@ def open_mp4(data: bytes) -> list[Mp4Track]:
         (count,) = unpack(">I", data, s + 4)
         need(count == 1 and s + 16 <= s_end)
         code = data[s + 12 : s + 16]
-        need(ident and scale and ident not in {x.id for x in out})
-        out.append(Mp4Track(ident, role, int.from_bytes(code, "big"), code.decode("latin-1").strip().lower(), scale, duration, t))
+        need(b"\0" not in code and ident and scale and ident not in {x.id for x in out})
+        out.append(Mp4Track(ident, role, int.from_bytes(code, "big"), code.decode("latin-1"), scale, duration, t))
         need(len(out) <= S.MAX_TRACKS)
     need(out)
     return out

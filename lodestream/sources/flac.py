@@ -47,7 +47,7 @@ def open_flac(data: bytes) -> Info:
 
 def flac_tracks(data: bytes) -> list[tuple]:
     i = open_flac(data)
-    return [(1, S.AUDIO, CODEC, i.rate, i.total, "flac")]
+    return [(1, S.AUDIO, CODEC, i.rate, i.total, "FLAC")]
 
 
 def _coded_number(b: Bits) -> int:

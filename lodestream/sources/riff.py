@@ -12,7 +12,10 @@ from .bits import Bad, need, take, unpack
 #: WAVE format tags.
 PCM, FLOAT, ALAW, MULAW, IMA, EXTENSIBLE = 1, 3, 6, 7, 0x11, 0xFFFE
 _GUID_TAIL = bytes.fromhex("000000001000800000aa00389b71")
-TAG_NAMES = {PCM: "pcm", FLOAT: "f32", ALAW: "alaw", MULAW: "ulaw", IMA: "adpc"}
+#: Published names of WAVE formats, in WAV files and in AVI audio.
+TAG_NAMES = {PCM: "PCM ", FLOAT: "FL32", ALAW: "ALAW", MULAW: "ULAW", IMA: "IMAD"}
+AVI_TAG_NAMES = {PCM: "PCM ", 2: "ADPC", FLOAT: "FL32", ALAW: "ALAW", MULAW: "ULAW", 0x55: "MP3 "}
+OTHER_NAME = "WAVE"
 U32 = 0xFFFFFFFF
 
 
@@ -166,11 +169,11 @@ def _stream(data: bytes, at: int, end: int) -> Stream:
                 need(head.width > 0 and height != 0)
                 head.height, head.top_down = abs(height), height < 0
                 head.codec = int.from_bytes(data[body + 16 : body + 20], "big")
-                head.name = data[body + 16 : body + 20].decode("latin-1").strip("\0 ").lower()
+                head.name = data[body + 16 : body + 20].decode("latin-1")
             elif head.kind == S.AUDIO:
                 need(size >= 16)
                 head.tag, head.channels, head.sample_rate, _, _, head.bits = unpack("<HHIIHH", data, body)
-                head.codec, head.name = head.tag, TAG_NAMES.get(head.tag, "unkn")
+                head.codec, head.name = head.tag, AVI_TAG_NAMES.get(head.tag, OTHER_NAME)
     need(head is not None)
     return head
 
@@ -216,6 +219,7 @@ def avi_tracks(data: bytes) -> list[tuple]:
     out = []
     for k, s in enumerate(avi.streams):
         need(s.kind in (S.AUDIO, S.VIDEO) and s.codec and s.scale)
+        need(s.kind == S.AUDIO or all(" " <= c <= "~" for c in s.name))
         out.append((k + 1, s.kind, s.codec, s.scale, s.length * s.scale, s.name))
     return out
 

@@ -52,7 +52,7 @@ def adts_frames(data: bytes) -> list[tuple[int, Adts]]:
 
 def adts_tracks(data: bytes) -> list[tuple]:
     frames = adts_frames(data)
-    return [(1, S.AUDIO, 6, frames[0][1].rate, sum(1024 * h.blocks for _, h in frames), "aac")]
+    return [(1, S.AUDIO, 6, frames[0][1].rate, sum(1024 * h.blocks for _, h in frames), "AAC")]
 
 
 def adts_packets(data: bytes) -> list[tuple]:
@@ -107,11 +107,15 @@ def _ogg_head(data: bytes, pages: list[Page]) -> tuple[str, int]:
     head = data[at : at + size]
     need(size <= HEAD_BYTES)
     if head[:8] == b"OpusHead":
-        need(size >= 19 and head[8] & 0xF0 == 0 and head[9] > 0)
+        channels, family = head[9] if size >= 19 else 0, head[18] if size >= 19 else 0
+        need(size >= 19 and head[8] & 0xF0 == 0 and channels and (family or channels <= 2))
+        if family:  # a table of streams and of the channels' places in them
+            need(size >= 21 + channels and 0 < head[19] <= channels and head[20] <= head[19])
         return "opus", OPUS_RATE
     need(head[:7] == b"\x01vorbis" and size >= 30)
     version, channels, rate = unpack("<IBI", head, 7)
-    need(version == 0 and channels and rate and head[29] & 1)
+    need(version == 0 and 0 < channels <= 32 and 0 < rate <= 384_000 and head[29] & 1)
+    need(4 <= head[28] & 15 <= head[28] >> 4 <= 13)
     return "vorbis", rate
 
 
@@ -122,7 +126,7 @@ def _last_granule(pages: list[Page]) -> int:
 def ogg_tracks(data: bytes) -> list[tuple]:
     pages = ogg_pages(data)
     name, rate = _ogg_head(data, pages)
-    return [(1, S.AUDIO, 5 if name == "opus" else 8, rate, _last_granule(pages), name)]
+    return [(1, S.AUDIO, 5 if name == "opus" else 8, rate, _last_granule(pages), name.upper())]
 
 
 def opus_frame_ticks(toc: int) -> int:
