@@ -105,6 +105,23 @@ def raw_frame(data: bytes, width: int, height: int, bits: int, bgr: bool = True,
     return np.uint32(a) << 24 | r << 16 | g << 8 | b
 
 
+def decode_packets(data: bytes, packets: list[tuple], tag: int, bits: int, channels: int, total: int = 0, signed8: bool = False) -> np.ndarray:
+    """Samples (frames, channels) of a packet table of one uncompressed track.
+
+    Packets must follow each other in the source without overlap and in time without a gap, hold
+    whole sample frames that agree with their durations, and cover ``total`` if it is known.
+    """
+    width, time, end, out = channels * bits // 8, 0, 0, []
+    need(0 < len(packets) <= media.S.MAX_PACKETS and 1 <= channels <= 32 and width)
+    for at, size, track, timestamp, duration, _ in packets:
+        need(track == packets[0][2] and at >= end and at + size <= len(data) and size <= media.S.MAX_PACKET_BYTES)
+        need(timestamp == time and size == duration * width)
+        out.append(pcm_to_s16(data[at : at + size], tag, bits, signed8).reshape(-1, channels))
+        time, end = time + duration, at + size
+    need(not total or time == total)
+    return np.concatenate(out)
+
+
 def decode_source(data: bytes) -> tuple[int, np.ndarray, int]:
     """(status, samples (frames, channels), sample rate) of a WAV or FLAC source; all or nothing."""
     nothing = np.zeros((0, 1), np.int64)

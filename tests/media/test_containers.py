@@ -226,6 +226,18 @@ def test_pcm():
     assert (codecs._alaw(False) == -codecs._alaw(True)).all() and codecs._alaw(False)[0xD5] == 8 and codecs._ulaw()[0xFF] == 0 and codecs._ulaw()[0] == -32124
 
 
+def test_packet_tables_are_checked_whole():
+    data = encode.wav(struct.pack("<6h", 1, -2, 3, -4, 5, -6), channels=2)
+    packets = media.index(data)[3]
+    assert codecs.decode_packets(data, packets, 1, 16, 2, 3).tolist() == [[1, -2], [3, -4], [5, -6]]
+    at, size, track, time, duration, flags = packets[1]
+    for bad in ((at - 1, size, track, time, duration, flags), (at, size - 1, track, time, duration, flags), (at, size, 2, time, duration, flags), (at, size, track, time + 1, duration, flags), (at, size, track, time, 2, flags)):
+        with pytest.raises(bits.Bad):
+            codecs.decode_packets(data, [packets[0], bad, packets[2]], 1, 16, 2, 3)
+    with pytest.raises(bits.Bad):
+        codecs.decode_packets(data, packets, 1, 16, 2, 4)
+
+
 def test_ima():
     block = struct.pack("<hBB", 100, 0, 0) + bytes([0x10, 0x32, 0x54, 0x76])
     got = codecs.ima_block(block, 1)[:, 0].tolist()
