@@ -140,8 +140,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return narrow.select("doc_id", held.alias("held_out"), "text").mapInArrow(infer, "doc_id bigint, held_out boolean, lang_pred string, score double, languages string")
 
 
-#: The pipeline keeps documents of which one language holds at least this share.
-MAIN_SHARE = 0.4
+#: The pipeline keeps documents of which one language holds at least this share; short clean texts may look mixed.
+MAIN_SHARE = 0.25
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
