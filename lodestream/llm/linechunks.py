@@ -1,12 +1,14 @@
-"""Line deduplication by content-defined chunks of lines.
+"""Line deduplication by chunks of lines that start at every line.
 
-Each line is hashed; a rolling hash over the last WINDOW line hashes ends a chunk where it is a
-multiple of DIVISOR, so an inserted line moves only the chunks around it.  Chunks of at least
-LEAST_LINES lines with words that occur more than once in the whole table are removed after
-their first occurrence (smallest document id, then position), once their bytes have been
-compared with those of the first occurrence.
+A chunk is a line with words and the next one, with the blank lines between them, or a single
+line of at least LINE_WORDS words.  Both borders of a chunk depend on its own lines only, and
+chunks overlap, so a repeated passage of two such lines or more is covered from its first to its
+last line whatever stands around it.  Chunks that occur more than once in the whole table are
+removed after their first occurrence (smallest document id, then position), once their bytes
+have been compared with those of the first occurrence.
 
-Defined results: a null text has no lines and stays null; chunks of one line are never removed;
+Defined results: a null text has no lines and stays null; the first occurrence of a line always
+stays, as no chunk that holds it is a repeat; chunks of one short line are never removed;
 rows that repeat a document id count as one document, so none of them loses what another keeps;
 a null id comes after all others.
 """
@@ -22,30 +24,24 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, fresh, plain, table
 
-WINDOW = 2
-DIVISOR = 2
-LEAST_LINES, MOST_LINES = 2, 64
+#: Words that a line needs to be a chunk of its own.
+LINE_WORDS = 50
 #: Bytes of chunks gathered before they are handed on.
 FLUSH = 4 << 20
 _LAST = 2**63 - 1
 
 
 def chunks(lines: list[bytes]) -> Iterator[tuple[int, int]]:
-    """(start, end) line numbers of the chunks that can be removed."""
-    rolled = [0] * WINDOW
-    start = worded = 0
+    """(start, end) line numbers of the chunks that can be removed; neither ever falls."""
+    last = None
     for k, line in enumerate(lines):
-        h = xxhash.xxh64_intdigest(line)
-        rolled[k % WINDOW] = h
-        worded += bool(line.strip())
-        total = 0
-        for j in range(WINDOW):
-            total = (total * 0x9E3779B97F4A7C15 + rolled[(k - j) % WINDOW]) & 0xFFFFFFFFFFFFFFFF
-        n = k + 1 - start
-        if k + 1 == len(lines) or n >= MOST_LINES or (n >= LEAST_LINES and (total >> 32) % DIVISOR == 0):
-            if worded >= LEAST_LINES:
-                yield start, k + 1
-            start, worded = k + 1, 0
+        if not line.strip():
+            continue
+        if last is not None:
+            yield last, k + 1
+        if len(line.split(None, LINE_WORDS - 1)) == LINE_WORDS:
+            yield k, k + 1
+        last = k
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,13 +90,15 @@ def repeated_chunks(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", t
     return same.groupBy("doc").agg(F.array_sort(F.collect_set("c")).alias("gone"))
 
 
-def _cut(text: bytes, gone: list[dict]) -> bytes:
+def _cut(text: bytes, gone: list[dict]) -> tuple[bytes, int]:
+    """The text without the lines of ``gone`` (ordered, may overlap), and how many went."""
     lines = text.split(b"\n")
     kept, at = [], 0
     for g in gone:
         kept += lines[at : g["i"]]
-        at = g["j"]
-    return b"\n".join(kept + lines[at:])
+        at = max(at, g["j"])
+    kept += lines[at:]
+    return b"\n".join(kept), len(lines) - len(kept)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: tuple[str, str] | None = None) -> DataFrame:
@@ -121,11 +119,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for b in batches:
             texts = [t.as_buffer().to_pybytes() if t.is_valid else None for t in b.column(at)]
             gone = b.column(len(names)).to_pylist()
-            new = pa.array([_cut(t, g) if t is not None and g else t for t, g in zip(texts, gone, strict=True)], pa.binary()).cast(b.schema.field(at).type)
+            done = [_cut(t, g) if t is not None and g else (t, 0) for t, g in zip(texts, gone, strict=True)]
+            new = pa.array([t for t, _ in done], pa.binary()).cast(b.schema.field(at).type)
             columns = [*b.columns[:at], new, *b.columns[at + 1 : len(names)]]
             if marks:
                 columns.append(pa.array([t.count(b"\n") + 1 if t is not None else 0 for t in texts], pa.int64()))
-                columns.append(pa.array([sum(x["j"] - x["i"] for x in g) if t is not None and g else 0 for t, g in zip(texts, gone, strict=True)], pa.int64()))
+                columns.append(pa.array([n for _, n in done], pa.int64()))
             yield pa.RecordBatch.from_arrays(columns, names=[*names, *marks])
 
     keyed = docs.withColumn(key, F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(_LAST)))

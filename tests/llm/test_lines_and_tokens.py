@@ -137,3 +137,18 @@ def test_pipeline(spark, rows, tmp_path):
     assert {d: r["text"] for d, r in got.items()} == dict(left)
     assert all(r["parity"] and r["round_trip"] for r in got.values())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "simhash_dedup", "decontamination", "sentencepiece"]
+
+
+def test_passages_between_other_lines_go(spark):
+    """Repeated passages inside otherwise different documents go whole, and so do long single lines."""
+    passages = [[prose(7000 + 10 * k + j, 20) for j in range(2 + k % 3)] for k in range(12)] + [[prose(7900 + k, 60)] for k in range(4)]
+    around = lambda k: [prose(8000 + 10 * k + j, 9) for j in range(3)]
+    texts = []
+    for k, p in enumerate(passages):
+        texts += [around(3 * k) + p + around(3 * k + 1), around(3 * k + 2)[: k % 3] + p + around(500 + k)]
+    done = linechunks.dedup_lines(spark.createDataFrame([(k, "\n".join(t)) for k, t in enumerate(texts)], "doc_id bigint, text string"), mark=("had", "lost"))
+    got = {r["doc_id"]: r for r in done.collect()}
+    for k, p in enumerate(passages):
+        assert got[2 * k]["text"] == "\n".join(texts[2 * k]) and got[2 * k]["lost"] == 0
+        assert not set(got[2 * k + 1]["text"].split("\n")) & set(p) and got[2 * k + 1]["lost"] == len(p)
+        assert got[2 * k + 1]["text"] == "\n".join(x for x in texts[2 * k + 1] if x not in p)
