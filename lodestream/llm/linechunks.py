@@ -9,8 +9,9 @@ have been compared with those of the first occurrence.
 
 Defined results: a null text has no lines and stays null; the first occurrence of a line always
 stays, as no chunk that holds it is a repeat; chunks of one short line are never removed;
-rows that repeat a document id count as one document, so none of them loses what another keeps;
-a null id comes after all others.
+rows that repeat both id and text count as one document, so none of them loses what another
+keeps; other rows under a repeated or null id are documents of their own, ordered by a hash of
+their text; a null id comes after all others.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, fresh, plain, table
@@ -46,29 +47,30 @@ def chunks(lines: list[bytes]) -> Iterator[tuple[int, int]]:
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, starts, ends, hashes = [], [], [], []
-        for doc, text in zip(b.column("doc").to_pylist(), b.column("text"), strict=True):
+        ids, prints, starts, ends, hashes = [], [], [], [], []
+        for doc, print_, text in zip(b.column("doc").to_pylist(), b.column("print").to_pylist(), b.column("text"), strict=True):
             if text.is_valid:
                 lines = text.as_buffer().to_pybytes().split(b"\n")
                 for i, j in chunks(lines):
                     ids.append(doc)
+                    prints.append(print_)
                     starts.append(i)
                     ends.append(j)
                     hashes.append(xxhash.xxh64_intdigest(b"\n".join(lines[i:j])) - 2**63)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(hashes, pa.int64())], names=["doc", "i", "j", "h"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(hashes, pa.int64())], names=["doc", "print", "i", "j", "h"])
 
 
 def _take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names, kinds = ["doc", "i", "j", "h", "first", "body"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
+    names, kinds = ["doc", "print", "i", "j", "h", "first", "body"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
     rows, size = [], 0
     for b in batches:
-        for doc, text, found in zip(b.column("doc").to_pylist(), b.column("text"), b.column("found"), strict=True):
+        for doc, print_, text, found in zip(b.column("doc").to_pylist(), b.column("print").to_pylist(), b.column("text"), b.column("found"), strict=True):
             if not text.is_valid:
                 continue
             lines = text.as_buffer().to_pybytes().split(b"\n")
             for f in found.as_py():
                 body = b"\n".join(lines[f["i"] : f["j"]])
-                rows.append((doc, f["i"], f["j"], f["h"], f["first"], body))
+                rows.append((doc, print_, f["i"], f["j"], f["h"], f["first"], body))
                 size += len(body)
             if size > FLUSH:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -77,17 +79,24 @@ def _take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
+def _keys(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """What tells documents apart: the id (null as the largest bigint), and a hash of the text."""
+    return F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(_LAST)), F.xxhash64(F.col(f"`{text_col}`"))
+
+
 def repeated_chunks(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, gone array<struct<i, j>>): line ranges to remove from each document; doc: the id, null as the largest bigint."""
-    narrow = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(_LAST)).alias("doc"), F.col(f"`{text_col}`").alias("text"))
-    every = scratch.save(narrow.mapInArrow(_find, "doc bigint, i int, j int, h bigint"), "chunks")
-    firsts = scratch.save(every.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc", "i")).alias("at")).where("n > 1").select("h", F.col("at.doc").alias("first_doc"), F.col("at.i").alias("first_i")), "firsts")
-    again = every.join(firsts, "h").select("doc", F.struct("i", "j", "h", ((F.col("doc") == F.col("first_doc")) & (F.col("i") == F.col("first_i"))).alias("first")).alias("c"))
-    by_doc = scratch.save(again.groupBy("doc").agg(F.collect_set("c").alias("found")), "by_doc")
-    bodies = scratch.save(narrow.join(by_doc.hint("merge"), "doc").mapInArrow(_take, "doc bigint, i int, j int, h bigint, first boolean, body binary"), "bodies")
+    """(doc, print, gone array<struct<i, j>>): line ranges to remove from each document; doc and print as in ``_keys``."""
+    doc, print_ = _keys(id_col, text_col)
+    narrow = docs.select(doc.alias("doc"), print_.alias("print"), F.col(f"`{text_col}`").alias("text"))
+    every = scratch.save(narrow.mapInArrow(_find, "doc bigint, print bigint, i int, j int, h bigint"), "chunks")
+    firsts = scratch.save(every.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc", "print", "i")).alias("at")).where("n > 1").select("h", F.col("at.doc").alias("first_doc"), F.col("at.print").alias("first_print"), F.col("at.i").alias("first_i")), "firsts")
+    is_first = (F.col("doc") == F.col("first_doc")) & (F.col("print") == F.col("first_print")) & (F.col("i") == F.col("first_i"))
+    again = every.join(firsts, "h").select("doc", "print", F.struct("i", "j", "h", is_first.alias("first")).alias("c"))
+    by_doc = scratch.save(again.groupBy("doc", "print").agg(F.collect_set("c").alias("found")), "by_doc")
+    bodies = scratch.save(narrow.join(by_doc.hint("merge"), ["doc", "print"]).mapInArrow(_take, "doc bigint, print bigint, i int, j int, h bigint, first boolean, body binary"), "bodies")
     kept = scratch.save(bodies.where("first").groupBy("h").agg(F.min("body").alias("kept")), "kept")
-    same = bodies.where("not first").join(kept, "h").where("body = kept").select("doc", F.struct("i", "j").alias("c"))
-    return same.groupBy("doc").agg(F.array_sort(F.collect_set("c")).alias("gone"))
+    same = bodies.where("not first").join(kept, "h").where("body = kept").select("doc", "print", F.struct("i", "j").alias("c"))
+    return same.groupBy("doc", "print").agg(F.array_sort(F.collect_set("c")).alias("gone"))
 
 
 def _cut(text: bytes, gone: list[dict]) -> tuple[bytes, int]:
@@ -106,10 +115,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``mark`` names two further columns: the lines a text had, and how many were removed.
     """
-    key, doc, ranges = fresh(docs, "_key"), fresh(docs, "_doc"), fresh(docs, "_ranges")
+    key, hashed, doc, print_, ranges = (fresh(docs, k) for k in ("_key", "_hashed", "_doc", "_print", "_ranges"))
     scratch = Scratch(docs.sparkSession, "linechunks")
     try:
-        gone = scratch.keep(repeated_chunks(scratch, docs, id_col, text_col).withColumnsRenamed({"doc": doc, "gone": ranges}))
+        gone = scratch.keep(repeated_chunks(scratch, docs, id_col, text_col).withColumnsRenamed({"doc": doc, "print": print_, "gone": ranges}))
     finally:
         scratch.close()
     names = docs.columns
@@ -127,8 +136,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 columns.append(pa.array([n for _, n in done], pa.int64()))
             yield pa.RecordBatch.from_arrays(columns, names=[*names, *marks])
 
-    keyed = docs.withColumn(key, F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(_LAST)))
-    joined = keyed.join(gone.hint("merge"), F.col(key) == F.col(doc), "left").select(*(F.col(f"`{c}`") for c in names), ranges)
+    keyed = docs.withColumns(dict(zip((key, hashed), _keys(id_col, text_col), strict=True)))
+    joined = keyed.join(gone.hint("merge"), (F.col(key) == F.col(doc)) & (F.col(hashed) == F.col(print_)), "left").select(*(F.col(f"`{c}`") for c in names), ranges)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"`{k}` bigint" for k in marks)])
     return joined.mapInArrow(cut, schema)
 

@@ -152,3 +152,15 @@ def test_passages_between_other_lines_go(spark):
         assert got[2 * k]["text"] == "\n".join(texts[2 * k]) and got[2 * k]["lost"] == 0
         assert not set(got[2 * k + 1]["text"].split("\n")) & set(p) and got[2 * k + 1]["lost"] == len(p)
         assert got[2 * k + 1]["text"] == "\n".join(x for x in texts[2 * k + 1] if x not in p)
+
+
+def test_texts_under_one_id_are_cut_by_their_own_lines(spark):
+    """Null and repeated ids with different texts of many lines: each loses only what occurs elsewhere."""
+    line = lambda k: prose(9500 + k, 12)
+    shared = [line(1), line(2)]
+    for one in (5, None):
+        rows = [(1, "\n".join(shared)), (one, "\n".join([*shared, line(3), line(4)])), (one, "\n".join([line(5), line(6), line(7), line(8)])), (one, "\n".join([line(9), *shared]))]
+        rows += [(one, "\n".join([line(10), line(11)]))] * 2
+        got = linechunks.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+        want = [(1, rows[0][1]), (one, "\n".join([line(3), line(4)])), rows[2], (one, line(9)), rows[4], rows[5]]
+        assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
