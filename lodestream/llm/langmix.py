@@ -71,6 +71,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Mixture:
     langs: list[str]
     probability: np.ndarray  # (languages, BUCKETS)
+    own: np.ndarray  # mean log-likelihood of a trigram of the rows that each language was learned from
 
     def shares(self, p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
         """Proportions by expectation-maximisation, and the log-likelihood."""
@@ -86,7 +87,9 @@ class Mixture:
 
     def infer(self, text: str | None) -> tuple[list[tuple[str, float]], float]:
         """The chosen languages with their shares, largest first, and the log-likelihood."""
-        cells = trigrams(text) if text is not None else ()
+        return self.infer_cells(trigrams(text)) if text is not None else ([], 0.0)
+
+    def infer_cells(self, cells: np.ndarray) -> tuple[list[tuple[str, float]], float]:
         if not len(cells) or not self.langs:
             return [], 0.0
         u, n = np.unique(cells, return_counts=True)
@@ -108,6 +111,19 @@ class Mixture:
         found = sorted(zip((self.langs[k] for k in chosen), share.tolist(), strict=True), key=lambda x: (-x[1], x[0]))
         return found, fit
 
+    def identified(self, text: str | None) -> bool:
+        """Whether one learned language holds the text: it is likely enough in absolute terms, and not evenly mixed."""
+        cells = trigrams(text) if text is not None else ()
+        found, fit = self.infer_cells(cells)
+        distinct = len(np.unique(cells))
+        if not found or distinct < FEW:
+            return bool(found)
+        blind = -float(np.log(BUCKETS))
+        if distinct < ENOUGH:
+            return fit / len(cells) > blind
+        known = sum(share * float(self.own[self.langs.index(k)]) for k, share in found)
+        return fit / len(cells) > (known + blind) / 2 and found[0][1] >= main_share(len(self.langs))
+
 
 def learn(docs: DataFrame) -> Mixture:
     """Counts over all rows of (lang, text) with both; only sums by language and cell reach the driver."""
@@ -116,7 +132,8 @@ def learn(docs: DataFrame) -> Mixture:
     langs = sorted(counts["lang"].unique().tolist())
     n = np.zeros((len(langs), BUCKETS))
     n[[langs.index(x) for x in counts["lang"]], counts["cell"].to_numpy(np.int64)] = counts["n"].to_numpy()
-    return Mixture(langs, (n + SMOOTHING) / (n.sum(axis=1, keepdims=True) + SMOOTHING * BUCKETS))
+    p = (n + SMOOTHING) / (n.sum(axis=1, keepdims=True) + SMOOTHING * BUCKETS)
+    return Mixture(langs, p, (n * np.log(p)).sum(axis=1) / np.maximum(n.sum(axis=1), 1))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -140,14 +157,23 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return narrow.select("doc_id", held.alias("held_out"), "text").mapInArrow(infer, "doc_id bigint, held_out boolean, lang_pred string, score double, languages string")
 
 
-#: The pipeline keeps documents of which one language holds at least this share; short clean texts may look mixed.
-MAIN_SHARE = 0.25
+#: Distinct trigrams below which a text with letters always stays, and from which all of the verdict holds.  Between
+#: the two a text only has to be likelier than cells drawn blindly; short clean texts may look mixed or rare.
+FEW, ENOUGH = 20, 60
+#: How far the main language's share must be above an even mixture, of the way to the whole text.
+ABOVE_EVEN = 0.2
+
+
+def main_share(langs: int) -> float:
+    """The share that the main language must hold: 0.4 with four languages, 0.6 with two."""
+    return (1 + ABOVE_EVEN * (langs - 1)) / langs
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` with a language that holds at least MAIN_SHARE of the text.
+    """The rows of ``docs`` that ``Mixture.identified`` takes for one of the learned languages.
 
-    The verdict is computed beside the row itself, so nothing is joined or shuffled.
+    Texts of ENOUGH distinct trigrams go when a trigram is less likely than halfway between what the training rows have and
+    cells drawn blindly (noise, languages not learned), or when no language holds ``main_share``.  The verdict is computed beside the row itself, so nothing is joined or shuffled.
     """
     held = F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % HELD_OUT == HELD_REMAINDER, F.lit(False))
     narrow = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"), held.alias("held"))
@@ -156,8 +182,7 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [model.value.infer(t)[0] for t in b.column(at).to_pylist()]
-            yield b.filter(pa.array([bool(x) and x[0][1] >= MAIN_SHARE for x in found], pa.bool_()))
+            yield b.filter(pa.array([model.value.identified(t) for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 

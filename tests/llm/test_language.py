@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -80,3 +81,17 @@ def test_scores(spark, docs, clashing, nothing, rows, monkeypatch):
     assert sum(r["score"] for r in long) > sum(r["base_score"] for r in long)
     assert table_of(hmm.score(clashing), "doc_id", "n_tokens", "n_known") == table_of(hmm.score(docs), "doc_id", "n_tokens", "n_known")
     assert hmm.score(nothing).count() == 0
+
+
+def test_noise_foreign_and_mixed_texts_go(spark, rows):
+    """Planted among clean rows: letter noise, a language nobody learned, an even mixture; short clean texts stay."""
+    rng = random.Random(11)
+    noise = " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(60))
+    foreign = "все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью " * 2
+    mixed = "\n".join(prose(7100 + k, 30, lang) for k, lang in enumerate(["en", "de"] * 4))
+    clean = [(200, "the"), (201, prose(7200, 3)), (202, prose(7201, 40)), (203, prose(7202, 40, "de")), (204, prose(7203, 90) + " " + prose(7204, 20, "de"))]
+    planted = [(100, noise), (101, foreign), (102, mixed)]
+    some = [r[:3] for r in rows if r[0] is not None and r[0] < 60] + [(k, t, None) for k, t in planted + clean]
+    kept = langmix.keep_identified(spark.createDataFrame(some, "doc_id bigint, text string, lang string"))
+    assert {r["doc_id"] for r in kept.collect()} == set(range(60)) | {k for k, _ in clean}
+    assert all(1 / n < langmix.main_share(n) < 1 for n in range(2, 50)) and langmix.main_share(1) == 1
