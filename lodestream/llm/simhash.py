@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, fresh, plain, table
 from .components import components
+from .nearcopies import near_copies
 
 SEED = 42
 SHINGLE = 3
@@ -97,15 +98,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that name their component, repeated rows of such a document once.
+    """One row of each group of near copies (see ``nearcopies``), the one of the smallest id, then hash of the text.
 
-    Rows with a null id have no name to be kept under; they stay.
+    Repeated rows of an id and text stay once; a different text under the same id is a row of its own.  Rows with a
+    null id have no name to be kept under; they stay.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    name = fresh(docs, "_keep")
-    firsts = found.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
-    kept = docs.join(firsts.hint("merge"), F.col(f"`{id_col}`") == F.col(name), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    scratch = Scratch(docs.sparkSession, "nearcopies")
+    doc, print_, low, root = (fresh(docs, k) for k in ("_doc", "_print", "_low", "_root"))
+    try:
+        names = scratch.save(near_copies(scratch, docs, id_col, text_col).select(F.col("low").alias(doc), F.col("print").alias(print_)), "names")
+        keyed = docs.where(F.col(f"`{id_col}`").isNotNull()).withColumns({low: F.col(f"`{id_col}`").cast("bigint"), root: F.xxhash64(F.col(f"`{text_col}`"))})
+        kept = keyed.join(names.hint("merge"), (F.col(low) == F.col(doc)) & (F.col(root) == F.col(print_)), "left_semi").dropDuplicates([low, root])
+        return scratch.keep(kept.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(docs.where(F.col(f"`{id_col}`").isNull())))
+    finally:
+        scratch.close()
 
 
 def op1_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:

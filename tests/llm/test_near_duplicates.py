@@ -67,3 +67,29 @@ def test_one_of_each_group_stays(spark, docs, rows):
 def test_empty(nothing):
     assert simhash.near_duplicates(nothing).count() == 0
     assert simhash.drop_near_duplicates(nothing).count() == 0
+
+
+def test_near_copies_by_five_words_go(spark):
+    """Texts of 0.8 and more in five-word shingles go although their fingerprints are over three bits apart; others stay."""
+    rng = random.Random(4)
+    cut = lambda t: {" ".join(t[i : i + 5]) for i in range(len(t) - 4)}
+    alike = lambda a, b: len(cut(a) & cut(b)) / len(cut(a) | cut(b))
+    texts, gone, far = [], set(), 0
+    for k in range(40):
+        a = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        b = list(a)
+        for at in rng.sample(range(200), 2 if k % 2 else 9):
+            b[at] = "x" + b[at]
+        if alike(a, b) >= 0.8:
+            gone.add(2 * k + 1)
+            far += (plain_print(" ".join(a)) ^ plain_print(" ".join(b))).bit_count() > 3
+        texts += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    assert 15 <= len(gone) <= 30 and far >= 5
+    left = {r[0] for r in simhash.drop_near_duplicates(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    assert left == set(range(80)) - gone
+
+
+def test_other_texts_under_an_id_stay(spark):
+    rows = [(1, "one two three four five six"), (1, "an entirely different text of some words"), (1, "one two three four five six"), (2, "one two three four five six"), (2, "a third text that nobody else has")]
+    left = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, left)) == sorted({*rows[:2], rows[4]})
