@@ -11,6 +11,8 @@ licence.  One row out for each row in; nothing is shuffled.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +73,11 @@ TEXTS = {
     "BSD-2-Clause": [_BSD_HEAD + _BSD_END, "BSD 2-Clause License\n\n" + _BSD_HEAD + _BSD_END],
     "BSD-3-Clause": [_BSD_HEAD + _BSD_NAME + _BSD_END, "BSD 3-Clause License\n\n" + _BSD_HEAD + _BSD_NAME + _BSD_END],
 }
+#: Whole texts that are too long for this file: Apache-2.0, GPL, LGPL, MPL-2.0 and CC0-1.0, as /usr/share/common-licenses has them.
+TEXTS |= {f.stem: [f.read_text("utf-8")] for f in sorted((Path(__file__).parent / "texts").glob("*.txt"))}
+#: The instructions after this line are often left out.
+_LAST_LINE = "END OF TERMS AND CONDITIONS"
+TEXTS |= {k: [*texts, texts[0].split(_LAST_LINE)[0] + _LAST_LINE, texts[0].split(_LAST_LINE)[0]] for k, texts in TEXTS.items() if _LAST_LINE in texts[0]}
 
 COPYRIGHT_LINES = r"(?m)^[ \t*#/;-]*(?:copyright[ \t]*(?:\(c\)|©|<|\[|[0-9]{4})|\(c\)|©|all rights reserved)[^\n]*$"
 PUNCTUATION = r"[^\p{L}\p{N}\n]+"

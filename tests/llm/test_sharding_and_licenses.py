@@ -71,3 +71,12 @@ def test_native_plans(docs):
     for df in (hilbert.hilbert_shards(docs), licenses.license_scan(docs)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_whole_texts_of_long_licenses(spark):
+    """A document that is the entire text of a long licence is known, with its appendix or without, however it is wrapped."""
+    names = ["Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"]
+    cases = [(k, " ".join(t.split(" ")).replace("\n", "\n  ")) for k in names for t in licenses.TEXTS[k]] + [(None, licenses.TEXTS["GPL-3.0"][0] + "\nand more")]
+    assert len(cases) == 3 * 4 + 3 + 1
+    got = {r["doc_id"]: r["license"] for r in licenses.license_scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id bigint, text string")).collect()}
+    assert got == {i: k for i, (k, _) in enumerate(cases)}
