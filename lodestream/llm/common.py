@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; a temporary one where unset (tests)."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; a temporary one on a local master (tests)."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="lodestream-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
@@ -32,17 +35,19 @@ class Scratch:
     """Tables written to the shared folder during one operator call.
 
     They cut lineage, survive lost executors, and are deleted by ``close``.  What an operator
-    returns must not read them: it is handed over through ``keep`` (a reliable checkpoint whose
-    files Spark removes when the last frame using them is gone).
+    returns must not read them: it is handed over through ``keep``, a reliable checkpoint.  Spark removes
+    its files when the last frame using them is gone if ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    is on; else they stay in the shared folder.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+        """Write and reread ``df``; ``by``: columns of folders, so that a read of some values skips the rest."""
         at = f"{self.path}/{name}"
-        df.write.option("compression", "zstd").mode("overwrite").parquet(at)
+        df.write.option("compression", "zstd").mode("overwrite").parquet(at, partitionBy=by)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, name: str = "") -> None:

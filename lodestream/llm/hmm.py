@@ -4,10 +4,12 @@ Every word has a class that its letters and the list of the COMMON most frequent
 decide: a common token is a class of its own, any other word falls into one of RARE classes by
 its ending and length.  Latent states emit classes; a class emits its words by smoothed counts,
 P(word | class) = (c + 0.1) / (C + 0.1 * (V + 1)) with C and V the tokens and distinct words of
-the class and one share for unseen words.  Baum-Welch trains the states: each round sums the
-expected counts of all training documents, computed within partitions by scaled forward-backward
-recursions.  The score of a text is the exact log10 likelihood of its tokens and one end token:
-the scaled forward recursion over its classes plus the word terms.
+the class and one share for unseen words.  Baum-Welch trains the states on all training documents:
+these are dealt into BLOCKS blocks, a round sums the expected counts of one block, computed within
+partitions by scaled forward-backward recursions, and the next model is made from the latest sums
+of all blocks (incremental expectation-maximisation).  PASSES rounds cover each block.  The score
+of a text is the exact log10 likelihood of its tokens and one end token: the scaled forward
+recursion over its classes plus the word terms.
 
 Word counts are distributed: tokens outside the LISTED most frequent ones are joined and summed
 by shuffles keyed by the word, and are never collected or broadcast.  Listed tokens, which would
@@ -15,6 +17,8 @@ be the hot keys, never enter these joins.
 
 Defined results: a null text has no words, so one token (the end); repeated rows are scored each;
 with nothing to learn from, the base score is that of an empty vocabulary and the model is uniform.
+Recursions over a text of more than SPAN tokens keep the state of every SPAN-th token and go back
+span by span, so their memory does not grow with it.
 """
 
 from __future__ import annotations
@@ -33,14 +37,14 @@ from .hilbert import magnitude
 
 #: Tokens with a class of their own, classes of the other words, latent states.
 COMMON, RARE, STATES = 4096, 512, 8
-#: Training rounds over all documents, after WARM_ROUNDS over WARM_DOCS of them that set the states apart.
-ROUNDS, WARM_ROUNDS, WARM_DOCS, WARM_TOKENS = 2, 25, 1000, 5000
+#: Blocks that all training documents are dealt into, and passes over all blocks.
+BLOCKS, PASSES = 8, 3
 #: Most frequent tokens whose counts every task holds; the others are joined by the word.
 LISTED = 65_536
 #: Words, of those no document has counted yet, that a task's table holds before it is handed on.
 HELD_WORDS = 400_000
-#: Tokens of the documents whose recursions run together.
-BATCH_TOKENS = 400_000
+#: Tokens of the documents whose recursions run together, and of one document between two kept states.
+BATCH_TOKENS, SPAN = 400_000, 400_000
 HELD_OUT = 10
 #: Stands for the end of a text; no word contains a space.
 END = " "
@@ -52,8 +56,6 @@ def words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-
-
 def rare_class(word: bytes) -> int:
     """Class of a word outside the common list: by its last two bytes and its length."""
     return ((word[-1] * 31 + (word[-2] if len(word) > 1 else 7)) * 13 + min(len(word), 12)) % RARE
@@ -136,7 +138,7 @@ class States:
 def initial(classes: np.ndarray) -> States:
     """A first model from the class totals, with fixed perturbations that set the states apart."""
     rng = np.random.default_rng(42)
-    emit = (classes / classes.sum())[None, :] * rng.uniform(0.5, 1.5, (STATES, len(classes)))
+    emit = (classes / classes.sum())[None, :] * (rng.exponential(1.0, (STATES, len(classes))) + 0.05)
     step = np.full((STATES, STATES), 0.1 / (STATES - 1))
     np.fill_diagonal(step, 0.9)
     return States(np.full(STATES, 1 / STATES), step, emit / emit.sum(axis=1, keepdims=True))
@@ -180,12 +182,52 @@ def likelihoods(m: States, sequences: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _forward(m: States, e: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward states of one sequence's span and their scales; ``before``: the state ahead of it."""
+    alpha, scale = np.empty_like(e), np.empty(len(e))
+    for t in range(len(e)):
+        before = (m.start if before is None else before @ m.step) * e[t]
+        scale[t] = before.sum()
+        before = alpha[t] = before / scale[t]
+    return alpha, scale
+
+
+def _expected_long(m: States, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """``expected`` of one long sequence: only the states at the spans' borders are kept on the way forward."""
+    emit = np.ascontiguousarray(m.emit.T)
+    spans = [codes[k : k + SPAN].astype(np.int64) for k in range(0, len(codes), SPAN)]
+    heads, last, fit = [], None, 0.0
+    for x in spans:
+        heads.append(last)
+        alpha, scale = _forward(m, emit[x], last)
+        last, fit = alpha[-1], fit + float(np.log10(scale).sum())
+    step, seen = np.zeros((STATES, STATES)), np.zeros((m.emit.shape[1], STATES))
+    beta, ahead = np.ones(STATES), None
+    for x, head in zip(reversed(spans), reversed(heads), strict=True):
+        e = emit[x]
+        alpha, scale = _forward(m, e, head)
+        gamma = np.empty_like(e)
+        for t in range(len(x) - 1, -1, -1):
+            if ahead is not None:
+                step += np.outer(alpha[t], ahead) * m.step
+                beta = m.step @ ahead
+            gamma[t] = alpha[t] * beta
+            ahead = e[t] * beta / scale[t]
+        for k in range(STATES):
+            seen[:, k] += np.bincount(x, gamma[:, k], len(seen))
+    return gamma[0].copy(), step, seen.T, fit
+
+
 def expected(m: States, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Baum-Welch counts (start, step, emit) summed over sequences, and their log10 likelihood."""
     emit = np.ascontiguousarray(m.emit.T)
     start, step, seen = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((m.emit.shape[1], STATES))
     fit = 0.0
-    for run, _, tokens, offsets in _ragged(sequences):
+    for x in sequences:
+        if len(x) > SPAN:
+            s, t, e, f = _expected_long(m, x)
+            start, step, seen, fit = start + s, step + t, seen + e.T, fit + f
+    for run, _, tokens, offsets in _ragged([x for x in sequences if len(x) <= SPAN]):
         steps = len(offsets) - 1
         e_all = emit[tokens]
         alpha, scale = np.empty_like(e_all), np.empty(len(tokens))
@@ -223,40 +265,37 @@ def maximised(start: np.ndarray, step: np.ndarray, emit: np.ndarray, classes: np
     return States(start / start.sum(), step / step.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
 
 
-def train(coded: DataFrame, classes: np.ndarray, rounds: int = ROUNDS) -> tuple[States, list[float]]:
-    """Baum-Welch over all rows of ``coded`` (codes binary: int16 classes); log10 likelihood before each round.
+def train(coded: DataFrame, classes: np.ndarray, blocks: int = BLOCKS, passes: int = PASSES) -> tuple[States, list[float]]:
+    """Baum-Welch over all rows of ``coded`` (codes binary: int16 classes; block int below ``blocks``).
 
-    A partition hands on one row of counts, STATES * (1 + STATES + classes) numbers; these are
-    summed by position in a shuffle, so the driver gets the size of one model.
+    A partition hands on one row of counts for each position, STATES * (1 + STATES + classes) numbers;
+    these are summed by position in a shuffle, so the driver gets the size of one model, and keeps that of
+    ``blocks``.  The list has each pass's log10 likelihood, every block by the model that its round began with.
     """
-    model, fits = initial(classes), []
     n = len(classes)
-    short = coded.where(F.octet_length("codes") <= 2 * WARM_TOKENS).withColumn("at", F.xxhash64("codes"))
-    last = min(2**63 - 1, 2 * WARM_DOCS * 2**64 // max(short.count(), 1) - 2**63)  # the tail of hashes that holds twice as many
-    first = short.where(F.col("at") <= F.lit(last).cast("bigint")).orderBy("at", "codes").limit(WARM_DOCS).collect()
-    warm = [np.frombuffer(r["codes"], np.int16) for r in first]
-    for _ in range(WARM_ROUNDS if warm else 0):
-        model = maximised(*expected(model, warm)[:3], classes)
-    for _ in range(rounds):
-
-        def sums(batches: Iterator[pa.RecordBatch], m: States = model) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(STATES * (1 + STATES + n) + 1)
-            for b in batches:
-                codes = [np.frombuffer(c.as_buffer(), np.int16) for c in b.column("codes")]
-                if codes:
-                    s, t, e, fit = expected(m, codes)
-                    total += np.concatenate([s, t.ravel(), e.ravel(), [fit]])
-            used = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["at", "value"])
-
-        got = coded.mapInArrow(sums, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas()
-        total = np.zeros(STATES * (1 + STATES + n) + 1)
-        total[got["at"].to_numpy(np.int64)] = got["value"].to_numpy()
-        if not total[:-1].any():
-            break
-        fits.append(float(total[-1]))
-        s, t, e = total[:STATES], total[STATES : STATES * (1 + STATES)].reshape(STATES, STATES), total[STATES * (1 + STATES) : -1].reshape(STATES, n)
-        model = maximised(s, t, e, classes)
+    model, fits, latest = initial(classes), [], np.zeros((blocks, STATES * (1 + STATES + n) + 1))
+    for _ in range(passes):
+        for block in range(blocks):
+
+            def sums(batches: Iterator[pa.RecordBatch], m: States = model) -> Iterator[pa.RecordBatch]:
+                total = np.zeros(STATES * (1 + STATES + n) + 1)
+                for b in batches:
+                    codes = [np.frombuffer(c.as_buffer(), np.int16) for c in b.column("codes")]
+                    if codes:
+                        s, t, e, fit = expected(m, codes)
+                        total += np.concatenate([s, t.ravel(), e.ravel(), [fit]])
+                used = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["at", "value"])
+
+            own = coded.where(F.col("block") == block).select("codes")
+            got = own.mapInArrow(sums, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas()
+            latest[block] = 0
+            latest[block, got["at"].to_numpy(np.int64)] = got["value"].to_numpy()
+            total = latest.sum(axis=0)
+            if total[:-1].any():
+                s, t, e = total[:STATES], total[STATES : STATES * (1 + STATES)].reshape(STATES, STATES), total[STATES * (1 + STATES) : -1].reshape(STATES, n)
+                model = maximised(s, t, e, classes)
+        fits.append(float(latest[:, -1].sum()))
     return model, fits
 
 
@@ -292,49 +331,48 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         #: log10 of what the class's smoothed words are divided by
         divisor = np.log10(rare[:, 0] + SMOOTH * (rare[:, 1] + 1))
 
-        def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            v = shared.value
-            for b in batches:
-                codes = [v.sequence(t.as_buffer().to_pybytes() if t.is_valid else b"")[0].tobytes() for t in b.column("text")]
-                yield pa.RecordBatch.from_arrays([pa.array(codes, pa.binary())], names=["codes"])
-
-        coded = scratch.save(narrow.where(~F.col("held_out")).select("text").mapInArrow(code, "codes binary"), "codes")
-        model, _ = train(coded, classes)
-        scratch.drop("codes")
-        trained = docs.sparkSession.sparkContext.broadcast(model)
-
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Per document the terms known here, and its other words with their numbers of occurrence."""
-            v, m = shared.value, trained.value
+            """Per document its classes, the word terms known here, and its other words with their numbers of occurrence."""
+            v = shared.value
             for b in batches:
                 got = [v.sequence(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in b.column("text")]
-                fit = likelihoods(m, [s for s, _, _ in got])
                 base = [float(v.base[k].sum()) for _, k, _ in got]
-                known = [len(k) for _, k, _ in got]
-                fit = [float(f + v.inside[k].sum() - divisor[s[s >= COMMON] - COMMON].sum()) for f, (s, k, _) in zip(fit, got, strict=True)]
+                inside = [float(v.inside[k].sum() - divisor[s[s >= COMMON] - COMMON].sum()) for s, k, _ in got]
                 rest = [Counter(r) for _, _, r in got]
                 offsets = np.concatenate([[0], np.cumsum([len(r) for r in rest])]).astype(np.int32)
                 ws = pa.ListArray.from_arrays(pa.array(offsets), pa.array([w for r in rest for w in r], pa.binary()))
                 ns = pa.ListArray.from_arrays(pa.array(offsets), pa.array([n for r in rest for n in r.values()], pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), b.column("held_out"), pa.array([len(s) for s, _, _ in got], pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(fit), ws, ns],
-                    names=["doc_id", "held_out", "n_tokens", "known", "base", "fit", "ws", "ns"],
-                )
-
-        looked = scratch.save(
-            narrow.mapInArrow(look, "doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, fit double, ws array<binary>, ns array<int>").withColumn("row", F.monotonically_increasing_id()),
-            "looked",
-        )
+                    [
+                        b.column("doc_id"), b.column("held_out"), pa.array([s.tobytes() for s, _, _ in got], pa.binary()), pa.array([len(s) for s, _, _ in got], pa.int64()),
+                        pa.array([len(k) for _, k, _ in got], pa.int64()), pa.array(base, pa.float64()), pa.array(inside, pa.float64()), ws, ns,
+                    ],
+                    names=["doc_id", "held_out", "codes", "n_tokens", "known", "base", "inside", "ws", "ns"],
+                )
+
+        looked = narrow.mapInArrow(look, "doc_id bigint, held_out boolean, codes binary, n_tokens bigint, known bigint, base double, inside double, ws array<binary>, ns array<int>")
+        looked = looked.withColumn("row", F.monotonically_increasing_id()).withColumn("block", (F.col("row") % BLOCKS).cast("int"))
+        looked = scratch.save(looked, "looked", by=["block"])
+        model, _ = train(looked.where("not held_out").select("codes", "block"), classes)
+        trained = docs.sparkSession.sparkContext.broadcast(model)
+
+        def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                got = likelihoods(trained.value, [np.frombuffer(c.as_buffer(), np.int16) for c in b.column("codes")])
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(got, pa.float64())], names=[*b.schema.names[1:], "fit"])
+
+        fitted = looked.select("codes", "doc_id", "held_out", "n_tokens", "known", "base", "inside", "row")
+        fitted = fitted.mapInArrow(fit, "doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, inside double, row bigint, fit double")
         each = looked.select("row", F.inline(F.arrays_zip("ws", "ns"))).withColumnsRenamed({"ws": "word", "ns": "n"})
         met = each.join(counted.hint("merge"), "word", "left").select("row", "n", F.coalesce("c", F.lit(0)).alias("c"))
         per = F.log10((F.col("c") + F.lit(SMOOTH)) / F.lit(vocabulary.whole))
         inside = F.log10(F.col("c") + F.lit(SMOOTH))
         more = met.groupBy("row").agg(F.sum(F.col("n") * per).alias("b"), F.sum(F.col("n") * inside).alias("w"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k"))
-        joined = looked.drop("ws", "ns").join(more, "row", "left")
+        joined = fitted.join(more.hint("merge"), "row", "left")
         none = F.lit(0.0)
         out = joined.select(
             "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(vocabulary.tokens).cast("bigint").alias("train_tokens"),
-            (F.col("base") + F.coalesce("b", none)).alias("base_score"), (F.col("fit") + F.coalesce("w", none)).alias("score"),
+            (F.col("base") + F.coalesce("b", none)).alias("base_score"), (F.col("fit") + F.col("inside") + F.coalesce("w", none)).alias("score"),
         )
         return scratch.keep(out)
     finally:
