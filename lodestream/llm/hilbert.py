@@ -1,14 +1,15 @@
 """Sharding along a Hilbert curve (DataFrame functions only).
 
 Four metadata dimensions (language, source, length of the text, document id) are quantised to
-eight bits each, Skilling's transform turns the cell into its index on the curve, documents are
+eight bits each by their approximate quantiles, so that outliers and the width of a range do not
+matter, Skilling's transform turns the cell into its index on the curve, documents are
 sorted by it, and the sequence is cut into runs.  Neighbours on the curve share values in
 several dimensions, so the minima and maxima of a shard prune in each of them.
 
 The law is ``rows``: shard = rank * shards div rows, so counts are at most one apart.
 
-Defined results: a null text counts as empty; a null dimension is the lowest cell; equal keys
-are ordered by checksum and size, and rows equal in all of these share their places in any order.
+Defined results: ids may be any of the 64-bit range; a null text counts as empty; a null dimension
+is the lowest cell; equal keys by checksum and size, and rows equal in all of these share their places in any order.
 """
 
 from __future__ import annotations
@@ -36,9 +37,14 @@ def magnitude(c: Column) -> Column:
     return F.when(c <= 0, F.lit(0)).otherwise(e * 8 + F.call_function("shiftright", c * 8, e) - 8).cast("bigint")
 
 
-def spread(c: Column, low: int, high: int) -> Column:
-    """Equal-width cells between the bounds; null is cell 0."""
-    return F.coalesce(F.call_function("div", (c - F.lit(low).cast("bigint")) * (1 << BITS), F.lit(high - low + 1).cast("bigint")), F.lit(0).cast("bigint"))
+def spread(c: Column, cuts: list[int]) -> Column:
+    """The number of cuts (ascending, below 2**BITS of them) up to the value, by halving steps; null is cell 0."""
+    if not cuts:
+        return F.lit(0).cast("bigint")
+    ladder = F.array(*(F.lit(str(k)).cast("bigint") for k in cuts))
+    steps = F.array(*(F.lit(1 << b) for b in range(BITS - 1, -1, -1)))
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(ladder, at + step - 1) <= c, at + step).otherwise(at))
+    return F.when(c.isNull(), F.lit(0)).otherwise(found).cast("bigint")
 
 
 def curve(axes: list[Column], bits: int = BITS) -> Column:
@@ -82,8 +88,9 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id"
         crc = F.coalesce(F.crc32(F.encode(F.col(text_col), "utf-8")), F.lit(0)).cast("bigint")
         axes = {"d0": head(F.col(lang_col)), "d1": head(F.col(source_col)), "d2": magnitude(F.coalesce(F.length(text_col), F.lit(0)).cast("bigint")), "d3": F.col(id_col).cast("bigint")}
         narrow = scratch.save(docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), *(c.alias(k) for k, c in axes.items())), "narrow")
-        bounds = narrow.agg(F.count("*").alias("n"), *(f(k).alias(f"{name}_{k}") for k in axes for name, f in (("lo", F.min), ("hi", F.max)))).first()
-        cells = [spread(F.col(k), bounds[f"lo_{k}"] or 0, bounds[f"hi_{k}"] or 0) for k in axes]
+        shares = [k / 2**BITS for k in range(1, 2**BITS)]
+        bounds = narrow.agg(F.count("*").alias("n"), *(F.percentile_approx(k, shares, 10_000).alias(k) for k in axes)).first()
+        cells = [spread(F.col(k), bounds[k] or []) for k in axes]
         placed = narrow.select("doc_id", "size", "text_crc32", curve(cells).alias("curve_index"))
         ordered = placed.repartitionByRange("curve_index", "doc_id", "text_crc32").sortWithinPartitions("curve_index", "doc_id", "text_crc32", "size")
         runs = scratch.save(ordered.withColumn("at", F.monotonically_increasing_id()), "runs").withColumns({"part": F.shiftright("at", 33), "row": F.col("at").bitwiseAND((1 << 33) - 1)})
