@@ -6,7 +6,7 @@ hash-joined to the digests of known licence texts.  Each line is also taken as t
 of a one-line notice and looked up among the digests of known notices.
 
 Defined results: null, empty and punctuation-only texts have the digest of the empty form and no
-licence.  One row out for each row in; nothing is shuffled.
+licence.  One row out for each row in, repeated rows too; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -79,17 +79,24 @@ TEXTS |= {f.stem: [f.read_text("utf-8")] for f in sorted((Path(__file__).parent
 _LAST_LINE = "END OF TERMS AND CONDITIONS"
 TEXTS |= {k: [*texts, texts[0].split(_LAST_LINE)[0] + _LAST_LINE, texts[0].split(_LAST_LINE)[0]] for k, texts in TEXTS.items() if _LAST_LINE in texts[0]}
 
-COPYRIGHT_LINES = r"(?m)^[ \t*#/;-]*(?:copyright[ \t]*(?:\(c\)|©|<|\[|[0-9]{4})|\(c\)|©|all rights reserved)[^\n]*$"
+#: A line that begins as a copyright notice does.  "(c)" alone may head a list item, so a year or its placeholder must
+#: follow it; "all rights reserved" must be all the line says.
+COPYRIGHT_LINES = r"(?m)^[ \t*#/;-]*(?:(?:copyright[ \t]*(?:\(c\)|©|<|\[|[0-9]{4})|\(c\)[ \t]*(?:copyright|<|\[|[0-9]{4})|©)[^\n]*|all rights reserved[^\p{L}\p{N}\n]*)$"
 PUNCTUATION = r"[^\p{L}\p{N}\n]+"
 
 
-def canonical_lines(text: Column) -> Column:
-    """The canonical form with line ends still in place."""
-    c = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), F.lit(COPYRIGHT_LINES), F.lit(""))
-    c = F.regexp_replace(c, F.lit(PUNCTUATION), F.lit(" "))
+def canonical_lines(rows: DataFrame, text_col: str, name: str) -> DataFrame:
+    """``rows`` with the canonical form under ``name``, line ends still in place.
+
+    Only texts with one of the spellings go through their replacements.
+    """
+    c = F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(COPYRIGHT_LINES), F.lit(""))
+    bare = rows.withColumn(name, F.regexp_replace(c, F.lit(PUNCTUATION), F.lit(" ")))
+    c = F.col(name)
     for spelt, meant in SPELLINGS:
         c = F.regexp_replace(c, F.lit(rf"\b{spelt}\b"), F.lit(meant))
-    return c
+    some = F.col(name).rlike(rf"\b(?:{'|'.join(spelt for spelt, _ in SPELLINGS)})\b")
+    return bare.withColumn(name, F.when(some, c).otherwise(F.col(name)))
 
 
 def whole(lines: Column) -> Column:
@@ -105,7 +112,7 @@ def known_texts() -> list[tuple[str, str]]:
 def known(spark: SparkSession) -> DataFrame:
     """(digest, license): one row a digest, a constant table of a few hundred rows."""
     rows = spark.createDataFrame(known_texts(), "license string, body string")
-    return rows.groupBy(F.sha2(whole(canonical_lines(F.col("body"))), 256).alias("digest")).agg(F.min("license").alias("license"))
+    return canonical_lines(rows, "body", "lines").groupBy(F.sha2(whole(F.col("lines")), 256).alias("digest")).agg(F.min("license").alias("license"))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,7 +121,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs = {r["digest"]: r["license"] for r in known(spark).collect()}  # a constant of the module, not of the data
     table_ = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(d).alias("digest"), F.lit(k).alias("license")) for d, k in sorted(pairs.items())))))
     by_line = F.create_map(*(F.lit(x) for kv in sorted(pairs.items()) for x in kv))
-    forms = docs.select(F.col(id_col).alias("doc_id"), canonical_lines(F.col(text_col)).alias("lines"))
+    forms = canonical_lines(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", "lines")
     # only lines with these words can be notices: every known notice has one of them
     hinted = F.filter(F.split("lines", "\n"), lambda x: x.rlike("licensed|released under|spdx"))
     named = F.filter(F.transform(hinted, lambda x: F.try_element_at(by_line, F.sha2(F.trim(F.regexp_replace(x, " +", " ")), 256))), lambda x: x.isNotNull())
