@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_lower", "n_digits", "n_bangs", "n_punct", "n_high", "n_bytes"]
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
+#: Leading bits of a hash by which labelled rows are counted.
+SLOT_BITS = 14
 
 _SPACE, _TAIL, _UPPER, _LOWER, _DIGIT, _SYMBOL, _BANG, _PUNCT, _HIGH, _OTHER = range(10)
 _KIND = np.full(256, _OTHER, np.uint8)
@@ -120,14 +122,19 @@ def ratios() -> dict[str, Column]:
 
 
 def labelled_sample(stats: DataFrame, labels: DataFrame, label: str, most: int, columns: list[str]) -> DataFrame:
-    """At most ``most`` labelled rows, those of lowest hash of the id: (columns..., label).
+    """The labelled rows, at most ``most``, those of lowest hash of the id: (columns..., label).
 
-    ``most`` bounds what reaches the driver, whatever the labels table holds.  Only hashes in the
-    lower tail that should hold twice as many rows take part, so partitions do not each hand on
-    ``most`` rows.
+    ``most`` bounds what reaches the driver, whatever the tables hold.  Counts of labelled rows by the
+    leading bits of the hash tell up to where the rows asked for reach, so partitions do not each hand on
+    ``most`` rows.  Repeated labels count once; an id labelled both ways has a row of either kind; a
+    repeated document has one for each of its rows.
     """
-    known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label")).where("_label in (0, 1)").withColumn("_at", F.xxhash64("_id"))
-    last = min(2**63 - 1, 2 * most * 2**64 // max(known.count(), 1) - 2**63)
-    tail = known.where(F.col("_at") <= F.lit(last).cast("bigint"))
-    joined = stats.join(tail, stats["doc_id"] == F.col("_id"))
+    known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label")).where("_label in (0, 1) and _id is not null").distinct()
+    slot = F.shiftright(F.xxhash64("_id"), 64 - SLOT_BITS)
+    last, seen = -1 << (SLOT_BITS - 1), 0
+    for r in stats.select("doc_id").join(known, F.col("doc_id") == F.col("_id")).groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).orderBy("slot").collect():  # 2 ** SLOT_BITS rows at most
+        last, seen = r["slot"], seen + r["n"]
+        if seen >= most:
+            break
+    joined = stats.join(known.where(slot <= last).withColumn("_at", F.xxhash64("_id")), F.col("doc_id") == F.col("_id"))
     return joined.orderBy("_at", "doc_id", "_label", *columns).limit(most).select(*columns, F.col("_label").alias("label"))
