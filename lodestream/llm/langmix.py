@@ -5,8 +5,10 @@ rows to learn from.  For a document, expectation-maximisation estimates the prop
 languages that its trigrams come from; the set of languages is then grown in the order of those
 proportions while the likelihood gained exceeds a penalty.
 
-Defined results: null texts and texts without a letter are ``und`` with score 0, as is everything
-when nothing could be learned.  score is the share of the predicted language among the chosen
+Defined results: the LANGS languages of most rows are learned (ties: the first in code point
+order); rows tagged otherwise teach nothing and are predicted like any other.  Null texts and texts
+without a letter are ``und`` with score 0, as is everything when nothing could be learned.  Long texts
+are counted by CHUNK characters, so only their code points are held.  score is the share of the predicted language among the chosen
 set; ties go to the first language in code point order.  One row out per row in.
 """
 
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import plain, table
 
 BUCKETS = 1 << 16
+#: Languages learned at most (what a task and the driver hold grows with them), and characters counted together.
+LANGS, CHUNK = 128, 1 << 20
 SMOOTHING = 0.05
 ROUNDS = 25
 SETTLED = 1e-4
@@ -40,28 +44,31 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def trigrams(text: str) -> np.ndarray:
-    """Cells of the trigrams with a letter in the middle; other characters count as one gap."""
-    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _letters()[c]
-    if not letter.any():
-        return np.zeros(0, np.uint16)
-    c = np.concatenate([[0], np.where(letter, c, 0), [0]]).astype(np.uint64)
-    mixed = (c[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (c[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (c[2:] * np.uint64(0x165667B19E3779F9))
-    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-    return (mixed >> np.uint64(48)).astype(np.uint16)[letter]
+def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of the trigrams with a letter in the middle and their numbers; other characters count as one gap."""
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    parts, gap = [], np.zeros(1, np.uint64)
+    for at in range(0, len(codes), CHUNK):
+        c = codes[max(at - 1, 0) : at + CHUNK + 1]
+        c = np.where(_letters()[c], c, 0).astype(np.uint64)
+        c = np.concatenate([gap[: int(at == 0)], c, gap[: int(at + CHUNK >= len(codes))]])
+        mixed = (c[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (c[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (c[2:] * np.uint64(0x165667B19E3779F9))
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+        parts.append((mixed >> np.uint64(48)).astype(np.uint16)[c[1:-1] > 0])
+    if len(parts) < 2:
+        return np.unique(parts[0] if parts else np.zeros(0, np.uint16), return_counts=True)
+    total = sum(np.bincount(p, minlength=BUCKETS) for p in parts)
+    return np.flatnonzero(total).astype(np.uint16), total[total > 0]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
     for b in batches:
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-            cells = trigrams(text)
             if lang not in total:
                 total[lang] = np.zeros(BUCKETS, np.int64)
-            if len(cells):
-                u, n = np.unique(cells, return_counts=True)
-                total[lang][u] += n
+            u, n = trigrams(text)
+            total[lang][u] += n
     for lang, n in total.items():
         cells = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cells), pa.string()), pa.array(cells.astype(np.int32)), pa.array(n[cells])], names=["lang", "cell", "n"])
@@ -87,18 +94,17 @@ class Mixture:
 
     def infer(self, text: str | None) -> tuple[list[tuple[str, float]], float]:
         """The chosen languages with their shares, largest first, and the log-likelihood."""
-        return self.infer_cells(trigrams(text)) if text is not None else ([], 0.0)
+        return self.infer_cells(*trigrams(text)) if text is not None else ([], 0.0)
 
-    def infer_cells(self, cells: np.ndarray) -> tuple[list[tuple[str, float]], float]:
-        if not len(cells) or not self.langs:
+    def infer_cells(self, u: np.ndarray, n: np.ndarray) -> tuple[list[tuple[str, float]], float]:
+        if not len(u) or not self.langs:
             return [], 0.0
-        u, n = np.unique(cells, return_counts=True)
         p, n = self.probability[:, u], n.astype(np.float64)
         single = np.log(p) @ n
         every, _ = self.shares(p, n)
         first = int(np.argmax(single))
         chosen, share, fit = [first], np.ones(1), float(single[first])
-        cost = PENALTY * 0.5 * np.log(max(len(cells) / OVERLAP, 2.0))
+        cost = PENALTY * 0.5 * np.log(max(n.sum() / OVERLAP, 2.0))
         for k in np.argsort(-every, kind="stable").tolist():
             if k in chosen:
                 continue
@@ -113,21 +119,21 @@ class Mixture:
 
     def identified(self, text: str | None) -> bool:
         """Whether one learned language holds the text: it is likely enough in absolute terms, and not evenly mixed."""
-        cells = trigrams(text) if text is not None else ()
-        found, fit = self.infer_cells(cells)
-        distinct = len(np.unique(cells))
-        if not found or distinct < FEW:
+        u, n = trigrams(text or "")
+        found, fit = self.infer_cells(u, n)
+        if not found or len(u) < FEW:
             return bool(found)
-        blind = -float(np.log(BUCKETS))
-        if distinct < ENOUGH:
-            return fit / len(cells) > blind
+        each, blind = fit / float(n.sum()), -float(np.log(BUCKETS))
+        if len(u) < ENOUGH:
+            return each > blind
         known = sum(share * float(self.own[self.langs.index(k)]) for k, share in found)
-        return fit / len(cells) > (known + blind) / 2 and found[0][1] >= main_share(len(self.langs))
+        return each > (known + blind) / 2 and found[0][1] >= main_share(len(self.langs))
 
 
 def learn(docs: DataFrame) -> Mixture:
-    """Counts over all rows of (lang, text) with both; only sums by language and cell reach the driver."""
-    rows = docs.where("lang is not null and text is not null").select("lang", "text")
+    """Counts over all rows of (lang, text) with both; only sums by language and cell of LANGS languages reach the driver."""
+    tagged = docs.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()
+    rows = docs.where(F.col("lang").isin([r["lang"] for r in tagged]) & F.col("text").isNotNull()).select("lang", "text")
     counts = rows.mapInArrow(_count, "lang string, cell int, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts["lang"].unique().tolist())
     n = np.zeros((len(langs), BUCKETS))
