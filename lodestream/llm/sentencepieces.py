@@ -6,7 +6,8 @@ these a ``tokenizers.Tokenizer`` is rebuilt (unigram scores, or merges ranked by
 models), which encodes batches with several threads.  Ids are compared with those of the
 sentencepiece library for every text.
 
-Defined results: null and empty texts have no ids and decode to the empty text.
+Defined results: null and empty texts have no ids and decode to the empty text; repeated rows are
+encoded each; other columns stay as they are, but for those with the names of the added ones.
 """
 
 from __future__ import annotations
@@ -146,12 +147,12 @@ def borders(m: Model) -> str:
 class Codec:
     """Encodes and decodes batches; one a worker process.
 
-    Words already seen come from a table of at most TABLE words (emptied when full, so memory is
-    bounded and results do not depend on it); the others of a batch are encoded together by the
+    Words already seen come from a table of at most TABLE words of at most LONGEST characters (emptied
+    when full, so memory is bounded and results do not depend on it); the others of a batch are encoded together by the
     library's threads.
     """
 
-    TABLE = 300_000
+    TABLE, LONGEST = 300_000, 64
 
     def __init__(self, path: str, threads: int):
         os.environ["RAYON_NUM_THREADS"], os.environ["TOKENIZERS_PARALLELISM"] = str(threads), "true"
@@ -192,7 +193,11 @@ class Codec:
             for w, e in zip(new[at : at + 65536], self.words.encode_batch_fast(new[at : at + 65536], add_special_tokens=False), strict=True):
                 self.seen[w] = array("i", e.ids).tobytes()
         ids = self.seen
-        return [np.frombuffer(b"".join([ids[w] for w in p]), "<i4") for p in parts]
+        found = [np.frombuffer(b"".join([ids[w] for w in p]), "<i4") for p in parts]
+        for w in new:
+            if len(w) > self.LONGEST:
+                del ids[w]
+        return found
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         """Joined bytes of the pieces; ids of other pieces and broken UTF-8 go through the library's decoder."""
