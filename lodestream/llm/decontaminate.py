@@ -7,22 +7,28 @@ a text region within k edits shares at least m - q + 1 - k * q of the window's q
 lie within k + 1 neighbouring diagonals.  Shared q-grams are counted in overlapping bands of
 diagonals; bands that reach the bound are verified by an alignment confined to the band.  The
 filter loses nothing: a document is reported exactly if some region of it aligns with a window
-within k edits.
+within k edits (k is lowered to (m - q) div q where that is less, so the bound is never below one).
+
+Blocks of the benchmark have an index each.  With more than one, a sieve of fixed size over the
+q-grams of all windows first takes out, in one pass, the few documents in which some region has
+enough of them; only these are searched, block by block.
 
 Defined results: null texts and texts or items of fewer than Q characters match nothing; items
-repeated in the benchmark are reported each by its id.
+repeated in the benchmark are reported each by its id; repeated rows of documents are judged and
+reported each; of an empty table, or by an empty benchmark, nothing is found and nothing dropped.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plain, table
+from .common import Scratch, plain, table
 
 Q = 8
 WINDOW, STRIDE = 100, 50
@@ -33,6 +39,8 @@ STEP = 16
 BLOCK_CHARS = 1_000_000
 #: Candidates aligned at once, and bits of the table that q-grams are first looked up in.
 AT_ONCE, TABLE_BITS = 2048, 22
+#: Bits of the sieve over all blocks (16 MiB, whatever the benchmark's size).
+SIEVE_BITS = 27
 _M = 0x9E3779B97F4A7C15
 
 
@@ -58,6 +66,38 @@ def windows(c: np.ndarray) -> list[np.ndarray]:
     return [c[s : s + WINDOW] for s in starts]
 
 
+def budget(size: np.ndarray) -> np.ndarray:
+    """Edits that windows of so many characters may differ by."""
+    return np.minimum(np.floor(ERROR * size).astype(np.int64), np.maximum(size - Q, 0) // Q)
+
+
+def dense(hit: np.ndarray, least: int, reach: int) -> np.ndarray:
+    """The places at which ``reach`` places with at least ``least`` hits begin."""
+    sums = np.concatenate([[0], np.cumsum(hit)])
+    span = min(reach, len(hit))
+    return np.flatnonzero(sums[span:] - sums[:-span] >= least) if sums[-1] >= least else np.zeros(0, np.int64)
+
+
+class Sieve:
+    """Whether a text may hold a window of any block: a table of all q-grams, and the least bound."""
+
+    def __init__(self) -> None:
+        self.bits, self.least, self.reach = np.zeros(1 << (SIEVE_BITS - 3), np.uint8), 2**31, 0
+
+    def add(self, index: Index) -> None:
+        at = index.key >> np.uint64(64 - SIEVE_BITS)
+        np.bitwise_or.at(self.bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        if len(index.key):
+            self.least, self.reach = min(self.least, index.least), max(self.reach, index.reach)
+
+    def passes(self, text: str | None) -> bool:
+        h = grams(normal(text or "")) >> np.uint64(64 - SIEVE_BITS)
+        if not len(h) or not self.reach:
+            return False
+        hit = self.bits[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8) & 1
+        return bool(len(dense(hit.astype(np.int64), self.least, self.reach)))
+
+
 class Index:
     """Windows of a block of benchmark items and their q-grams."""
 
@@ -66,7 +106,7 @@ class Index:
         self.item = np.array([i for i, _ in found], np.int64)
         self.text = [w for _, w in found]
         self.size = np.array([len(w) for w in self.text], np.int64)
-        self.budget = np.floor(ERROR * self.size).astype(np.int64)
+        self.budget = budget(self.size)
         self.bound = np.maximum(self.size - Q + 1 - self.budget * Q, 1)
         hashes = [grams(w) for w in self.text]
         flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
@@ -88,17 +128,12 @@ class Index:
             return []
         hit = self.table[(h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
         # a region within the budget has at least ``least`` known q-grams within ``reach`` characters
-        sums = np.concatenate([[0], np.cumsum(hit)])
-        if sums[-1] < self.least:
-            return []
-        span = min(self.reach, len(h))
-        dense = sums[span:] - sums[:-span] >= self.least
-        if not dense.any():
+        at = dense(hit, self.least, self.reach)
+        if not len(at):
             return []
         edge = np.zeros(len(h) + 1, np.int64)
-        at = np.flatnonzero(dense)
         np.add.at(edge, at, 1)
-        np.add.at(edge, at + span, -1)
+        np.add.at(edge, at + min(self.reach, len(h)), -1)
         places = np.flatnonzero(hit & (np.cumsum(edge)[:-1] > 0))
         k = np.searchsorted(self.key, h[places])
         k[k == len(self.key)] = 0
@@ -184,36 +219,71 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
         yield block
 
 
+def _sieved(docs: DataFrame, benchmark: DataFrame) -> Broadcast | None:
+    """The sieve over all blocks, or None if there are fewer than two."""
+    sieve, n = Sieve(), 0
+    for n, block in enumerate(blocks(benchmark), 1):
+        sieve.add(Index(block))
+    return docs.sparkSession.sparkContext.broadcast(sieve) if n > 1 else None
+
+
+def _rows(docs: DataFrame, text_col: str, wanted: Callable[[str | None], bool]) -> DataFrame:
+    """The rows whose text ``wanted`` holds for, judged in place."""
+    at = docs.columns.index(text_col)
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([wanted(t) for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(some, docs.schema)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, n_windows, distance, at) for every document row and item found in it."""
     narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     schema = "doc_id bigint, item_id bigint, n_windows bigint, distance bigint, at bigint"
-    found = None
-    for n, block in enumerate(blocks(benchmark)):
-
-        def search(batches: Iterator[pa.RecordBatch], block: list = block, key: int = hash((n, tuple(block)))) -> Iterator[pa.RecordBatch]:
-            index = _index(key, block)
-            for b in batches:
-                rows = [(d, *f) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) if t is not None for f in index.search(t)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(5)], names=["doc_id", "item_id", "n_windows", "distance", "at"])
-
-        part = narrow.mapInArrow(search, schema)
-        found = part if found is None else found.unionAll(part)
-    return found if found is not None else docs.sparkSession.createDataFrame([], schema)
+    sieve, scratch, found = _sieved(docs, benchmark), Scratch(docs.sparkSession, "leaks"), None
+    try:
+        if sieve:
+            narrow = scratch.save(_rows(narrow, "text", lambda t: sieve.value.passes(t)), "maybe")
+        for n, block in enumerate(blocks(benchmark)):
+
+            def search(batches: Iterator[pa.RecordBatch], block: list = block, key: int = hash((n, tuple(block)))) -> Iterator[pa.RecordBatch]:
+                index = _index(key, block)
+                for b in batches:
+                    rows = [(d, *f) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) if t is not None for f in index.search(t)]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(5)], names=["doc_id", "item_id", "n_windows", "distance", "at"])
+
+            part = narrow.mapInArrow(search, schema)
+            part = scratch.save(part, f"found{n}") if sieve else part
+            found = part if found is None else found.unionAll(part)
+        if found is None:
+            found = docs.sparkSession.createDataFrame([], schema)
+        return scratch.keep(found) if sieve else found
+    finally:
+        scratch.close()
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no benchmark item is found; judged in place, without a join."""
-    at = docs.columns.index(text_col)
-    for n, block in enumerate(blocks(benchmark)):
-
-        def clean(batches: Iterator[pa.RecordBatch], block: list = block, key: int = hash((n, tuple(block)))) -> Iterator[pa.RecordBatch]:
-            index = _index(key, block)
-            for b in batches:
-                yield b.filter(pa.array([t is None or not index.search(t) for t in b.column(at).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+    def clean(rows: DataFrame, n: int, block: list) -> DataFrame:
+        key = hash((n, tuple(block)))
+        return _rows(rows, text_col, lambda t: t is None or not _index(key, block).search(t))
+
+    sieve = _sieved(docs, benchmark)
+    if not sieve:
+        for n, block in enumerate(blocks(benchmark)):
+            docs = clean(docs, n, block)
+        return docs
+    scratch = Scratch(docs.sparkSession, "leaks")
+    try:
+        maybe = scratch.save(_rows(docs, text_col, lambda t: sieve.value.passes(t)), "maybe")
+        for n, block in enumerate(blocks(benchmark)):
+            maybe = scratch.save(clean(maybe, n, block), f"left{n}")
+        return _rows(docs, text_col, lambda t: not sieve.value.passes(t)).unionByName(scratch.keep(maybe))
+    finally:
+        scratch.close()
 
 
 def op2_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

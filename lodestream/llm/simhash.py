@@ -100,7 +100,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near copies (see ``nearcopies``), the one of the smallest id, then hash of the text.
 
-    Repeated rows of an id and text stay once; a different text under the same id is a row of its own.  Rows with a
+    The fingerprints are wider than ``near_duplicates`` takes, over two-word shingles, and looked up by the same
+    multi-index hashing.  Repeated rows of an id and text stay once; a different text under the same id is a row of its own.  Rows with a
     null id have no name to be kept under; they stay.
     """
     scratch = Scratch(docs.sparkSession, "nearcopies")
