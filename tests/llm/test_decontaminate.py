@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from lodestream.llm import decontaminate as d
 
 from .conftest import prose
@@ -59,3 +61,24 @@ def test_blocks_of_the_benchmark(spark, docs, rows, monkeypatch):
     monkeypatch.setattr(d, "BLOCK_CHARS", 100)
     bench = spark.createDataFrame([(k, rows[k][1]) for k in (3, 5, 9)], "item_id bigint, text string")
     assert {(r["doc_id"], r["item_id"]) for r in d.leaks(docs, bench).collect()} == {(3, 3), (5, 5), (9, 9)}
+    kept = d.drop_leaks(docs, bench)
+    assert kept.count() == docs.count() - 3 and kept.where("doc_id in (3, 5, 9)").count() == 0
+
+
+def test_short_items_have_a_positive_bound():
+    for n in range(1, 300):
+        m = np.array([n])
+        assert n < d.Q or n - d.Q + 1 - int(d.budget(m)[0]) * d.Q >= 1
+        assert n < 25 or d.budget(m)[0] == int(d.ERROR * n)
+
+
+def test_the_sieve_passes_whatever_any_block_finds():
+    rng = random.Random(5)
+    blocks = [d.Index([(k, prose(300 + k, 30))]) for k in range(4)]
+    sieve = d.Sieve()
+    for b in blocks:
+        sieve.add(b)
+    for k in range(40):
+        text = prose(2000 + k, 20) + " " + changed(prose(300 + k % 6, 30)[: rng.randint(40, 200)], rng.randint(0, 12), rng)
+        assert sieve.passes(text) or not any(b.search(text) for b in blocks)
+    assert not sieve.passes(None) and not sieve.passes("") and not sieve.passes(prose(9000, 40, "de"))

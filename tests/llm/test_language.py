@@ -65,6 +65,7 @@ def test_forward_recursion_is_exact():
 
 def test_scores(spark, docs, clashing, nothing, rows, monkeypatch):
     monkeypatch.setattr(hmm, "LISTED", 20)  # so that most words take the way through the shuffle
+    monkeypatch.setattr(hmm, "train", lambda coded, classes, fit=hmm.train: fit(coded, classes, passes=1))
     got = sorted(hmm.score(docs).collect(), key=repr)
     tokens = lambda t: [*(t or "").encode().lower().split(), b" "]
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 10 == 0
@@ -95,3 +96,125 @@ def test_noise_foreign_and_mixed_texts_go(spark, rows):
     kept = langmix.keep_identified(spark.createDataFrame(some, "doc_id bigint, text string, lang string"))
     assert {r["doc_id"] for r in kept.collect()} == set(range(60)) | {k for k, _ in clean}
     assert all(1 / n < langmix.main_share(n) < 1 for n in range(2, 50)) and langmix.main_share(1) == 1
+
+
+def plain_counts(m, x):
+    """Posterior counts of one sequence by enumeration of all state paths."""
+    s, total = hmm.STATES, 0.0
+    start, step, emit = np.zeros(s), np.zeros((s, s)), np.zeros(m.emit.shape)
+    for path in itertools.product(range(s), repeat=len(x)):
+        p = m.start[path[0]] * m.emit[path[0], x[0]]
+        for a, b, o in zip(path, path[1:], x[1:], strict=False):
+            p *= m.step[a, b] * m.emit[b, o]
+        total += p
+        start[path[0]] += p
+        for a, b in itertools.pairwise(path):
+            step[a, b] += p
+        for a, o in zip(path, x, strict=True):
+            emit[a, o] += p
+    return start / total, step / total, emit / total
+
+
+def test_trained_states_equal_a_plain_version(spark, monkeypatch):
+    """Every round of incremental Baum-Welch over two blocks, against enumeration; long texts by spans as well."""
+    classes = np.ones(hmm.COMMON + hmm.RARE)
+    monkeypatch.setattr(hmm, "STATES", 2)
+    rng = np.random.default_rng(8)
+    sequences = [rng.integers(0, 6, n).astype(np.int16) for n in (1, 4, 6, 3, 5, 2, 6)]
+    rows = [(x.tobytes(), k % 2) for k, x in enumerate(sequences)]
+    model, latest = hmm.initial(classes), [None, None]
+    for _ in range(2):
+        for block in range(2):
+            each = [plain_counts(model, x) for x, (_, b) in zip(sequences, rows, strict=True) if b == block]
+            latest[block] = [sum(c[k] for c in each) for k in range(3)]
+            model = hmm.maximised(*(sum(c[k] for c in latest if c) for k in range(3)), classes)
+    monkeypatch.setattr(hmm, "SPAN", 4)
+    # tasks import the module afresh, so they get the two states by the closure's model only
+    own = hmm.initial(classes)
+    whole = hmm.expected(own, sequences)
+    monkeypatch.setattr(hmm, "SPAN", 400)
+    assert all(np.allclose(a, b) for a, b in zip(whole, hmm.expected(own, sequences), strict=True))
+
+    sums, now = [None, None], hmm.initial(classes)
+    for _ in range(2):
+        for block in range(2):
+            sums[block] = hmm.expected(now, [x for x, (_, b) in zip(sequences, rows, strict=True) if b == block])[:3]
+            now = hmm.maximised(*(sum(c[k] for c in sums if c) for k in range(3)), classes)
+    assert np.allclose(now.start, model.start) and np.allclose(now.step, model.step) and np.allclose(now.emit, model.emit)
+
+
+def test_training_over_partitions(spark):
+    """``train`` gives what its rounds give in one place, however rows are dealt, and each pass is likelier."""
+    rng = np.random.default_rng(9)
+    classes = np.ones(hmm.COMMON + hmm.RARE)
+    sequences = [rng.integers(0, 9, rng.integers(1, 30)).astype(np.int16) for _ in range(40)]
+    rows = [(x.tobytes(), k % 2) for k, x in enumerate(sequences)]
+    model, fits = hmm.train(spark.createDataFrame(rows, "codes binary, block int").repartition(3), classes, blocks=2, passes=3)
+    now, latest = hmm.initial(classes), [None, None]
+    for _ in range(3):
+        for block in range(2):
+            latest[block] = hmm.expected(now, [x for x, (_, b) in zip(sequences, rows, strict=True) if b == block])[:3]
+            now = hmm.maximised(*(sum(c[k] for c in latest if c) for k in range(3)), classes)
+    assert np.allclose(model.emit, now.emit) and np.allclose(model.step, now.step)
+    assert fits[0] < fits[1] <= fits[2]
+
+
+def test_mixture_equals_a_plain_version(spark, docs, rows):
+    """Trigram counts, expectation-maximisation and the penalised set, in plain Python loops."""
+    model = langmix.learn(docs.select("lang", "text"))
+    cell = lambda t: langmix.trigrams(t)[0].tolist()
+    by = {}
+    for r in rows:
+        if r[1] and r[2]:
+            padded = f" {''.join(c if c.isalpha() else ' ' for c in r[1].lower())} "
+            for k in range(1, len(padded) - 1):
+                if padded[k] != " ":
+                    by.setdefault(r[2], Counter())[padded[k - 1 : k + 2]] += 1
+    assert model.langs == sorted(by)
+    for k, lang in enumerate(model.langs):
+        n = sum(by[lang].values())
+        tri, c = by[lang].most_common(1)[0]
+        at = set(cell(tri.strip())) if tri.strip() == tri else None
+        if at:
+            assert max(model.probability[k, list(at)]) >= (c + langmix.SMOOTHING) / (n + langmix.SMOOTHING * langmix.BUCKETS) * 0.999
+
+    def plain(p, n):
+        share = [1 / len(p)] * len(p)
+        for _ in range(langmix.ROUNDS):
+            new = [0.0] * len(p)
+            for c in range(len(n)):
+                whole = sum(share[k] * p[k][c] for k in range(len(p)))
+                for k in range(len(p)):
+                    new[k] += n[c] * share[k] * p[k][c] / whole
+            new = [x / sum(n) for x in new]
+            moved, share = max(abs(a - b) for a, b in zip(new, share, strict=True)), new
+            if moved < langmix.SETTLED:
+                break
+        return share
+
+    for text in (prose(31, 50), prose(32, 40) + " " + prose(33, 40, "de"), prose(34, 5, "de")):
+        u, n = langmix.trigrams(text)
+        p = model.probability[:, u]
+        share = plain(p.tolist(), n.tolist())
+        single = [sum(math.log(x) * c for x, c in zip(row, n.tolist(), strict=True)) for row in p.tolist()]
+        both = sum(c * math.log(sum(s * x for s, x in zip(share, col, strict=True))) for c, col in zip(n.tolist(), p.T.tolist(), strict=True))
+        cost = langmix.PENALTY * 0.5 * math.log(max(n.sum() / langmix.OVERLAP, 2))
+        wide = (both - max(single)) / langmix.OVERLAP > cost and min(share) >= langmix.LEAST_SHARE
+        found, _ = model.infer(text)
+        assert len(found) == (2 if wide else 1)
+        if wide:
+            assert all(math.isclose(dict(found)[k], s, abs_tol=1e-6) for k, s in zip(model.langs, share, strict=True))
+
+
+def test_long_texts_and_many_languages(spark, docs, monkeypatch):
+    text = prose(41, 400)
+    whole = langmix.trigrams(text)
+    for chunk in (1, 7, len(text) - 1, len(text), len(text) + 1):
+        monkeypatch.setattr(langmix, "CHUNK", chunk)
+        u, n = langmix.trigrams(text)
+        assert u.tolist() == whole[0].tolist() and n.tolist() == whole[1].tolist()
+    monkeypatch.undo()
+    monkeypatch.setattr(langmix, "LANGS", 2)
+    rare = docs.selectExpr("doc_id", "text", "case when doc_id = 5 then 'zz' else lang end lang")
+    assert langmix.learn(rare).langs == ["de", "en"]
+    assert langmix.identify(rare).count() == docs.count()

@@ -17,6 +17,13 @@ from .test_near_duplicates import brute
 needs_model = pytest.mark.skipif(not os.path.exists(sentencepieces.MODEL), reason="no model file")
 
 
+def own_chunks(lines):
+    """Two lines with words and what lies between them, or one of fifty words or more."""
+    full = [k for k, x in enumerate(lines) if x.strip(b" \t\n\x0b\x0c\r")]
+    found = [(i, j + 1) for i, j in zip(full, full[1:], strict=False)] + [(k, k + 1) for k in full if len(lines[k].split()) >= 50]
+    return sorted(found, key=lambda c: (c[1], c[0]))
+
+
 def plain_dedup(rows):
     """doc_id, text without repeated chunks: all occurrences but those of the smallest (id, position) go."""
     key = lambda d: 2**63 - 1 if d is None else d
@@ -24,7 +31,7 @@ def plain_dedup(rows):
     for d, t in rows:
         if t is not None:
             lines = t.encode().split(b"\n")
-            for i, j in linechunks.chunks(lines):
+            for i, j in own_chunks(lines):
                 body = b"\n".join(lines[i:j])
                 first[body] = min(first.get(body, (2**64, 0)), (key(d), i))
     out = []
@@ -33,10 +40,10 @@ def plain_dedup(rows):
             out.append((d, None))
             continue
         lines, kept, at = t.encode().split(b"\n"), [], 0
-        for i, j in linechunks.chunks(lines):
+        for i, j in own_chunks(lines):
             if first[b"\n".join(lines[i:j])] != (key(d), i):
                 kept += lines[at:i]
-                at = j
+                at = max(at, j)
         out.append((d, b"\n".join(kept + lines[at:]).decode()))
     return out
 
@@ -164,3 +171,30 @@ def test_texts_under_one_id_are_cut_by_their_own_lines(spark):
         got = linechunks.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
         want = [(1, rows[0][1]), (one, "\n".join([line(3), line(4)])), rows[2], (one, line(9)), rows[4], rows[5]]
         assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+@needs_model
+def test_pipeline_of_odd_rows(spark, clashing, nothing, tmp_path):
+    """Null ids and texts, repeated rows and ids, clashing columns; an empty table."""
+    import corpus_pipeline
+
+    other = "SELECT 76 doc_id, 'two different texts stand under one id here' text, 'en' lang, 'src0' source, 1L n_chars"
+    more = clashing.unionByName(spark.sql(other), allowMissingColumns=True)
+    for name, df in (("full", more), ("none", nothing)):
+        df.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "full"))
+    assert set(clashing.columns) <= set(got.columns)
+    rows = sorted((r["doc_id"], r["text"]) for r in got.where("doc_id = 76").collect())
+    assert [t for _, t in rows] == ["One", "two different texts stand under one id here"]
+    assert [r["text"] for r in got.where("doc_id is null").collect()] == ["no id here at all"]
+    assert got.where("text is null or text = ''").count() == 0 and got.where("doc_id between 0 and 59").count() == 60
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+@needs_model
+def test_long_words_are_not_kept():
+    c = sentencepieces.codec(sentencepieces.MODEL, 1)
+    text = "ab" * 5000
+    ids = c.encode([text, f"{text} {text}"])
+    assert [x.tolist() for x in ids] == c.reference.encode([text, f"{text} {text}"]) and max(map(len, c.seen)) <= c.LONGEST

@@ -95,3 +95,102 @@ def test_nothing_to_learn_from(spark, docs, nothing, clashing):
     assert decision_list.quality_rules(nothing, none).count() == boosting.classify(nothing, none).count() == 0
     assert boosting.classify(clashing, none).count() == decision_list.quality_rules(clashing, none).count() == docs.count()
     random.seed(0)
+
+
+def test_the_sample_has_as_many_rows_as_there_are(spark):
+    """Far more labels than documents; ids labelled both ways, repeated labels and repeated documents."""
+    stats = spark.range(3000).selectExpr("id * 100 doc_id", "cast(id as double) x").unionAll(spark.sql("select 500L, 5.0D"))
+    labels = spark.range(300_000).selectExpr("id doc_id", "cast(id % 2 as int) quality").unionAll(spark.sql("select 700L, 1")).unionAll(spark.sql("select 500L, 0"))
+    rows = [tuple(r) for r in docstats.labelled_sample(stats, labels, "quality", 2000, ["x"]).collect()]
+    assert len(rows) == 2000 == docstats.labelled_sample(stats, labels, "quality", 2000, ["x"]).count()
+    every = sorted(tuple(r) for r in docstats.labelled_sample(stats, labels, "quality", 20_000, ["x"]).collect())
+    assert every == sorted([(float(k), 0) for k in range(3000)] + [(5.0, 0), (7.0, 1)])
+    assert set(rows) <= set(every)
+
+
+def plain_trees(x, y, trees):
+    """Boosting node by node: the best of all (feature, edge) by the same gain, in plain loops; margins of the rows."""
+    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, boosting.BINS + 1)[1:-1])).tolist() for j in range(x.shape[1])]
+    p = (y.sum() + 1) / (len(y) + 2)
+    margin = np.full(len(y), float(np.log(p / (1 - p))))
+    for _ in range(trees):
+        q = 1 / (1 + np.exp(-margin))
+        g, h = q - y, np.maximum(q * (1 - q), 1e-9)
+        step = np.zeros(len(y))
+
+        def grow(rows, depth, g=g, h=h, step=step):
+            if depth == boosting.DEPTH:
+                step[rows] = -boosting.RATE * g[rows].sum() / (h[rows].sum() + boosting.SHRINK)
+                return
+            best, pick = 1e-6, None
+            worth = lambda r: g[r].sum() ** 2 / (h[r].sum() + boosting.SHRINK)
+            for j, cuts in enumerate(edges):
+                for c in cuts:
+                    low, high = rows[x[rows, j] <= c], rows[x[rows, j] > c]
+                    if h[low].sum() >= boosting.LEAST and h[high].sum() >= boosting.LEAST:
+                        gain = worth(low) + worth(high) - worth(rows)
+                        if gain > best + 1e-9:
+                            best, pick = gain, (low, high)
+            for part in pick or (rows,):
+                grow(part, depth + 1 if pick else boosting.DEPTH)
+
+        grow(np.arange(len(y)), 0)
+        margin = margin + step
+    return margin
+
+
+def test_fitted_trees_equal_a_plain_version(monkeypatch):
+    monkeypatch.setattr(boosting, "TREES", 4)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 3))
+    y = ((x[:, 0] + x[:, 1] ** 2 > 0.5) ^ (rng.uniform(size=300) < 0.1)).astype(float)
+    assert np.allclose(boosting.fit(x, y).margin(x), plain_trees(x, y, 4))
+
+
+def plain_rules(x, bad, names):
+    """Sequential covering with every threshold tried in loops (fewer distinct values than CUTS)."""
+    rules = []
+    while len(rules) < decision_list.MAX_RULES and bad.sum() >= 6 and (~bad).any():
+        prune = np.arange(len(x)) % 3 == 2
+        gx, gb = x[~prune], bad[~prune]
+        rule, live = [], np.ones(len(gx), bool)
+        while len(rule) < decision_list.MAX_CONDITIONS and (live & ~gb).any():
+            p0, n0 = (live & gb).sum(), (live & ~gb).sum()
+            best, pick = 1e-9, None
+            for j, name in enumerate(names):
+                values = sorted(set(gx[live, j].tolist()))
+                for above in (False, True):
+                    for a, b in zip(values, values[1:], strict=False):
+                        c = decision_list.Condition(name, above, (a + b) / 2)
+                        got = live & c.holds(gx, names)
+                        p, n = (got & gb).sum(), (got & ~gb).sum()
+                        if p:
+                            gain = p * (np.log2(p / (p + n)) - np.log2(p0 / (p0 + n0)))
+                            if gain > best + 1e-12:
+                                best, pick = gain, c
+            if pick is None:
+                break
+            rule.append(pick)
+            live &= pick.holds(gx, names)
+        if not rule:
+            break
+        scored = []
+        for k in range(len(rule), 0, -1):
+            got = decision_list.covered(rule[:k], x[prune], names)
+            p, n = (got & bad[prune]).sum(), (got & ~bad[prune]).sum()
+            scored.append(((p - n) / (p + n) if p + n else -1.0, k))
+        worth, k = max(scored, key=lambda s: (s[0], -s[1]))
+        got = decision_list.covered(rule[:k], x, names)
+        if (worth + 1) / 2 < decision_list.PRECISION or not (got & bad).any():
+            break
+        rules.append(rule[:k])
+        x, bad = x[~got], bad[~got]
+    return rules
+
+
+def test_learned_rules_equal_a_plain_version():
+    rng = np.random.default_rng(12)
+    x = rng.integers(0, 12, (400, 3)).astype(float)
+    bad = ((x[:, 0] > 8) | ((x[:, 1] < 3) & (x[:, 2] > 6))) ^ (rng.uniform(size=400) < 0.02)
+    rules = decision_list.learn(x, bad, ["a", "b", "c"])
+    assert rules and rules == plain_rules(x, bad, ["a", "b", "c"])

@@ -80,3 +80,28 @@ def test_whole_texts_of_long_licenses(spark):
     assert len(cases) == 3 * 4 + 3 + 1
     got = {r["doc_id"]: r["license"] for r in licenses.license_scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id bigint, text string")).collect()}
     assert got == {i: k for i, (k, _) in enumerate(cases)}
+
+
+def test_ids_of_the_whole_range(spark):
+    ids = [1, 2**60, -(2**62), 2**62, 2**63 - 1, -(2**63), None, 0]
+    rows = [(i, f"text {k}", "en", "s") for k, i in enumerate(ids)]
+    law(hilbert.hilbert_shards(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"), shards=3).collect(), rows, 3)
+
+
+def test_an_outlier_does_not_fill_one_cell(spark):
+    rows = [(k, "x" * (k % 50), "en", "s") for k in range(400)] + [(2**62, "y", "en", "s")]
+    got = hilbert.hilbert_shards(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"), shards=8).collect()
+    assert len({r["curve_index"] for r in got}) > 300
+
+
+def test_lists_under_c_stay(spark):
+    mit = licenses.TEXTS["MIT"][0]
+    cases = [
+        (1, mit + "\n(c) You may not sell the Software.", None),
+        (2, mit + "\n(c) 2020 Some Body", "MIT"),
+        (3, "All rights reserved, and you may not sell this.\n" + mit, None),
+        (4, "(C) Copyright 1999 X\nAll rights reserved.\n" + mit, "MIT"),
+        (4, "(C) Copyright 1999 X\nAll rights reserved.\n" + mit, "MIT"),
+    ]
+    got = licenses.license_scan(spark.createDataFrame([c[:2] for c in cases], "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["license"]) for r in got) == [(c[0], c[2]) for c in cases]
