@@ -167,6 +167,26 @@ def samples(sources: DataFrame, rows_at_once: int = 500_000) -> DataFrame:
     return sources.select(F.col("source_id").cast("string"), "content").mapInArrow(run, "source_id string, frame bigint, channel int, value int")
 
 
+def bounded_read(found: DataFrame, requests: DataFrame, source: str = "source_id", at_once: int = 1024) -> DataFrame:
+    """(source, request columns, frame, channel, value) of each request's frames: from ``position`` on, at most ``max_frames`` and ``at_once``.
+
+    ``found`` is a relation of samples; ``requests`` has the source, position and max_frames.  A request that begins at or
+    beyond the end, or asks for none, has no rows.
+    """
+    last = F.col("position") + F.least(F.col("max_frames"), F.lit(at_once))
+    return found.join(requests, source).where((F.col("frame") >= F.col("position")) & (F.col("frame") < last))
+
+
+def remixed(found: DataFrame, channels: int) -> DataFrame:
+    """Samples with so many channels: one is the mean of all (toward zero); more repeat those there are, in turn."""
+    if channels == 1:
+        mean = F.call_function("div", F.sum("value").cast("bigint"), F.count("*"))
+        return found.groupBy("source_id", "frame").agg(mean.cast("int").alias("value")).select("source_id", "frame", F.lit(0).alias("channel"), "value")
+    had = found.groupBy("source_id").agg((F.max("channel") + 1).alias("_had"))
+    out = found.join(had, "source_id").withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(channels - 1))))
+    return out.where(F.col("_to") % F.col("_had") == F.col("channel")).select("source_id", "frame", F.col("_to").alias("channel"), "value")
+
+
 def video_frames(sources: DataFrame) -> DataFrame:
     """(source_id, frame_index, timestamp_ns, width, height, pixels) of uncompressed AVI video."""
     from decimal import Decimal
@@ -177,7 +197,7 @@ def video_frames(sources: DataFrame) -> DataFrame:
                 try:
                     avi = riff.open_avi(data or b"")
                     v = avi.first(media.S.VIDEO)
-                    need(v is not None and v.compression in (0, int.from_bytes(b"RAW ", "little"), int.from_bytes(b"DIB ", "little")) and v.rate)
+                    need(v is not None and v.compression in (0, int.from_bytes(b"DIB ", "little")) and v.rate)
                     found = [raw_frame(riff.nth_frame(data, k), v.width, v.height, v.bits, True, v.top_down) for k in range(len(avi.rows(media.S.VIDEO)))]
                 except Bad:
                     continue

@@ -98,6 +98,11 @@ def last_granule(pages: DataFrame, source: str, seq: str, granule: str, none: in
     return pages.where(F.col(granule) != none).groupBy(source).agg(F.max_by(granule, seq).alias("granule"))
 
 
+def latest(rows: DataFrame, key: str, revision: str) -> DataFrame:
+    """The row of the highest revision of each key; a partial aggregate, so a hot key costs one row a partition."""
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), revision).alias("_row")).select("_row.*")
+
+
 def duplicate_tracks(tracks: DataFrame, source: str, track: str) -> DataFrame:
     """Sources that use a track id twice."""
     return tracks.groupBy(source, track).count().where("count > 1").select(source).distinct()

@@ -12,7 +12,11 @@ MAX_PACKET_BYTES, MAX_CHANNELS, MAX_RATE = 16 * 1024 * 1024, 32, 384_000
 TEXT_BYTES, METADATA_BYTES = 128, 4096
 #: Codes of uncompressed and of JPEG video, and what they are called.
 MJPEG, RAW, UNKNOWN = "mjpeg", "raw", "unknown"
-VIDEO_CODES = {"MJPG": MJPEG, "mjpg": MJPEG, "JPEG": MJPEG, "jpeg": MJPEG, "DIB ": RAW, "RAW ": RAW, "\0\0\0\0": RAW}
+VIDEO_CODES = {"MJPG": MJPEG, "mjpg": MJPEG, "JPEG": MJPEG, "DIB ": RAW, "\0\0\0\0": RAW}
+#: No revision: the largest unsigned 64-bit number.
+NO_REVISION = 2**64 - 1
+#: Fixed value: flags of a snapshot, allowed in the background (1) and with an output there (2).
+INFO_FLAGS = 3
 
 
 def track_ok(track: Column, kind: Column, codec: Column, scale: Column) -> Column:
@@ -35,11 +39,16 @@ def pcm_config_ok(version: Column, rate: Column, channels: Column, sample_format
     return (version == 1) & rate.between(1, MAX_RATE) & channels.between(1, MAX_CHANNELS) & sample_format.between(1, formats) & (reserved == 0)
 
 
-def session_info_ok(playback: Column, flags: Column, position_ms: Column, duration_ms: Column, revision: Column, title: Column, artist: Column, album: Column, published: bool) -> Column:
-    """A session snapshot; a publisher's has no revision yet, a published one has."""
+def session_info_ok(playback: Column, flags: Column, position_ms: Column, duration_ms: Column, revision: Column, title: Column, artist: Column, album: Column, published: bool, info_flags: Column | int = 0) -> Column:
+    """A session snapshot; a publisher's has no revision yet, a published one has.
+
+    Revisions are unsigned (bigint or decimal(20,0)); ``info_flags`` must be among INFO_FLAGS.
+    """
+    number = revision.cast("decimal(20,0)")
+    unknown = (F.lit(info_flags) if isinstance(info_flags, int) else info_flags).cast("bigint").bitwiseAND(F.lit(~INFO_FLAGS).cast("bigint"))
     texts = text_admitted(title, TEXT_BYTES) & text_admitted(artist, TEXT_BYTES) & text_admitted(album, TEXT_BYTES)
     times = (position_ms >= 0) & (duration_ms >= 0) & ((duration_ms == 0) | (position_ms <= duration_ms))
-    return playback.isin(PAUSED, PLAYING) & flags.between(1, ALL_FLAGS) & times & (revision != 0 if published else revision == 0) & texts
+    return playback.isin(PAUSED, PLAYING) & flags.between(1, ALL_FLAGS) & times & (number != 0 if published else number == 0) & (number != F.lit(str(NO_REVISION)).cast("decimal(20,0)")) & (unknown == 0) & texts
 
 
 def lock_request_ok(session: Column, generation: Column, command: Column) -> Column:
@@ -50,6 +59,17 @@ def power_request_ok(session: Column, generation: Column, inhibit: Column) -> Co
     return (session != 0) & (generation != 0) & (inhibit == 1)
 
 
+def request_range_ok(address: Column, size: Column, most: int) -> Column:
+    """A span of an unsigned 64-bit address space: not empty, not too long, and not beyond the end."""
+    a, n = address.cast("decimal(20,0)"), size.cast("decimal(20,0)")
+    return (a > 0) & (n > 0) & (n <= most) & (a + n <= F.lit(str(2**64 - 1)).cast("decimal(21,0)"))
+
+
+def reply_ok(reply: Column, magic: Column | int, version: Column | int, operation: Column, request: Column, session: Column) -> Column:
+    """Whether a reply's header (magic, version, operation, reserved, request_id, session_id) echoes its request's."""
+    return (reply["magic"] == magic) & (reply["version"] == version) & (reply["operation"] == operation) & (reply["reserved"] == 0) & (reply["request_id"] == request) & (reply["session_id"] == session)
+
+
 def video_codec(code: Column) -> Column:
     """What a four-character code of AVI video is decoded as."""
     out = F.lit(UNKNOWN)

@@ -125,12 +125,12 @@ def q10_track_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT p_partkey % 4 AS src, p_partkey AS first_chunk, CAST(p_size AS BIGINT) AS spc FROM part WHERE p_size % 5 = 0),
-c AS (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS line, l_partkey % 4 AS src, l_partkey AS chunk FROM lineitem)
+WITH e AS (SELECT p_partkey % 4 AS src, p_partkey AS first_chunk, CAST(p_size AS BIGINT) AS spc FROM part),
+c AS (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS line, (l_partkey + l_linenumber) % 4 AS src, l_partkey AS chunk FROM lineitem)
 SELECT l_orderkey, line, c.src, chunk, spc FROM c ASOF LEFT JOIN e ON c.src = e.src AND c.chunk >= e.first_chunk""")
 def q11_chunk_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = table(spark, sf_dir, "part").where("p_size % 5 = 0").select((F.col("p_partkey") % 4).alias("src"), F.col("p_partkey").alias("first_chunk"), F.col("p_size").cast("bigint").alias("spc"))
-    chunks = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("line"), (F.col("l_partkey") % 4).alias("src"), F.col("l_partkey").alias("chunk"))
+    entries = table(spark, sf_dir, "part").select((F.col("p_partkey") % 4).alias("src"), F.col("p_partkey").alias("first_chunk"), F.col("p_size").cast("bigint").alias("spc"))
+    chunks = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("line"), ((F.col("l_partkey") + F.col("l_linenumber")) % 4).alias("src"), F.col("l_partkey").alias("chunk"))
     return timeline.asof(chunks, entries, "src", "chunk", "first_chunk", "spc")
 
 
@@ -515,7 +515,7 @@ SELECT conv_id, max(turn) AS revision, arg_max(role, turn) AS role FROM conversa
 def q40_latest_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest snapshot of each session by its revision."""
     c = table(spark, sf_dir, "conversations")
-    return c.groupBy("conv_id").agg(F.max("turn").alias("revision"), F.max_by("role", "turn").alias("role"))
+    return timeline.latest(c.select("conv_id", F.col("turn").alias("revision"), "role"), "conv_id", "revision")
 
 
 @query("""
@@ -545,7 +545,7 @@ def q42_session_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH p AS (SELECT page_id, ['MJPG', 'jpeg', 'DIB ', 'RAW ', 'H264', 'mjpg'][CAST(page_id % 6 AS INT) + 1] AS code, CASE WHEN page_id % 2 = 0 THEN '' ELSE url END AS a, CASE WHEN page_id % 3 = 0 THEN '' ELSE html END AS b FROM pages)
-SELECT page_id, code, CASE WHEN upper(code) IN ('MJPG', 'JPEG') THEN 'mjpeg' WHEN code IN ('DIB ', 'RAW ') THEN 'raw' ELSE 'unknown' END AS codec,
+SELECT page_id, code, CASE WHEN code IN ('MJPG', 'mjpg', 'JPEG') THEN 'mjpeg' WHEN code = 'DIB ' THEN 'raw' ELSE 'unknown' END AS codec,
 CASE WHEN length(a) > 0 AND strlen(a) <= 4096 THEN a WHEN length(b) > 0 AND strlen(b) <= 4096 THEN b ELSE '' END AS title FROM p""")
 def q43_codec_and_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("page_id")
@@ -565,3 +565,82 @@ def q44_failure_atomic(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.indexed(made.withColumn("content", cut))
     counted = found.select("source_id", F.size("packets").cast("bigint").alias("n_packets"))
     return longs(media.statuses(found).join(counted, "source_id"), "code")
+
+
+# --- requests, limits and formats --------------------------------------------------------------
+
+_WAV_SAMPLES = """w AS (SELECT CAST(vec_id AS VARCHAR) AS source_id, pos - 1 AS frame, CAST(trunc(greatest(least(x, 1::FLOAT), -1::FLOAT) * 32767::FLOAT) AS BIGINT) AS value
+FROM (SELECT vec_id, generate_subscripts(embedding, 1) AS pos, unnest(embedding) AS x FROM embeddings))"""
+
+
+@query(f"""
+WITH {_WAV_SAMPLES}, r AS (SELECT CAST(event_id AS BIGINT) AS request, CAST(user_id AS VARCHAR) AS source_id, event_id % 70 AS position, event_id % 9 AS max_frames FROM events)
+SELECT request, source_id, CAST(frame AS BIGINT) AS frame, value FROM w JOIN r USING (source_id) WHERE frame >= position AND frame < position + max_frames""")
+def q45_bounded_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A read request an event, each of a few frames at a position, some of them beyond the end."""
+    n = F.col("event_id")
+    asked = table(spark, sf_dir, "events").select(n.cast("bigint").alias("request"), F.col("user_id").cast("string").alias("source_id"), (n % 70).alias("position"), (n % 9).alias("max_frames"))
+    got = codecs.bounded_read(codecs.samples(wav_sources(spark, sf_dir)), asked)
+    return longs(got.select("request", "source_id", "frame", "value"), "frame", "value")
+
+
+@query("""
+WITH s AS (SELECT l_orderkey, sum(2 * CAST(trunc(l_quantity) AS BIGINT)) AS body FROM lineitem GROUP BY 1)
+SELECT CAST(l_orderkey AS VARCHAR) AS source_id, 'index' AS stage, CAST(CASE WHEN 44 + body > 400 THEN -1 ELSE 0 END AS BIGINT) AS code, CAST(CASE WHEN 44 + body > 400 THEN 0 ELSE (body // 2 + 15) // 16 END AS BIGINT) AS n_packets FROM s""")
+def q46_oversize_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WAV sources under a limit of 400 bytes, 16 sample frames a packet: one status row a source, always."""
+    found = media.indexed(container_sources(spark, sf_dir, "wav"), max_bytes=400, frames_per_packet=16)
+    return longs(found.select("source_id", F.lit("index").alias("stage"), F.col("status").alias("code"), F.size("packets").alias("n_packets")), "code", "n_packets")
+
+
+@query(f"""
+WITH {_WAV_SAMPLES} SELECT source_id, CAST(0 AS BIGINT) AS status, CAST(frame // 8 AS BIGINT) AS packet, CAST(frame AS BIGINT) AS frame, value FROM w""")
+def q47_packet_table_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as float WAV files, decoded by a table of packets of eight sample frames."""
+    got = media.samples_by_packets(wav_sources(spark, sf_dir), frames_per_packet=8)
+    return longs(got.select("source_id", "status", "packet", "frame", "value"), "status", "value")
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, CAST(trunc(value) AS BIGINT) * 60 AS v, CASE event_type WHEN 'click' THEN 'position' WHEN 'error' THEN 'rate' WHEN 'purchase' THEN 'pause' ELSE 'resume' END AS kind FROM events)
+SELECT user_id, event_id, CAST(CASE WHEN kind <> 'rate' OR v BETWEEN 1 AND 4000 THEN 1 ELSE 0 END AS BIGINT) AS accepted,
+coalesce(last_value(CASE WHEN kind = 'position' THEN v END IGNORE NULLS) OVER w, 0) AS position_ns, coalesce(last_value(CASE WHEN kind = 'rate' AND v BETWEEN 1 AND 4000 THEN v END IGNORE NULLS) OVER w, 1000) AS rate_permille,
+CAST(coalesce(last_value(CASE kind WHEN 'pause' THEN 1 WHEN 'resume' THEN 0 END IGNORE NULLS) OVER w, 1) AS BIGINT) AS paused
+FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
+def q48_playback_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A clock a user: clicks set its position, errors its rate (some out of bounds), purchases pause it, the rest resume it."""
+    t = F.col("event_type")
+    kind = F.when(t == "click", "position").when(t == "error", "rate").when(t == "purchase", "pause").otherwise("resume")
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", kind.alias("kind"), (F.col("value").cast("bigint") * 60).alias("value"))
+    got = replay.replay(e, machines.Clock(), "user_id", ["event_id"])
+    return longs(got, "accepted", "rate_permille", "paused").select("user_id", "event_id", "accepted", "position_ns", "rate_permille", "paused")
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders)
+SELECT k, CAST((2 * CAST(c AS HUGEINT) * (k % 1000 + 1) * 1000000000 + (k % 60 + 1)) // (2 * (k % 60 + 1)) AS BIGINT) AS ns, c % 1200 > 0 AND k % 7 > 0 AND c % 1200 <= k % 7 * 1000 AS rational_ok,
+k * 97 % 500000 BETWEEN 1 AND 384000 AND c % 40 BETWEEN 1 AND 32 AS format_ok, CASE WHEN k % 3 = 0 THEN k WHEN c % 2 = 0 THEN c ELSE -1 END AS opened,
+c % 500 > 0 AND k % 9 > 0 AND k % 9 <= 6 AS range_ok, k % 5 <> 1 AND k % 2 = 0 AS reply_ok FROM o""")
+def q49_times_formats_and_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rescaled times, admitted rationals and output formats, native decoding with a fallback, request ranges and reply headers."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    reply = F.struct(F.lit(7).alias("magic"), F.lit(1).alias("version"), (k % 5).alias("operation"), (k % 2).alias("reserved"), k.alias("request_id"), c.alias("session_id"))
+    expected = F.when(k % 5 == 1, 9).otherwise(k % 5)
+    return longs(
+        table(spark, sf_dir, "orders").select(
+            k.alias("k"), scalars.rescaled_ns(c, k % 1000 + 1, k % 60 + 1).alias("ns"), scalars.rational_ok(c % 1200, k % 7).alias("rational_ok"), scalars.audio_format_ok(k * 97 % 500_000, c % 40).alias("format_ok"),
+            F.coalesce(validity.first_success(k % 3, k, c % 2, c), F.lit(-1)).alias("opened"), validity.request_range_ok(c % 500, k % 9, 6).alias("range_ok"), validity.reply_ok(reply, 7, 1, expected, k, c).alias("reply_ok"),
+        ),
+        "ns", "opened",
+    )
+
+
+@query("""
+WITH s AS (SELECT CAST(user_id AS VARCHAR) AS source_id, event_id AS frame, CAST(trunc(value) AS BIGINT) - 40 AS value FROM events)
+SELECT source_id, frame, CAST(c AS BIGINT) AS channel, CASE c % 2 WHEN 0 THEN value ELSE value * 2 END AS value FROM s, (VALUES (0), (1), (2)) v(c)
+UNION ALL SELECT source_id, frame, CAST(-1 AS BIGINT), CAST(trunc(value * 3 / 2.0) AS BIGINT) FROM s""")
+def q50_remix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two channels to three, and (shown as channel -1) to one."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("source_id"), F.col("event_id").alias("frame"), (F.col("value").cast("bigint") - 40).alias("v"))
+    two = e.select("source_id", "frame", F.posexplode(F.array("v", F.col("v") * 2)).alias("channel", "value"))
+    return longs(codecs.remixed(two, 3).unionByName(codecs.remixed(two, 1).withColumn("channel", F.lit(-1))), "channel", "value")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from decimal import Decimal
 
@@ -9,6 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import schemas
+from .. import status as S
 from .media import index
 
 
@@ -18,22 +20,28 @@ class FilePartition(InputPartition):
 
 
 class MediaReader(DataSourceReader):
-    """Reads files that every executor sees as local paths; other stores go through ``media.read_files``."""
+    """Reads files that every executor sees as local paths; other stores go through ``media.read_files``.
+
+    Options: relation, filesPerPartition, maxBytes (larger files are not read and have the status of an invalid source),
+    framesPerPacket.
+    """
 
     def __init__(self, options: dict):
-        self.path, self.at_once, self.relation = options["path"], int(options.get("filesPerPartition", 64)), options.get("relation", "packets")
+        self.path, self.at_once, self.relation = options["path"], int(options.get("filesperpartition", 64)), options.get("relation", "packets")
+        self.max_bytes, self.frames = int(options.get("maxbytes", S.MAX_SOURCE_BYTES)), int(options.get("framesperpacket", 1))
 
     def partitions(self) -> list[FilePartition]:
         import glob
-        import os
 
         found = sorted(p for p in glob.glob(os.path.join(self.path, "**"), recursive=True) if os.path.isfile(p))
         return [FilePartition(found[k : k + self.at_once]) for k in range(0, len(found), self.at_once)]
 
     def read(self, partition: FilePartition) -> Iterator[tuple]:
         for path in partition.paths:
-            with open(path, "rb") as f:
-                status, container, tracks, packets = index(f.read())
+            status, container, tracks, packets = S.INVALID, 0, [], []
+            if os.path.getsize(path) <= self.max_bytes:
+                with open(path, "rb") as f:
+                    status, container, tracks, packets = index(f.read(), self.max_bytes, self.frames)
             if self.relation == "status":
                 yield path, "index", status
             elif self.relation == "tracks":
@@ -51,7 +59,7 @@ class MediaSource(DataSource):
         return {"packets": schemas.PACKETS, "tracks": schemas.TRACKS, "status": schemas.STATUS}[self.options.get("relation", "packets")]
 
     def reader(self, schema: object) -> MediaReader:
-        return MediaReader(dict(self.options))
+        return MediaReader({k.lower(): v for k, v in self.options.items()})
 
 
 def register(spark: SparkSession) -> None:

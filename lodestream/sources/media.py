@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,10 +34,10 @@ INDEXERS: dict[int, tuple[TrackReader, TrackReader]] = {
 }
 
 
-def probe(data: bytes) -> int:
+def probe(data: bytes, max_bytes: int = S.MAX_SOURCE_BYTES) -> int:
     """Container id by the leading bytes, or 0."""
     try:
-        need(0 < len(data) <= S.MAX_SOURCE_BYTES)
+        need(0 < len(data) <= max_bytes)
         if data[:4] == b"fLaC":
             return S.FLAC
         if data[:4] == b"OggS":
@@ -60,11 +61,11 @@ def probe(data: bytes) -> int:
     return 0
 
 
-def inspect(data: bytes) -> tuple[int, int, list[tuple]]:
+def inspect(data: bytes, max_bytes: int = S.MAX_SOURCE_BYTES) -> tuple[int, int, list[tuple]]:
     """(status, container, tracks)."""
-    if not data or len(data) > S.MAX_SOURCE_BYTES:
+    if not data or len(data) > max_bytes:
         return S.INVALID, 0, []
-    container = probe(data)
+    container = probe(data, max_bytes)
     if not container:
         return S.UNSUPPORTED, 0, []
     try:
@@ -73,14 +74,17 @@ def inspect(data: bytes) -> tuple[int, int, list[tuple]]:
         return S.UNSUPPORTED, container, []
 
 
-def index(data: bytes) -> tuple[int, int, list[tuple], list[tuple]]:
-    """(status, container, tracks, packets in order of their offsets); all or nothing."""
-    status, container, tracks = inspect(data)
+def index(data: bytes, max_bytes: int = S.MAX_SOURCE_BYTES, frames_per_packet: int = 1) -> tuple[int, int, list[tuple], list[tuple]]:
+    """(status, container, tracks, packets in order of their offsets); all or nothing, and a source without packets is unsupported.
+
+    ``frames_per_packet`` groups the sample frames of a WAV source.
+    """
+    status, container, tracks = inspect(data, max_bytes)
     if status != S.OK:
         return status, container, [], []
     try:
-        packets = INDEXERS[container][1](data)
-        need(len(packets) <= S.MAX_PACKETS)
+        packets = INDEXERS[container][1](data, *([frames_per_packet] if container == S.WAV else []))
+        need(0 < len(packets) <= S.MAX_PACKETS)
         known = {t[0] for t in tracks}
         need(all(p[2] in known for p in packets))
     except (Bad, StopIteration):
@@ -99,15 +103,15 @@ def _arrow(name: str) -> pa.DataType:
     return to_arrow_type(schema[name].dataType)
 
 
-def indexed(sources: DataFrame, packets: bool = True) -> DataFrame:
-    """source_id, status, container_id, tracks, packets: one row a source."""
+def indexed(sources: DataFrame, packets: bool = True, max_bytes: int = S.MAX_SOURCE_BYTES, frames_per_packet: int = 1) -> DataFrame:
+    """source_id, status, container_id, tracks, packets: one row a source, whatever becomes of it."""
     from decimal import Decimal
 
     track_type, packet_type = _arrow("tracks"), _arrow("packets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [index(d or b"") if packets else (*inspect(d or b""), []) for d in b.column("content").to_pylist()]
+            got = [index(d or b"", max_bytes, frames_per_packet) if packets else (*inspect(d or b"", max_bytes), []) for d in b.column("content").to_pylist()]
             tracks = [[dict(zip(_TRACK_NAMES, (*t[:4], Decimal(t[4]), t[5]), strict=True)) for t in g[2]] for g in got]
             rows = [[dict(zip(_PACKET_NAMES, (k, p[0], p[1], p[2], Decimal(p[3]), p[4], p[5]), strict=True)) for k, p in enumerate(g[3])] for g in got]
             yield pa.RecordBatch.from_arrays(
@@ -130,17 +134,60 @@ def statuses(found: DataFrame, stage: str = "index") -> DataFrame:
     return found.select("source_id", F.lit(stage).alias("stage"), F.col("status").alias("code"))
 
 
-def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(source_id, content) of files; oversized ones are pruned by length before their bytes are read."""
+def read_files(spark: SparkSession, path: str, pattern: str = "*", max_bytes: int = S.MAX_SOURCE_BYTES) -> DataFrame:
+    """(source_id, content) of all files; the bytes of oversized ones are not read, their content is null (status: invalid)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return files.where(F.col("length") <= S.MAX_SOURCE_BYTES).select(F.col("path").alias("source_id"), "content")
+    read = files.where(F.col("length") <= max_bytes).select(F.col("path").alias("source_id"), "content")
+    return read.union(files.where(F.col("length") > max_bytes).select("path", F.lit(None).cast("binary")))
+
 
+def packet_payloads(found: DataFrame, sources: DataFrame, max_bytes: int = S.MAX_PACKET_BYTES) -> DataFrame:
+    """All packets with a status and their bytes; an oversized packet is invalid and has no payload.
 
-def packet_payloads(found: DataFrame, sources: DataFrame) -> DataFrame:
-    """Packets with their bytes, cut by substring where the packet list is small against the content."""
-    rows = packets(found).where(F.col("byte_size") <= S.MAX_PACKET_BYTES)
+    A source's content meets its list of packets once, and all payloads are cut there.
+    """
     content = sources.select(F.col("source_id").cast("string"), "content")
-    return rows.join(content, "source_id").withColumn("payload", F.substring("content", F.col("byte_offset").cast("int") + 1, F.col("byte_size").cast("int"))).drop("content")
+    both = found.where("status = 0").select("source_id", "packets").join(content, "source_id")
+
+    def cut(p: Column) -> Column:
+        fits = p["byte_size"] <= max_bytes
+        body = F.when(fits, F.substring("content", p["byte_offset"].cast("int") + 1, p["byte_size"].cast("int")))
+        return F.struct(*(p[n].alias(n) for n in _PACKET_NAMES), F.when(fits, S.OK).otherwise(S.INVALID).alias("packet_status"), body.alias("payload"))
+
+    return both.select("source_id", F.inline(F.transform("packets", cut)))
+
+
+def samples_by_packets(sources: DataFrame, frames_per_packet: int = 1) -> DataFrame:
+    """(source_id, status, packet, frame, channel, value): uncompressed WAV decoded by its packet table, a source's rows or its status only.
+
+    Packets must cover the source's samples without a gap; a source that fails has one row with its status.
+    """
+    from ..functions.codecs import decode_packets
+
+    names = ["source_id", "status", "packet", "frame", "channel", "value"]
+
+    def one(data: bytes) -> tuple[int, list[tuple], np.ndarray]:
+        status, container, _, found = index(data, frames_per_packet=frames_per_packet)
+        if status or container != S.WAV:
+            return status or S.UNSUPPORTED, [], np.zeros((0, 1), np.int64)
+        w = riff.open_wav(data)
+        try:
+            return S.OK, found, decode_packets(data, found, w.tag, w.bits, w.channels, w.samples)
+        except Bad:
+            return S.MALFORMED, [], np.zeros((0, 1), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ident, data in zip(b.column("source_id").to_pylist(), b.column("content").to_pylist(), strict=True):
+                status, found, got = one(data or b"")
+                n, channels = got.shape
+                packet = np.repeat(np.arange(len(found)), [p[4] for p in found]) if found else np.zeros(0, np.int64)
+                columns = [np.repeat(packet, channels), np.repeat(np.arange(n), channels), np.tile(np.arange(channels), n), got.ravel()]
+                rows = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)] if n else [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32())]
+                many = max(n * channels, 1)
+                yield pa.RecordBatch.from_arrays([pa.array([ident], pa.string()).take(pa.array(np.zeros(many, np.int32))), pa.array(np.full(many, status, np.int32)), *rows], names=names)
+
+    return sources.select(F.col("source_id").cast("string"), "content").mapInArrow(run, "source_id string, status int, packet bigint, frame bigint, channel int, value int")
 
 
 def capabilities(spark: SparkSession) -> DataFrame:
