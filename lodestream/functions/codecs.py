@@ -63,28 +63,48 @@ _STEPS = (
 )
 
 
-def ima_block(block: bytes, channels: int) -> np.ndarray:
-    """(frames, channels) of one block: a header a channel, then groups of four bytes a channel."""
-    need(len(block) > 4 * channels and (len(block) - 4 * channels) % (4 * channels) == 0)
-    n = (len(block) - 4 * channels) * 2 // channels
-    out = np.zeros((n + 1, channels), np.int16)
-    for c in range(channels):
-        value, step = int.from_bytes(block[4 * c : 4 * c + 2], "little", signed=True), block[4 * c + 2]
-        need(step < len(_STEPS))
-        out[0, c] = value
-        k = 1
-        for at in range(4 * channels + 4 * c, len(block), 4 * channels):
-            for byte in block[at : at + 4]:
-                for code in (byte & 15, byte >> 4):
-                    size = _STEPS[step]
-                    change = (size >> 3) + (size if code & 4 else 0) + (size >> 1 if code & 2 else 0) + (size >> 2 if code & 1 else 0)
-                    value = max(-32768, min(32767, value - change if code & 8 else value + change))
-                    step = max(0, min(len(_STEPS) - 1, step + _CHANGE[code & 7]))
-                    out[k, c] = value
-                    k += 1
+@cache
+def _ima_tables() -> tuple[np.ndarray, np.ndarray]:
+    """What each of the 16 codes adds to the value, and the step after it, for every step."""
+    size, code = np.array(_STEPS)[:, None], np.arange(16)
+    change = (size >> 3) + np.where(code & 4, size, 0) + np.where(code & 2, size >> 1, 0) + np.where(code & 1, size >> 2, 0)
+    after = np.clip(np.arange(len(_STEPS))[:, None] + np.array(_CHANGE)[code & 7], 0, len(_STEPS) - 1)
+    return np.where(code & 8, -change, change), after
+
+
+def ima_blocks(blocks: list[bytes], channels: int) -> list[np.ndarray]:
+    """(frames, channels) of each block: a header a channel, then groups of four bytes a channel.
+
+    Blocks do not depend on each other, so all of one length advance together, a code at a time.
+    """
+    out: list[np.ndarray] = [np.zeros((0, channels), np.int16)] * len(blocks)
+    change, after = _ima_tables()
+    head = 4 * channels
+    lengths = np.array([len(b) for b in blocks], np.int64)
+    for length in np.unique(lengths).tolist():
+        need(length > head and length % head == 0)
+        places = np.flatnonzero(lengths == length)
+        raw = np.frombuffer(b"".join(blocks[k] for k in places), np.uint8).reshape(-1, length)
+        heads = raw[:, :head].reshape(-1, channels, 4)
+        value, step = heads[..., :2].copy().view("<i2")[..., 0].astype(np.int64), heads[..., 2].astype(np.int64)
+        need((step < len(_STEPS)).all())
+        groups = raw[:, head:].reshape(len(places), -1, channels, 4).transpose(1, 3, 0, 2)
+        codes = np.stack([groups & 15, groups >> 4], axis=2).reshape(-1, len(places), channels)
+        got = np.empty((len(codes) + 1, len(places), channels), np.int16)
+        got[0] = value
+        for k, code in enumerate(codes, 1):
+            value = np.clip(value + change[step, code], -32768, 32767)
+            step = after[step, code]
+            got[k] = value
+        for j, k in enumerate(places):
+            out[k] = got[:, j]
     return out
 
 
+def ima_block(block: bytes, channels: int) -> np.ndarray:
+    return ima_blocks([block], channels)[0]
+
+
 def raw_frame(data: bytes, width: int, height: int, bits: int, bgr: bool = True, top_down: bool = False) -> np.ndarray:
     """(height, width) ARGB of an uncompressed frame with rows padded to four bytes, bottom row first."""
     need(1 <= width <= 4096 and 1 <= height <= 4096 and width * height <= 16_777_216 and bits in (16, 24, 32))
@@ -136,7 +156,7 @@ def decode_source(data: bytes) -> tuple[int, np.ndarray, int]:
             w = riff.open_wav(data)
             body = data[w.start : w.start + w.size]
             if w.tag == riff.IMA:
-                return 0, np.concatenate([ima_block(body[k : k + w.align], w.channels) for k in range(0, w.size, w.align)]), w.rate
+                return 0, np.concatenate(ima_blocks([body[k : k + w.align] for k in range(0, w.size, w.align)], w.channels)), w.rate
             return 0, pcm_to_s16(body, w.tag, w.bits).reshape(-1, w.channels), w.rate
     except Bad:
         return media.S.MALFORMED, nothing, 0

@@ -78,19 +78,46 @@ def q06_g711(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(spark.range(256).withColumnRenamed("id", "code").select("code", samples.alaw(c).alias("alaw"), samples.alaw(c, True).alias("alaw_compat"), samples.ulaw(c).alias("ulaw")), "alaw", "alaw_compat", "ulaw")
 
 
-@query()
+#: A state is packed in one number: the sum of the samples above 23 bits, the value above 7, the step.
+_IMA_SIZE = f"{list(codecs._STEPS)}[(a & 127) + 1]"
+_IMA_CHANGE = f"(({_IMA_SIZE} >> 3) + (c >> 2 & 1) * {_IMA_SIZE} + (c >> 1 & 1) * ({_IMA_SIZE} >> 1) + (c & 1) * ({_IMA_SIZE} >> 2))"
+_IMA_VALUE = f"greatest(-32768, least(32767, ((a >> 7) & 65535) - 32768 + (1 - (c >> 3) * 2) * {_IMA_CHANGE}))"
+_IMA_STEP = "greatest(0, least(88, (a & 127) + CASE WHEN (c & 7) < 4 THEN -1 ELSE ((c & 7) - 3) * 2 END))"
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, r, rpad(h, CAST((length(h) + 7) // 8 * 8 AS INT), '0') AS h FROM t),
+b AS (SELECT r, substr(h, 2040 * k + 1, 2040) AS h FROM (SELECT r, h, unnest(range((length(h) + 2039) // 2040)) AS k FROM p)),
+n AS (SELECT r, length(h) + 1 AS n, list_prepend({(1 << 61) + (32768 << 7) + 16}::BIGINT, list_transform(range(length(h)), lambda i: strpos('123456789ABCDEF', substr(h, i + 2 - i % 2 * 2, 1))::BIGINT)) AS codes FROM b),
+s AS (SELECT r, sum(n) AS n_samples, sum((list_reduce(codes, lambda a, c: ((a >> 23) + {_IMA_VALUE}) * 8388608 + ({_IMA_VALUE} + 32768) * 128 + {_IMA_STEP}) >> 23) - {1 << 38}) AS total FROM n GROUP BY r)
+SELECT doc_id, CAST(coalesce(n_samples, 0) AS BIGINT) AS n_samples, CAST(coalesce(total, 0) AS BIGINT) AS total FROM p LEFT JOIN s USING (r)""")
 def q07_ima_adpcm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of 1,024 bytes built from the whole texts, decoded; sums a document."""
+    """Blocks of 1,024 bytes built from the whole texts, decoded many at a time; sums a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = []
-            for t in b.column("text").to_pylist():
+            counts, totals = [0] * b.num_rows, [0] * b.num_rows
+            rows: list[int] = []
+            blocks: list[bytes] = []
+
+            def flush() -> None:
+                for k, s in zip(rows, codecs.ima_blocks(blocks, 1), strict=True):
+                    counts[k] += len(s)
+                    totals[k] += int(s.sum(dtype="int64"))
+                rows.clear()
+                blocks.clear()
+
+            for k, t in enumerate(b.column("text").to_pylist()):
                 body = (t or "").encode()
                 body += b"\0" * (-len(body) % 4)
-                blocks = [codecs.ima_block(b"\0\0\x10\0" + body[k : k + 1020], 1) for k in range(0, len(body), 1020)]
-                got.append((sum(map(len, blocks)), sum(int(s.astype("int64").sum()) for s in blocks)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], names=["doc_id", "n_samples", "total"])
+                for at in range(0, len(body), 1020):
+                    rows.append(k)
+                    blocks.append(b"\0\0\x10\0" + body[at : at + 1020])
+                    if len(blocks) == 4096:
+                        flush()
+            flush()
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(totals, pa.int64())], names=["doc_id", "n_samples", "total"])
 
     return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_samples bigint, total bigint")
 
@@ -252,19 +279,47 @@ def playback_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+#: The same events in SQL, numbered within their session.
+_PLAYBACK_SQL = """e AS (SELECT user_id AS session, event_id AS seq, CASE event_type WHEN 'signup' THEN 'bind' WHEN 'error' THEN 'clear' WHEN 'view' THEN 'surface' ELSE 'playback' END AS kind,
+coalesce(CAST(nullif(regexp_extract(props, '"k": *(-?[0-9]+)', 1), '') AS BIGINT), 0) % 3 + 1 AS generation, 1 + event_id % 3 AS state, 1 + event_id % 2 AS playback, event_id // 2 % 4 <> 0 AS background,
+event_id // 3 % 5 <> 0 AS output, event_id // 5 % 16 AS flags, 1 + event_id // 7 % 4 AS command, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events)"""
+
+
+@query(f"""
+WITH RECURSIVE {_PLAYBACK_SQL},
+r AS (SELECT DISTINCT session, 0::BIGINT AS rn, 0::BIGINT AS seq, FALSE AS ok, FALSE AS bound, 0::BIGINT AS gen, FALSE AS bg, FALSE AS sound, 0::BIGINT AS fl, 1::BIGINT AS surface, FALSE AS plays FROM e
+UNION ALL SELECT session, rn, seq, ok, CASE WHEN kind = 'clear' THEN FALSE ELSE bound OR (kind = 'bind' AND ok) END, CASE WHEN kind = 'clear' THEN 0 WHEN kind = 'bind' AND ok THEN generation ELSE gen END,
+CASE WHEN kind = 'clear' THEN FALSE WHEN kind = 'bind' AND ok THEN background ELSE bg END, CASE WHEN kind = 'clear' THEN FALSE WHEN kind IN ('bind', 'playback') AND ok THEN output ELSE sound END,
+CASE WHEN kind = 'clear' THEN 0 WHEN kind = 'bind' AND ok THEN flags ELSE fl END, CASE WHEN kind = 'clear' OR (kind = 'bind' AND ok) THEN 1 WHEN kind = 'surface' AND ok THEN state ELSE surface END,
+CASE WHEN kind = 'clear' OR (kind = 'bind' AND ok) THEN FALSE WHEN kind = 'playback' AND ok THEN playback = 2 ELSE plays END
+FROM (SELECT e.*, bound, gen, bg, sound, fl, surface, plays, CASE kind WHEN 'bind' THEN e.session <> 0 WHEN 'clear' THEN TRUE WHEN 'surface' THEN bound AND generation = gen AND (state = 1 OR bg) ELSE bound AND generation = gen END AS ok
+FROM r JOIN e ON e.session = r.session AND e.rn = r.rn + 1)),
+w AS (SELECT *, CASE WHEN NOT bound THEN 1 WHEN NOT plays THEN 2 WHEN NOT sound THEN 4 WHEN surface <> 1 AND NOT bg THEN 3 ELSE 0 END AS why FROM r WHERE rn > 0)
+SELECT session, seq, CAST(ok AS BIGINT) AS accepted, CAST(bound AS BIGINT) AS bound, CAST(why = 0 AS BIGINT) AS allow_playback, CAST(why = 0 AND surface = 3 AND fl <> 0 AS BIGINT) AS show_lock_controls,
+CAST(why = 0 AS BIGINT) AS request_power_inhibit, CAST(why AS BIGINT) AS reason FROM w""")
 def q21_lifecycle_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.replay(playback_events(spark, sf_dir), machines.Lifecycle(), "session", ["seq"])
+    return longs(replay.replay(playback_events(spark, sf_dir), machines.Lifecycle(), "session", ["seq"]), "accepted", "bound", "allow_playback", "show_lock_controls", "request_power_inhibit", "reason")
+
+
+def _owner_sql(wanted: str, command: str) -> str:
+    """An owner without failures: a denial clears, an older generation is refused, all else is taken over."""
+    return f"""
+WITH RECURSIVE {_PLAYBACK_SQL}, b AS (SELECT *, CASE WHEN session = 0 THEN -1 WHEN playback = 2 AND output AND (state = 1 OR background) AND {wanted} THEN 1 ELSE 0 END AS wanted FROM e),
+r AS (SELECT DISTINCT session, 0::BIGINT AS rn, 0::BIGINT AS seq, 0 AS result, FALSE AS active, 0::BIGINT AS gen, 0::BIGINT AS held FROM e
+UNION ALL SELECT b.session, b.rn, b.seq, CASE WHEN wanted = 1 AND active AND generation < gen THEN -1 ELSE wanted END, wanted = 1,
+CASE WHEN wanted < 1 THEN 0 WHEN active THEN greatest(gen, generation) ELSE generation END, CASE WHEN wanted < 1 THEN 0 WHEN active AND generation < gen THEN held ELSE {command} END
+FROM r JOIN b ON b.session = r.session AND b.rn = r.rn + 1)
+SELECT session, seq, CAST(result AS BIGINT) AS result, CAST(active AS BIGINT) AS active, CAST(0 AS BIGINT) AS pending, CASE WHEN active THEN session ELSE 0 END AS active_session, gen AS active_generation, held AS active_command FROM r WHERE rn > 0"""
 
 
-@query()
+@query(_owner_sql("state = 3 AND (flags >> CAST(command - 1 AS INT)) & 1 = 1", "command"))
 def q22_lock_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.replay(playback_events(spark, sf_dir), machines.Owner(True), "session", ["seq"])
+    return longs(replay.replay(playback_events(spark, sf_dir), machines.Owner(True), "session", ["seq"]), "result", "active", "pending", "active_command")
 
 
-@query()
+@query(_owner_sql("TRUE", "0"))
 def q23_power_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.replay(playback_events(spark, sf_dir), machines.Owner(False), "session", ["seq"])
+    return longs(replay.replay(playback_events(spark, sf_dir), machines.Owner(False), "session", ["seq"]), "result", "active", "pending", "active_command")
 
 
 @query("""
@@ -365,13 +420,21 @@ def q28_clock_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(got.drop("elapsed"), "time_ms")
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_id, CASE event_type WHEN 'click' THEN 'play' WHEN 'error' THEN 'stop' WHEN 'purchase' THEN 'loop' ELSE 'update' END AS kind,
+CASE event_type WHEN 'purchase' THEN event_id % 2 ELSE CAST(trunc(value) AS BIGINT) END AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+r AS (SELECT DISTINCT user_id, 0::BIGINT AS rn, 0::BIGINT AS event_id, 0::BIGINT AS ms, 0::BIGINT AS target, FALSE AS plays, FALSE AS loops FROM e
+UNION ALL SELECT user_id, rn, event_id, CASE WHEN kind = 'stop' OR (runs AND raw >= 5 AND loops) THEN 0 WHEN runs THEN later ELSE ms END, CASE WHEN NOT runs OR (raw >= 5 AND loops) THEN 0 ELSE least(raw, 4) END,
+CASE kind WHEN 'play' THEN TRUE WHEN 'stop' THEN FALSE ELSE plays END, CASE WHEN kind = 'loop' THEN v <> 0 ELSE loops END
+FROM (SELECT *, kind = 'update' AND plays AS runs, CAST(floor(later::DOUBLE * 25.0::DOUBLE / 1000.0::DOUBLE) AS BIGINT) AS raw
+FROM (SELECT e.*, ms, plays, loops, least(4294967295, ms + v) AS later FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)))
+SELECT user_id, event_id, ms AS time_ms, target AS target_frame, target AS frames_due, CAST(plays AS BIGINT) AS playing FROM r WHERE rn > 0""")
 def q28_player_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A looping player a user: clicks play, errors stop, purchases switch looping, the rest let time pass."""
     t = F.col("event_type")
     kind = F.when(t == "click", "play").when(t == "error", "stop").when(t == "purchase", "loop").otherwise("update")
     e = table(spark, sf_dir, "events").select("user_id", "event_id", kind.alias("kind"), F.when(t == "purchase", F.col("event_id") % 2).otherwise(F.col("value").cast("bigint")).alias("value"))
-    return replay.replay(e, machines.Player(25.0, 5), "user_id", ["event_id"])
+    return longs(replay.replay(e, machines.Player(25.0, 5), "user_id", ["event_id"]), "playing")
 
 
 # --- whole paths from bytes ------------------------------------------------------------------
@@ -492,7 +555,11 @@ def q38_duplicate_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.duplicate_tracks(table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "source"), "source", "l_suppkey")
 
 
-@query()
+@query(f"""
+WITH v AS (SELECT p_partkey, p_partkey * 2654435761 % 65536 AS v FROM part), f AS (SELECT *, v >> 11 AS kind, (v >> 7) & 15 AS rate, (v >> 3) & 15 AS channels FROM v),
+g AS (SELECT *, kind NOT IN (0, 5, 29, 31) AND rate < {len(streams.AAC_RATES)} AND channels <= 7 AND NOT (kind IN (1, 2, 3, 4, 6, 7, 17, 19, 20, 21, 22, 23) AND (v & 2) = 2) AS ok FROM f)
+SELECT p_partkey, CAST(CASE WHEN ok THEN 0 ELSE -3 END AS BIGINT) AS status, CAST(CASE WHEN ok THEN kind ELSE 0 END AS BIGINT) AS object_type,
+CAST(CASE WHEN ok THEN {list(streams.AAC_RATES)}[rate + 1] ELSE 0 END AS BIGINT) AS rate, CAST(CASE WHEN ok THEN channels ELSE 0 END AS BIGINT) AS channels FROM g""")
 def q39_aac_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-byte configurations made from part keys: object type, rate index and channels."""
 
