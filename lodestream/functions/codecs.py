@@ -7,7 +7,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import flac, media, riff
@@ -197,6 +197,23 @@ def bounded_read(found: DataFrame, requests: DataFrame, source: str = "source_id
     return found.join(requests, source).where((F.col("frame") >= F.col("position")) & (F.col("frame") < last))
 
 
+def resampled(found: DataFrame, rate: int, wanted: int, span: int = 4096) -> DataFrame:
+    """Samples at another rate, by linear interpolation between neighbours (toward the earlier one); the last holds on.
+
+    Each sample makes the output frames up to its successor.  Sources are cut into spans of frames, and the first
+    sample of a span is also the end of the one before, so a long source is not one task.
+    """
+    frame, at = F.col("frame"), F.floor(F.col("frame") / span)
+    cut = found.withColumn("_span", F.explode(F.when((frame % span == 0) & (frame > 0), F.array(at, at - 1)).otherwise(F.array(at))))
+    w = Window.partitionBy("source_id", "channel", "_span").orderBy("frame")
+    pairs = cut.withColumn("_next", F.coalesce(F.lead("value").over(w), F.col("value"))).where(F.col("_span") == at)
+    first = lambda k: F.call_function("div", k * wanted + rate - 1, F.lit(rate))
+    many = pairs.withColumns({"_from": first(frame), "_to": first(frame + 1) - 1}).where("_from <= _to")
+    each = many.withColumn("_out", F.explode(F.sequence("_from", "_to")))
+    moved = F.call_function("div", (F.col("_next") - F.col("value")).cast("bigint") * (F.col("_out") * rate - frame * wanted), F.lit(wanted))
+    return each.select("source_id", F.col("_out").alias("frame"), "channel", (F.col("value") + moved).cast("int").alias("value"))
+
+
 def remixed(found: DataFrame, channels: int) -> DataFrame:
     """Samples with so many channels: one is the mean of all (toward zero); more repeat those there are, in turn."""
     if channels == 1:

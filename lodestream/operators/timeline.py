@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import U32
+from .validity import command_ok, number_ok
 
 #: Chunk numbers handled by one task of ``asof``.
 ASOF_SPAN = 4096
@@ -103,6 +104,26 @@ def latest(rows: DataFrame, key: str, revision: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), revision).alias("_row")).select("_row.*")
 
 
+def publisher_states(events: DataFrame, publisher: str, order: str) -> DataFrame:
+    """``accepted`` and ``session_id`` (0: none is open) after each event of a session's publisher.
+
+    Events are of a kind publish, update, poll or close, with info_ok, reply_session, reply_revision, command and
+    command_revision.  A publish replaces what was open, also if it is refused; a refused update changes nothing; a
+    bad command ends the session.  Only those events that open or end a session matter to later ones, so the state
+    is the last of these.
+    """
+    kind = F.col("kind")
+    opened = F.col("info_ok") & number_ok(F.col("reply_session")) & number_ok(F.col("reply_revision"))
+    good = command_ok(F.col("command"), F.col("command_revision"))
+    left = F.when(kind == "publish", F.when(opened, F.col("reply_session")).otherwise(0)).when((kind == "close") | ((kind == "poll") & ~good), 0)
+    w = Window.partitionBy(publisher).orderBy(order)
+    state = lambda last: F.coalesce(F.last("_left", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, last)), F.lit(0))
+    seen = events.withColumn("_left", left.cast("decimal(20,0)")).withColumns({"_before": state(-1), "session_id": state(0)})
+    there = F.col("_before") != 0
+    ok = F.when(kind == "publish", opened).when(kind == "update", there & F.col("info_ok")).when(kind == "poll", there & good).otherwise(kind == "close")
+    return seen.withColumn("accepted", ok).drop("_left", "_before")
+
+
 def duplicate_tracks(tracks: DataFrame, source: str, track: str) -> DataFrame:
     """Sources that use a track id twice."""
     return tracks.groupBy(source, track).count().where("count > 1").select(source).distinct()

@@ -59,6 +59,16 @@ def power_request_ok(session: Column, generation: Column, inhibit: Column) -> Co
     return (session != 0) & (generation != 0) & (inhibit == 1)
 
 
+def number_ok(number: Column) -> Column:
+    """A session id or a revision that is given: unsigned 64 bits, neither 0 nor the largest."""
+    return number.cast("decimal(20,0)").between(F.lit("1").cast("decimal(20,0)"), F.lit(str(NO_REVISION - 1)).cast("decimal(20,0)"))
+
+
+def command_ok(command: Column, revision: Column, reserved: Column | int = 0) -> Column:
+    """A command of a controller, as it is dispatched to a session or polled by its publisher."""
+    return command.isin(*FLAGS) & number_ok(revision) & ((F.lit(reserved) if isinstance(reserved, int) else reserved) == 0)
+
+
 def request_range_ok(address: Column, size: Column, most: int) -> Column:
     """A span of an unsigned 64-bit address space: not empty, not too long, and not beyond the end."""
     a, n = address.cast("decimal(20,0)"), size.cast("decimal(20,0)")

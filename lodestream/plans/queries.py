@@ -711,3 +711,31 @@ def q50_remix(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("source_id"), F.col("event_id").alias("frame"), (F.col("value").cast("bigint") - 40).alias("v"))
     two = e.select("source_id", "frame", F.posexplode(F.array("v", F.col("v") * 2)).alias("channel", "value"))
     return longs(codecs.remixed(two, 3).unionByName(codecs.remixed(two, 1).withColumn("channel", F.lit(-1))), "channel", "value")
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, CASE event_type WHEN 'signup' THEN 'publish' WHEN 'error' THEN 'close' WHEN 'purchase' THEN 'poll' ELSE 'update' END AS kind,
+event_id % 4 <> 0 AS info, event_id % 5 AS sid, event_id % 7 AS rev, event_id % 6 BETWEEN 1 AND 4 AND event_id % 3 <> 0 AS good FROM events),
+m AS (SELECT *, CASE WHEN kind = 'publish' THEN CASE WHEN info AND rev > 0 THEN sid ELSE 0 END WHEN kind = 'close' OR (kind = 'poll' AND NOT good) THEN 0 END AS leaves FROM e),
+s AS (SELECT *, coalesce(last_value(leaves IGNORE NULLS) OVER w, 0) AS now, coalesce(last_value(leaves IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+FROM m WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))
+SELECT user_id, event_id, kind, CAST(CASE kind WHEN 'publish' THEN now > 0 WHEN 'update' THEN before > 0 AND info WHEN 'poll' THEN before > 0 AND good ELSE TRUE END AS BIGINT) AS accepted,
+CAST(now AS BIGINT) AS session_id, CAST(sid > 0 AND good AS BIGINT) AS dispatched FROM s""")
+def q51_session_publisher(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A publisher a user: signups publish, errors close, purchases poll for a command, the rest update; and whether a controller's command could be dispatched."""
+    t, n = F.col("event_type"), F.col("event_id")
+    kind = F.when(t == "signup", "publish").when(t == "error", "close").when(t == "purchase", "poll").otherwise("update")
+    fields = {"info_ok": n % 4 != 0, "reply_session": n % 5, "reply_revision": n % 7, "command": n % 6, "command_revision": n % 3}
+    got = timeline.publisher_states(table(spark, sf_dir, "events").select("user_id", "event_id", kind.alias("kind"), *(c.alias(k) for k, c in fields.items())), "user_id", "event_id")
+    sent = validity.number_ok(F.col("reply_session")) & validity.command_ok(F.col("command"), F.col("command_revision"))
+    return longs(got.select("user_id", "event_id", "kind", "accepted", "session_id", sent.alias("dispatched")), "accepted", "session_id", "dispatched")
+
+
+@query(f"""
+WITH {_WAV_SAMPLES}, n AS (SELECT source_id, count(*) AS n FROM w GROUP BY source_id), o AS (SELECT source_id, n, unnest(range((n * 11025 + 7999) // 8000)) AS j FROM n),
+p AS (SELECT source_id, j, j * 8000 // 11025 AS k, j * 8000 % 11025 AS rest, least(j * 8000 // 11025 + 1, n - 1) AS k2 FROM o)
+SELECT p.source_id, CAST(j AS BIGINT) AS frame, a.value + CAST(trunc((b.value - a.value) * rest / 11025.0::DOUBLE) AS BIGINT) AS value
+FROM p JOIN w a ON a.source_id = p.source_id AND a.frame = k JOIN w b ON b.source_id = p.source_id AND b.frame = k2""")
+def q52_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as WAV files of 8,000 Hz, decoded and brought to 11,025 Hz."""
+    return longs(codecs.resampled(codecs.samples(wav_sources(spark, sf_dir)), 8000, 11_025).select("source_id", "frame", "value"), "frame", "value")

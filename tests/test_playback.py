@@ -93,3 +93,32 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     got = sorted(tuple(r) for r in spark.table("decisions").collect())
     want = sorted(tuple(r) for r in replay.replay(spark.createDataFrame(EVENTS, SCHEMA), machines.Lifecycle(), "session", ["seq"]).collect())
     assert got == want
+
+
+def test_decisions_reach_a_sink(spark, tmp_path):
+    spark.createDataFrame(EVENTS, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    seen = {}
+    q = processors.reconcile(processors.run_machine(stream, machines.Owner(False)), lambda batch, k: seen.setdefault(k, sorted(map(tuple, batch.collect()))), str(tmp_path / "cp"))
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    want = sorted(tuple(r) for r in replay.replay(spark.createDataFrame(EVENTS, SCHEMA), machines.Owner(False), "session", ["seq"]).collect())
+    assert sorted(r for k in seen.values() for r in k) == want
+
+
+def test_resampling_over_spans(spark):
+    from lodestream.functions import codecs
+
+    rows = [("a", k, c, (k * 37 + c * 11) % 200 - 100) for k in range(50) for c in range(2)]
+    df = spark.createDataFrame(rows, "source_id string, frame bigint, channel int, value int")
+    for rate, wanted in ((8, 8), (8, 11), (11, 4), (1, 3)):
+        want = []
+        for c in range(2):
+            v = [r[3] for r in rows if r[2] == c]
+            for j in range(-(-50 * wanted // rate)):
+                k, rest = divmod(j * rate, wanted)
+                d = (v[min(k + 1, 49)] - v[k]) * rest
+                want.append(("a", j, c, v[k] + (abs(d) // wanted) * (1 if d >= 0 else -1)))
+        assert sorted(map(tuple, codecs.resampled(df, rate, wanted, span=8).collect())) == sorted(want)
