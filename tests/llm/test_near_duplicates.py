@@ -93,3 +93,17 @@ def test_other_texts_under_an_id_stay(spark):
     rows = [(1, "one two three four five six"), (1, "an entirely different text of some words"), (1, "one two three four five six"), (2, "one two three four five six"), (2, "a third text that nobody else has")]
     left = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted(map(tuple, left)) == sorted({*rows[:2], rows[4]})
+
+
+def test_a_large_group_around_one_text(spark):
+    """Each of 150 texts is alike to one text only, not to each other: one stays."""
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(5000)]
+    base = [rng.choice(words) for _ in range(300)]
+    rows = [(0, " ".join(base))]
+    for k in range(150):
+        t = list(base)
+        for at in rng.sample(range(300), 6):
+            t[at] = rng.choice(words)
+        rows.append((k + 1, " ".join(t)))
+    assert [r[0] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()] == [0]
