@@ -1,19 +1,23 @@
 """Relational steps of media processing, as DataFrame operations.
 
-Windows are partitioned by the source (a media file, a playback session), and large sources are
-split further where the step allows it; nothing is collected.
+A source (a media file, a playback session) may hold a large share of all rows.  Running sums,
+ranks and looks at the row before go through ``running``, and as-of lookups through ``asof``,
+which split a large source into pieces of its order, so no task holds it whole.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions.scalars import U32
 from .validity import command_ok, number_ok
 
 #: Chunk numbers handled by one task of ``asof``.
 ASOF_SPAN = 4096
+#: Sources of more rows, and of more than one in PIECES of all, are cut into PIECES pieces of their order; the others are a task's work whole.
+LARGE, PIECES = 1_000_000, 1024
 
 
 def exclusive_sum(value: Column, by: list[str], order: list[str]) -> Column:
@@ -22,20 +26,79 @@ def exclusive_sum(value: Column, by: list[str], order: list[str]) -> Column:
     return F.coalesce(F.sum(value).over(w), F.lit(0))
 
 
+def large_sources(rows: DataFrame, source: str, least: int = LARGE) -> Column | None:
+    """Whether a row is of a source that has more than ``least`` rows and more than a part in PIECES of all; None if no source has.
+
+    By the second condition fewer than PIECES sources are large, however many rows there are.
+    """
+    total = rows.count()
+    if total <= least:
+        return None
+    counts = rows.groupBy(source).agg(F.count("*").alias("_n")).where(F.col("_n") > max(least, total // PIECES))
+    names = [r[0] for r in counts.select(source).collect()]
+    known = F.coalesce(F.col(source).isin([n for n in names if n is not None]), F.lit(False))
+    return (known | F.col(source).isNull() if None in names else known) if names else None
+
+
+def in_pieces(rows: DataFrame, large: Column, order: str, pieces: int = PIECES) -> DataFrame:
+    """``rows`` with ``_piece``, 0 for sources that are not large and else growing with ``order``.
+
+    The pieces are cut at quantiles of the large sources' orders, nulls first as in a window's
+    order; equal values share a piece, and an order that is not numeric is one piece.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    if not isinstance(rows.schema[order].dataType, NumericType):
+        return rows.withColumn("_piece", F.lit(0))
+    value = F.col(order).cast("double")
+    shares = [k / pieces for k in range(1, pieces)]
+    found = rows.where(large & ~F.isnan(value)).agg(F.percentile_approx(value, shares, 10 * pieces)).first()[0] if shares else None
+    infinite = float("inf")
+    splits = [-infinite, *(sorted(set(found or []) - {-infinite, infinite}) or [0.0]), infinite]
+    placed = Bucketizer(splits=splits, inputCol="_order", outputCol="_piece", handleInvalid="keep").transform(rows.withColumn("_order", value))
+    return placed.withColumn("_piece", F.when(large & F.col("_order").isNotNull(), F.col("_piece").cast("int") + 1).otherwise(0)).drop("_order")
+
+
+def running(rows: DataFrame, source: str, order: list[str], sums: dict[str, Column], before: dict[str, Column] | None = None, least: int = LARGE, pieces: int = PIECES) -> DataFrame:
+    """``rows`` with, by name, sums over all earlier rows of the source (0 at its start) and values of the row before.
+
+    Each piece of a large source gets one more row ahead of its own, which holds the sums of the
+    earlier pieces and the values of their last row; so a window over the piece alone is enough,
+    without a join.
+    """
+    before = before or {}
+    values = {f"_{name}": value for name, value in (sums | before).items()}
+    valued = rows.withColumns(values)
+
+    def looked(by: list[str], along: list[str]) -> dict[str, Column]:
+        w = Window.partitionBy(*by).orderBy(*along)
+        return {k: exclusive_sum(F.col(f"_{k}"), by, along) for k in sums} | {k: F.lag(f"_{k}").over(w) for k in before}
+
+    large = large_sources(rows, source, least)
+    if large is None:
+        return valued.withColumns(looked([source], order)).drop(*values)
+    cut = in_pieces(valued, large, order[0], pieces).withColumn("_mark", F.lit(1))
+    totals = cut.where(large).groupBy(source, "_piece").agg(*(F.sum(f"_{k}").alias(f"_{k}") for k in sums), *(F.max_by(f"_{k}", F.struct(*order)).alias(f"_{k}") for k in before))
+    carried = totals.select(source, "_piece", F.lit(0).alias("_mark"), *(c.alias(f"_{k}") for k, c in looked([source], ["_piece"]).items()))
+    both = cut.unionByName(carried, allowMissingColumns=True)
+    return both.withColumns(looked([source, "_piece"], ["_mark", *order])).where("_mark = 1").drop("_piece", "_mark", *values)
+
+
 def timestamps(packets: DataFrame, source: str, order: str, duration: str) -> DataFrame:
-    return packets.withColumn("timestamp_ticks", exclusive_sum(F.col(duration), [source], [order]))
+    return running(packets, source, [order], {"timestamp_ticks": F.col(duration)})
 
 
 def sort_packets(packets: DataFrame, source: str, offset: str, emit_seq: str) -> DataFrame:
     """Stable order by offset: ``emit_seq`` breaks ties as the indexer emitted them."""
-    return packets.withColumn("seq", F.row_number().over(Window.partitionBy(source).orderBy(offset, emit_seq)) - 1)
+    return running(packets, source, [offset, emit_seq], {"seq": F.lit(1)})
 
 
 def reject_orphans(packets: DataFrame, tracks: DataFrame, source: str, track: str) -> DataFrame:
     """One row a source: status 0 and its packets, or -2 and none if a packet names no track."""
     known = tracks.select(source, track).distinct().withColumn("_known", F.lit(1))
-    joined = packets.join(known, [source, track], "left")
-    totals = joined.groupBy(source).agg(F.count("*").alias("_n"), F.sum(F.when(F.col("_known").isNull(), 1).otherwise(0)).alias("_orphans"))
+    counts = packets.groupBy(source, track).agg(F.count("*").alias("_n"))
+    joined = counts.join(known, [source, track], "left")
+    totals = joined.groupBy(source).agg(F.sum("_n").alias("_n"), F.sum(F.when(F.col("_known").isNull(), F.col("_n")).otherwise(0)).alias("_orphans"))
     return totals.select(source, F.when(F.col("_orphans") > 0, -2).otherwise(0).alias("status"), F.when(F.col("_orphans") > 0, 0).otherwise(F.col("_n")).cast("bigint").alias("n_packets"))
 
 
@@ -62,27 +125,26 @@ def asof(chunks: DataFrame, entries: DataFrame, source: str, chunk: str, first:
 
 def expand_runs(runs: DataFrame, source: str, order: str, run: str, value: str) -> DataFrame:
     """(source, ordinal, value): each run-length entry as that many rows, numbered through the source."""
-    started = runs.withColumn("_start", exclusive_sum(F.col(run).cast("bigint"), [source], [order])).where(F.col(run) > 0)
+    started = running(runs, source, [order], {"_start": F.col(run).cast("bigint")}).where(F.col(run) > 0)
     return started.select(source, F.explode(F.sequence(F.col("_start"), F.col("_start") + F.col(run) - 1)).alias("ordinal"), value)
 
 
 def nth_row(rows: DataFrame, source: str, order: str, n: int) -> DataFrame:
     """The n-th row (from 0) of each source."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(source).orderBy(order))).where(F.col("_n") == n + 1).drop("_n")
+    return running(rows, source, [order], {"_n": F.lit(1)}).where(F.col("_n") == n).drop("_n")
 
 
 def chunk_at(chunks: DataFrame, source: str, order: list[str], samples: str, target: int) -> DataFrame:
     """The chunk of each source that holds sample ``target``, with the offset into it and what remains."""
-    low = chunks.withColumn("_low", exclusive_sum(F.col(samples).cast("bigint"), [source], order))
+    low = running(chunks, source, order, {"_low": F.col(samples).cast("bigint")})
     inside = low.where((F.col("_low") <= target) & (F.lit(target) - F.col("_low") < F.col(samples)))
     return inside.withColumn("offset_samples", (F.lit(target) - F.col("_low")).cast("bigint")).withColumn("available", (F.col(samples) - F.col("offset_samples")).cast("bigint")).drop("_low")
 
 
 def contiguity(packets: DataFrame, source: str, order: str, offset: str, size: str, timestamp: str, duration: str) -> DataFrame:
     """One row a source: packets that overlap the one before, and that break the running timestamp."""
-    w = Window.partitionBy(source).orderBy(order)
-    end = F.lag(F.col(offset) + F.col(size)).over(w)
-    marked = packets.withColumns({"_overlap": (F.col(offset) < end).cast("int"), "_gap": (F.col(timestamp) != exclusive_sum(F.col(duration), [source], [order])).cast("int")})
+    seen = running(packets, source, [order], {"_due": F.col(duration)}, {"_end": F.col(offset) + F.col(size)})
+    marked = seen.withColumns({"_overlap": (F.col(offset) < F.col("_end")).cast("int"), "_gap": (F.col(timestamp) != F.col("_due")).cast("int")})
     sums = marked.groupBy(source).agg(F.coalesce(F.sum("_overlap"), F.lit(0)).alias("overlaps"), F.coalesce(F.sum("_gap"), F.lit(0)).alias("gaps"))
     return sums.withColumn("status", F.when((F.col("overlaps") > 0) | (F.col("gaps") > 0), -3).otherwise(0))
 
@@ -137,7 +199,7 @@ def best_track(tracks: DataFrame, source: str, track: str, is_default: str) -> D
 
 def clock_positions(events: DataFrame, player: str, order: str, elapsed: str, fps: Column, frames: Column) -> DataFrame:
     """Time after each update of a clock that saturates at 32 bits and does not loop, and its target frame."""
-    w = Window.partitionBy(player).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    timed = events.withColumn("time_ms", F.least(F.sum(F.col(elapsed).cast("bigint")).over(w), F.lit(U32)))
+    step = F.coalesce(F.col(elapsed).cast("bigint"), F.lit(0))
+    timed = running(events, player, [order], {"time_ms": step}).withColumn("time_ms", F.least(F.col("time_ms") + step, F.lit(U32)))
     raw = F.floor(F.col("time_ms").cast("double") * fps / 1000.0)
     return timed.withColumn("target_frame", F.when((frames > 0) & (fps > 0), F.least(raw, frames - 1)).otherwise(0).cast("bigint"))
