@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import boosting, decision_list, decontaminate, hilbert, hmm, langmix, licenses, linechunks, sentencepieces, simhash
+from . import boosting, decision_list, decontaminate, fim, hilbert, hmm, langmix, licenses, linechunks, sentencepieces, simhash
 
 QUERIES = {
     "op1_simhash_multi_index": simhash.op1_simhash_multi_index,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_line_chunks": linechunks.op8_line_chunks,
     "op9_license_digests": licenses.op9_license_digests,
     "op10_boosted_quality": boosting.op10_boosted_quality,
+    "op11_marker_injection": fim.op11_marker_injection,
 }
 ORACLE_SQL = {
     "op9_license_digests": licenses.ORACLE_SQL,
+    "op11_marker_injection": fim.ORACLE_SQL,
 }
