@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import boosting, decision_list, decontaminate, fim, hilbert, hmm, langmix, licenses, linechunks, sentencepieces, simhash
+from . import boosting, decision_list, decontaminate, fim, hilbert, hmm, langmix, licenses, linechunks, manifest, prefixforest, sentencepieces, simhash
 
 QUERIES = {
     "op1_simhash_multi_index": simhash.op1_simhash_multi_index,
@@ -16,8 +16,11 @@ QUERIES = {
     "op9_license_digests": licenses.op9_license_digests,
     "op10_boosted_quality": boosting.op10_boosted_quality,
     "op11_marker_injection": fim.op11_marker_injection,
+    "op12_event_manifest": manifest.op12_event_manifest,
+    "op13_prefix_forest": prefixforest.op13_prefix_forest,
 }
 ORACLE_SQL = {
     "op9_license_digests": licenses.ORACLE_SQL,
     "op11_marker_injection": fim.ORACLE_SQL,
+    "op12_event_manifest": manifest.ORACLE_SQL,
 }
