@@ -5,7 +5,7 @@ decide: a common token is a class of its own, any other word falls into one of R
 its ending and length.  Latent states emit classes; a class emits its words by smoothed counts,
 P(word | class) = (c + 0.1) / (C + 0.1 * (V + 1)) with C and V the tokens and distinct words of
 the class and one share for unseen words.  Baum-Welch trains the states on all training documents:
-these are dealt into BLOCKS blocks, a round sums the expected counts of one block, computed within
+these are dealt into BLOCKS blocks by a hash of their ids and classes, so the model does not depend on how the table is partitioned; a round sums the expected counts of one block, computed within
 partitions by scaled forward-backward recursions, and the next model is made from the latest sums
 of all blocks (incremental expectation-maximisation).  PASSES rounds cover each block.  The score
 of a text is the exact log10 likelihood of its tokens and one end token: the scaled forward
@@ -351,7 +351,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 )
 
         looked = narrow.mapInArrow(look, "doc_id bigint, held_out boolean, codes binary, n_tokens bigint, known bigint, base double, inside double, ws array<binary>, ns array<int>")
-        looked = looked.withColumn("row", F.monotonically_increasing_id()).withColumn("block", (F.col("row") % BLOCKS).cast("int"))
+        looked = looked.withColumn("row", F.monotonically_increasing_id()).withColumn("block", F.pmod(F.xxhash64("doc_id", "codes"), F.lit(BLOCKS)).cast("int"))
         looked = scratch.save(looked, "looked", by=["block"])
         model, _ = train(looked.where("not held_out").select("codes", "block"), classes)
         trained = docs.sparkSession.sparkContext.broadcast(model)
