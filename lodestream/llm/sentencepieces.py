@@ -114,7 +114,7 @@ def rebuild(m: Model) -> Tokenizer:
     t = Tokenizer(core)
     steps = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
     if m.squeeze:
-        steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
+        steps += [normalizers.Replace(Regex(r"\A +| +\z"), ""), normalizers.Replace(Regex(" {2,}"), " ")]  # spaces only: other blanks are characters
     if m.dummy_prefix:
         steps.append(normalizers.Prepend(SPACE if m.escape else " "))
     if m.escape:
