@@ -118,8 +118,13 @@ class Mixture:
         return found, fit
 
     def identified(self, text: str | None) -> bool:
-        """Whether one learned language holds the text: it is likely enough in absolute terms, and not evenly mixed."""
+        """Whether one learned language holds the text: it is likely enough in absolute terms, and not evenly mixed.
+
+        Where no language was learned there is nothing to hold a text against, and all that have a letter stay.
+        """
         u, n = trigrams(text or "")
+        if not self.langs:
+            return len(u) > 0
         found, fit = self.infer_cells(u, n)
         if not found or len(u) < FEW:
             return bool(found)

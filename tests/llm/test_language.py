@@ -98,6 +98,24 @@ def test_noise_foreign_and_mixed_texts_go(spark, rows):
     assert all(1 / n < langmix.main_share(n) < 1 for n in range(2, 50)) and langmix.main_share(1) == 1
 
 
+def test_nothing_learned_keeps_all_with_a_letter(spark, nothing):
+    rows = [(k, prose(7300 + k, 12), None) for k in range(20)] + [(30, "123 !!", None), (31, None, None), (32, "", None)]
+    kept = langmix.keep_identified(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert {r["doc_id"] for r in kept.collect()} == set(range(20))
+    assert langmix.keep_identified(nothing).count() == 0
+
+
+def test_scores_do_not_depend_on_partitions(spark, rows, monkeypatch):
+    monkeypatch.setattr(hmm, "train", lambda coded, classes, fit=hmm.train: fit(coded, classes, passes=2))
+    some = spark.createDataFrame([(r[0], r[1]) for r in rows if r[0] != 77], "doc_id bigint, text string")
+    found = []
+    for dealt in (some.coalesce(1), some.repartition(7), some.orderBy("text").repartition(50)):
+        found.append(sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["score"]) for r in hmm.score(dealt).collect())))
+    for other in found[1:]:
+        assert [x[:3] for x in other] == [x[:3] for x in found[0]]
+        assert np.allclose([x[3] for x in other], [x[3] for x in found[0]], rtol=0, atol=1e-6)
+
+
 def plain_counts(m, x):
     """Posterior counts of one sequence by enumeration of all state paths."""
     s, total = hmm.STATES, 0.0

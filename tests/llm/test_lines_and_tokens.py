@@ -119,7 +119,7 @@ def test_unigram_models_are_rebuilt():
     import sentencepiece
 
     t, reference = sentencepieces.rebuild(m), sentencepiece.SentencePieceProcessor(model_proto=body)
-    for text in ("the thing", "  the   ing ", "thé", "xyz", "in the ingthe"):
+    for text in ("the thing", "  the   ing ", "thé", "xyz", "in the ingthe", "\nthe\n", "\tthe", "the\u3000", " \u2003the \n ", "\r\n the\x0b ", " ", "\n"):
         assert t.encode(text, add_special_tokens=False).ids == reference.encode(text), text
 
 
