@@ -125,14 +125,14 @@ def raw_frame(data: bytes, width: int, height: int, bits: int, bgr: bool = True,
     return np.uint32(a) << 24 | r << 16 | g << 8 | b
 
 
-def decode_packets(data: bytes, packets: list[tuple], tag: int, bits: int, channels: int, total: int = 0, signed8: bool = False) -> np.ndarray:
+def decode_packets(data: bytes, packets: list[tuple], tag: int, bits: int, channels: int, total: int = 0, limits: media.S.Limits = media.S.LIMITS, signed8: bool = False) -> np.ndarray:
     """Samples (frames, channels) of a packet table of one uncompressed track.
 
     Packets must follow each other in the source without overlap and in time without a gap, hold
     whole sample frames that agree with their durations, and cover ``total`` if it is known.
     """
     width, time, end, out = channels * bits // 8, 0, 0, []
-    need(0 < len(packets) <= media.S.MAX_PACKETS and 1 <= channels <= 32 and width)
+    need(0 < len(packets) <= limits.packets and 1 <= channels <= 32 and width)
     for at, size, track, timestamp, duration, _ in packets:
         need(track == packets[0][2] and at >= end and at + size <= len(data) and size <= media.S.MAX_PACKET_BYTES)
         need(timestamp == time and size == duration * width)
@@ -142,16 +142,16 @@ def decode_packets(data: bytes, packets: list[tuple], tag: int, bits: int, chann
     return np.concatenate(out)
 
 
-def decode_source(data: bytes) -> tuple[int, np.ndarray, int]:
+def decode_source(data: bytes, max_bytes: int = media.S.MAX_SOURCE_BYTES, limits: media.S.Limits = media.S.LIMITS) -> tuple[int, np.ndarray, int]:
     """(status, samples (frames, channels), sample rate) of a WAV or FLAC source; all or nothing."""
     nothing = np.zeros((0, 1), np.int64)
-    status, container, _ = media.inspect(data)
+    status, container, _ = media.inspect(data, max_bytes, limits)
     if status:
         return status, nothing, 0
     try:
         if container == media.S.FLAC:
             info = flac.open_flac(data)
-            return 0, flac.decode(data), info.rate
+            return 0, flac.decode(data, flac.flac_packets(data, limits)), info.rate
         if container == media.S.WAV:
             w = riff.open_wav(data)
             body = data[w.start : w.start + w.size]
@@ -163,38 +163,48 @@ def decode_source(data: bytes) -> tuple[int, np.ndarray, int]:
     return media.S.UNSUPPORTED, nothing, 0
 
 
-def samples(sources: DataFrame, rows_at_once: int = 500_000) -> DataFrame:
-    """(source_id, frame, channel, value) of all sources that decode; the others have no rows."""
+def decoded(sources: DataFrame, rows_at_once: int = 500_000, max_bytes: int = media.S.MAX_SOURCE_BYTES, limits: media.S.Limits = media.S.LIMITS) -> DataFrame:
+    """(source_id, status, frame, channel, value): the samples of a source, or one row with its status and nulls (also for one without samples)."""
+    kinds = {"frame": pa.int64(), "channel": pa.int32(), "value": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for ident, data in zip(b.column("source_id").to_pylist(), b.column("content").to_pylist(), strict=True):
-                status, got, _ = decode_source(data or b"")
-                if status:
-                    continue
+                status, got, _ = decode_source(data or b"", max_bytes, limits)
                 frames, channels = got.shape
+                if status or not frames:
+                    yield pa.RecordBatch.from_arrays([pa.array([ident], pa.string()), pa.array([status], pa.int32()), *(pa.nulls(1, t) for t in kinds.values())], names=["source_id", "status", *kinds])
+                    continue
                 for at in range(0, frames, rows_at_once):
                     part = got[at : at + rows_at_once]
                     n = len(part)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([ident]).take(pa.array(np.zeros(n * channels, np.int32))), pa.array(np.repeat(np.arange(at, at + n), channels)),
-                            pa.array(np.tile(np.arange(channels, dtype=np.int32), n)), pa.array(part.ravel().astype(np.int32)),
-                        ],
-                        names=["source_id", "frame", "channel", "value"],
-                    )
+                    columns = [np.repeat(np.arange(at, at + n), channels), np.tile(np.arange(channels, dtype=np.int32), n), part.ravel().astype(np.int32)]
+                    many = pa.array(np.zeros(n * channels, np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array([ident], pa.string()).take(many), pa.array(np.zeros(n * channels, np.int32)), *(pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True))], names=["source_id", "status", *kinds])
+
+    return sources.select(F.col("source_id").cast("string"), "content").mapInArrow(run, "source_id string, status int, frame bigint, channel int, value int")
+
+
+def samples(sources: DataFrame, rows_at_once: int = 500_000, max_bytes: int = media.S.MAX_SOURCE_BYTES, limits: media.S.Limits = media.S.LIMITS) -> DataFrame:
+    """(source_id, frame, channel, value) of all sources that decode; ``decoded`` has a row for the others as well."""
+    return decoded(sources, rows_at_once, max_bytes, limits).where("frame is not null").drop("status")
 
-    return sources.select(F.col("source_id").cast("string"), "content").mapInArrow(run, "source_id string, frame bigint, channel int, value int")
+
+#: Frames of a source that are one span of ``bounded_read``.
+READ_SPAN = 4096
 
 
 def bounded_read(found: DataFrame, requests: DataFrame, source: str = "source_id", at_once: int = 1024) -> DataFrame:
     """(source, request columns, frame, channel, value) of each request's frames: from ``position`` on, at most ``max_frames`` and ``at_once``.
 
     ``found`` is a relation of samples; ``requests`` has the source, position and max_frames.  A request that begins at or
-    beyond the end, or asks for none, has no rows.
+    beyond the end, or asks for none, has no rows.  Requests meet the spans of READ_SPAN frames that they touch, by equality.
     """
     last = F.col("position") + F.least(F.col("max_frames"), F.lit(at_once))
-    return found.join(requests, source).where((F.col("frame") >= F.col("position")) & (F.col("frame") < last))
+    span = lambda c: F.call_function("div", c.cast("bigint"), F.lit(READ_SPAN))
+    asked = requests.where((F.col("position") >= 0) & (F.col("max_frames") > 0)).withColumn("_span", F.explode(F.sequence(span(F.col("position")), span(last - 1))))
+    met = found.withColumn("_span", span(F.col("frame"))).join(asked, [source, "_span"])
+    return met.where((F.col("frame") >= F.col("position")) & (F.col("frame") < last)).drop("_span")
 
 
 def resampled(found: DataFrame, rate: int, wanted: int, span: int = 4096) -> DataFrame:
@@ -224,27 +234,53 @@ def remixed(found: DataFrame, channels: int) -> DataFrame:
     return out.where(F.col("_to") % F.col("_had") == F.col("channel")).select("source_id", "frame", F.col("_to").alias("channel"), "value")
 
 
-def video_frames(sources: DataFrame) -> DataFrame:
-    """(source_id, frame_index, timestamp_ns, width, height, pixels) of uncompressed AVI video."""
+#: The status of the row after the last frame of a source.
+END = 1
+
+
+def video(sources: DataFrame, first: int = 0, frames: int | None = None) -> DataFrame:
+    """(source_id, status, frame_index, timestamp_ns, width, height, pixels) of uncompressed AVI video, from frame ``first`` on, so many at most.
+
+    A source whose last frame is among what is asked for, or before it, has a row of status END behind it, with the number
+    of its frames as frame_index; one that cannot be decoded has one row with its status.  Only the frames asked for are cut and decoded.
+    """
     from decimal import Decimal
 
+    names = ["source_id", "status", "frame_index", "timestamp_ns", "width", "height", "pixels"]
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.decimal128(20, 0), pa.int32(), pa.int32(), pa.binary()]
+
+    def rows(ident: str, data: bytes) -> Iterator[tuple]:
+        try:
+            avi = riff.open_avi(data)
+            v = avi.first(media.S.VIDEO)
+            need(v is not None and v.compression in (0, int.from_bytes(b"DIB ", "little")) and v.rate)
+        except Bad:
+            yield ident, media.S.UNSUPPORTED, None, None, None, None, None
+            return
+        n = len(avi.rows(media.S.VIDEO))
+        until = n if frames is None else min(n, first + frames)
+        found = []
+        try:
+            for k in range(first, until):
+                pixels = raw_frame(riff.nth_frame(data, k), v.width, v.height, v.bits, True, v.top_down)
+                found.append((ident, media.S.OK, k, Decimal(k * v.scale * 1_000_000_000 // v.rate), v.width, v.height, pixels.astype("<u4").tobytes()))
+        except Bad:
+            yield ident, media.S.MALFORMED, None, None, None, None, None
+            return
+        yield from found
+        if until == n:
+            yield ident, END, n, None, None, None, None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for ident, data in zip(b.column("source_id").to_pylist(), b.column("content").to_pylist(), strict=True):
-                try:
-                    avi = riff.open_avi(data or b"")
-                    v = avi.first(media.S.VIDEO)
-                    need(v is not None and v.compression in (0, int.from_bytes(b"DIB ", "little")) and v.rate)
-                    found = [raw_frame(riff.nth_frame(data, k), v.width, v.height, v.bits, True, v.top_down) for k in range(len(avi.rows(media.S.VIDEO)))]
-                except Bad:
-                    continue
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([ident] * len(found), pa.string()), pa.array(range(len(found)), pa.int64()),
-                        pa.array([Decimal(k * v.scale * 1_000_000_000 // v.rate) for k in range(len(found))], pa.decimal128(20, 0)),
-                        pa.array([v.width] * len(found), pa.int32()), pa.array([v.height] * len(found), pa.int32()), pa.array([f.astype("<u4").tobytes() for f in found], pa.binary()),
-                    ],
-                    names=["source_id", "frame_index", "timestamp_ns", "width", "height", "pixels"],
-                )
-
-    return sources.select(F.col("source_id").cast("string"), "content").mapInArrow(run, "source_id string, frame_index bigint, timestamp_ns decimal(20,0), width int, height int, pixels binary")
+                columns = zip(*rows(ident, data or b""), strict=True)
+                if found := list(columns):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, kinds, strict=True)], names=names)
+
+    return sources.select(F.col("source_id").cast("string"), "content").mapInArrow(run, "source_id string, status int, frame_index bigint, timestamp_ns decimal(20,0), width int, height int, pixels binary")
+
+
+def video_frames(sources: DataFrame) -> DataFrame:
+    """(source_id, frame_index, timestamp_ns, width, height, pixels): the frames of ``video``, without its other rows."""
+    return video(sources).where(F.col("status") == media.S.OK).drop("status")

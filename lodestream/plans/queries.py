@@ -739,3 +739,6 @@ FROM p JOIN w a ON a.source_id = p.source_id AND a.frame = k JOIN w b ON b.sourc
 def q52_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as WAV files of 8,000 Hz, decoded and brought to 11,025 Hz."""
     return longs(codecs.resampled(codecs.samples(wav_sources(spark, sf_dir)), 8000, 11_025).select("source_id", "frame", "value"), "frame", "value")
+
+
+from . import access  # noqa: E402, F401 - registers further queries

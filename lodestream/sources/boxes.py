@@ -51,7 +51,7 @@ class Mp4Track:
     tables: dict[bytes, tuple[int, int]]
 
 
-def open_mp4(data: bytes) -> list[Mp4Track]:
+def open_mp4(data: bytes, limits: S.Limits = S.LIMITS) -> list[Mp4Track]:
     top = list(boxes(data, 0, len(data)))
     need(top and top[0][0] == b"ftyp" and sum(k == b"ftyp" for k, _, _ in top) == 1 and sum(k == b"moov" for k, _, _ in top) == 1)
     _, at, end = next(b for b in top if b[0] == b"moov")
@@ -74,13 +74,13 @@ def open_mp4(data: bytes) -> list[Mp4Track]:
         code = data[s + 12 : s + 16]
         need(b"\0" not in code and ident and scale and ident not in {x.id for x in out})
         out.append(Mp4Track(ident, role, int.from_bytes(code, "big"), code.decode("latin-1"), scale, duration, t))
-        need(len(out) <= S.MAX_TRACKS)
+        need(len(out) <= limits.tracks)
     need(out)
     return out
 
 
-def mp4_tracks(data: bytes) -> list[tuple]:
-    return [(t.id, t.kind, t.codec, t.scale, t.duration, t.name) for t in open_mp4(data)]
+def mp4_tracks(data: bytes, limits: S.Limits = S.LIMITS) -> list[tuple]:
+    return [(t.id, t.kind, t.codec, t.scale, t.duration, t.name) for t in open_mp4(data, limits)]
 
 
 def _rows(data: bytes, place: tuple[int, int], form: str, skip: int = 8) -> list[tuple]:
@@ -96,18 +96,18 @@ def expand(runs: list[tuple], most: int) -> list[int]:
     return [v for n, v in runs for _ in range(n)]
 
 
-def mp4_packets(data: bytes) -> list[tuple]:
+def mp4_packets(data: bytes, limits: S.Limits = S.LIMITS) -> list[tuple]:
     out: list[tuple] = []
-    for t in open_mp4(data):
+    for t in open_mp4(data, limits):
         b = t.tables
         need({b"stsz", b"stts", b"stsc"} <= b.keys() and (b"stco" in b) != (b"co64" in b))
         at, end = b[b"stsz"]
         fixed, n = unpack(">II", data, at + 4)
-        need(n <= S.MAX_PACKETS)
+        need(n <= limits.packets)
         sizes = [fixed] * n if fixed else [s for (s,) in _rows(data, b[b"stsz"], ">I", 12)]
-        deltas = expand(_rows(data, b[b"stts"], ">II"), S.MAX_PACKETS)
+        deltas = expand(_rows(data, b[b"stts"], ">II"), limits.packets)
         if b"ctts" in b:
-            shifts = expand(_rows(data, b[b"ctts"], ">Ii" if data[b[b"ctts"][0]] else ">II"), S.MAX_PACKETS)
+            shifts = expand(_rows(data, b[b"ctts"], ">Ii" if data[b[b"ctts"][0]] else ">II"), limits.packets)
         else:
             shifts = [0] * n
         groups = _rows(data, b[b"stsc"], ">III")
@@ -127,7 +127,7 @@ def mp4_packets(data: bytes) -> list[tuple]:
                 out.append((offset, sizes[k], t.id, stamp, deltas[k], S.KEYFRAME if keys is None or k + 1 in keys else 0))
                 offset += sizes[k]
                 k += 1
-        need(k == n and len(out) <= S.MAX_PACKETS)
+        need(k == n and len(out) <= limits.packets)
     return out
 
 
@@ -198,7 +198,7 @@ def doctype(data: bytes) -> str:
     return names[0]
 
 
-def open_mkv(data: bytes) -> Mkv:
+def open_mkv(data: bytes, limits: S.Limits = S.LIMITS) -> Mkv:
     out, segments = Mkv(doctype(data)), 0
     for kind, at, end in elements(data, 0, len(data)):
         if kind != SEGMENT:
@@ -226,15 +226,15 @@ def open_mkv(data: bytes) -> Mkv:
                         codec = data[slice(*got[CODEC_ID])].rstrip(b"\0")
                         need(0 < number < 2**32 and 0 < len(codec) < 32 and number not in {t[0] for t in out.tracks})
                         out.tracks.append((number, {1: S.VIDEO, 2: S.AUDIO, 0x11: S.SUBTITLE}.get(role, S.UNKNOWN_TRACK), fnv1a(codec), 0, 0, codec.decode("latin-1")))
-                        need(len(out.tracks) <= S.MAX_TRACKS)
+                        need(len(out.tracks) <= limits.tracks)
             elif k == CLUSTER:
                 out.clusters.append((a, e))
     need(segments and out.tracks)
     return out
 
 
-def mkv_tracks(data: bytes) -> list[tuple]:
-    m = open_mkv(data)
+def mkv_tracks(data: bytes, limits: S.Limits = S.LIMITS) -> list[tuple]:
+    m = open_mkv(data, limits)
     return [(n, role, codec, m.scale, 0, name) for n, role, codec, _, _, name in m.tracks]
 
 
@@ -283,8 +283,8 @@ def _block(data: bytes, at: int, end: int, base: int, known: set[int], key: bool
     return [(start + o, size, number, base + relative, duration, S.KEYFRAME if key else 0) for o, size in zip(prefix(sizes), sizes, strict=True)]
 
 
-def mkv_packets(data: bytes) -> list[tuple]:
-    m = open_mkv(data)
+def mkv_packets(data: bytes, limits: S.Limits = S.LIMITS) -> list[tuple]:
+    m = open_mkv(data, limits)
     known, out = {t[0] for t in m.tracks}, []
     for at, end in m.clusters:
         base = None
@@ -301,7 +301,7 @@ def mkv_packets(data: bytes) -> list[tuple]:
                 inner = {k: (x, y) for k, x, y in elements(data, a, e)}
                 need(BLOCK in inner)
                 out += _block(data, *inner[BLOCK], base, known, REFERENCE not in inner, _uint(data, *inner[BLOCK_TIME]) if BLOCK_TIME in inner else 0)
-            need(len(out) <= S.MAX_PACKETS)
+            need(len(out) <= limits.packets)
     return out
 
 

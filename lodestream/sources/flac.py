@@ -45,7 +45,7 @@ def open_flac(data: bytes) -> Info:
     return info
 
 
-def flac_tracks(data: bytes) -> list[tuple]:
+def flac_tracks(data: bytes, limits: S.Limits = S.LIMITS) -> list[tuple]:
     i = open_flac(data)
     return [(1, S.AUDIO, CODEC, i.rate, i.total, "FLAC")]
 
@@ -125,7 +125,7 @@ def _frame_end(data: bytes, at: int, h: Header, info: Info) -> int:
         place = end + 1
 
 
-def flac_packets(data: bytes) -> list[tuple]:
+def flac_packets(data: bytes, limits: S.Limits = S.LIMITS) -> list[tuple]:
     info = open_flac(data)
     at, total, out, before = info.first, 0, [], None
     while at < len(data):
@@ -134,7 +134,7 @@ def flac_packets(data: bytes) -> list[tuple]:
             need(h.variable == before.variable and (h.number > before.number if h.variable else h.number == before.number + 1))
         end = _frame_end(data, at, h, info)
         out.append((at, end - at, 1, total, h.block, S.KEYFRAME))
-        need(len(out) <= S.MAX_PACKETS)
+        need(len(out) <= limits.packets)
         total, at, before = total + h.block, end, h
     need(out and (info.total == 0 or total == info.total))
     return out

@@ -20,7 +20,7 @@ from .. import status as S
 from . import boxes, flac, riff, streams
 from .bits import Bad, need, unpack
 
-TrackReader = Callable[[bytes], list[tuple]]
+TrackReader = Callable[..., list[tuple]]
 #: container id: (tracks, packets); the extension point for further containers
 INDEXERS: dict[int, tuple[TrackReader, TrackReader]] = {
     S.MP4: (boxes.mp4_tracks, boxes.mp4_packets),
@@ -61,7 +61,7 @@ def probe(data: bytes, max_bytes: int = S.MAX_SOURCE_BYTES) -> int:
     return 0
 
 
-def inspect(data: bytes, max_bytes: int = S.MAX_SOURCE_BYTES) -> tuple[int, int, list[tuple]]:
+def inspect(data: bytes, max_bytes: int = S.MAX_SOURCE_BYTES, limits: S.Limits = S.LIMITS) -> tuple[int, int, list[tuple]]:
     """(status, container, tracks)."""
     if not data or len(data) > max_bytes:
         return S.INVALID, 0, []
@@ -69,22 +69,22 @@ def inspect(data: bytes, max_bytes: int = S.MAX_SOURCE_BYTES) -> tuple[int, int,
     if not container:
         return S.UNSUPPORTED, 0, []
     try:
-        return S.OK, container, INDEXERS[container][0](data)
+        return S.OK, container, INDEXERS[container][0](data, limits=limits)
     except (Bad, StopIteration):
         return S.UNSUPPORTED, container, []
 
 
-def index(data: bytes, max_bytes: int = S.MAX_SOURCE_BYTES, frames_per_packet: int = 1) -> tuple[int, int, list[tuple], list[tuple]]:
+def index(data: bytes, max_bytes: int = S.MAX_SOURCE_BYTES, frames_per_packet: int = 1, limits: S.Limits = S.LIMITS) -> tuple[int, int, list[tuple], list[tuple]]:
     """(status, container, tracks, packets in order of their offsets); all or nothing, and a source without packets is unsupported.
 
     ``frames_per_packet`` groups the sample frames of a WAV source.
     """
-    status, container, tracks = inspect(data, max_bytes)
+    status, container, tracks = inspect(data, max_bytes, limits)
     if status != S.OK:
         return status, container, [], []
     try:
-        packets = INDEXERS[container][1](data, *([frames_per_packet] if container == S.WAV else []))
-        need(0 < len(packets) <= S.MAX_PACKETS)
+        packets = INDEXERS[container][1](data, *([frames_per_packet] if container == S.WAV else []), limits=limits)
+        need(0 < len(packets) <= limits.packets)
         known = {t[0] for t in tracks}
         need(all(p[2] in known for p in packets))
     except (Bad, StopIteration):
@@ -103,7 +103,7 @@ def _arrow(name: str) -> pa.DataType:
     return to_arrow_type(schema[name].dataType)
 
 
-def indexed(sources: DataFrame, packets: bool = True, max_bytes: int = S.MAX_SOURCE_BYTES, frames_per_packet: int = 1) -> DataFrame:
+def indexed(sources: DataFrame, packets: bool = True, max_bytes: int = S.MAX_SOURCE_BYTES, frames_per_packet: int = 1, limits: S.Limits = S.LIMITS) -> DataFrame:
     """source_id, status, container_id, tracks, packets: one row a source, whatever becomes of it."""
     from decimal import Decimal
 
@@ -111,7 +111,7 @@ def indexed(sources: DataFrame, packets: bool = True, max_bytes: int = S.MAX_SOU
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [index(d or b"", max_bytes, frames_per_packet) if packets else (*inspect(d or b"", max_bytes), []) for d in b.column("content").to_pylist()]
+            got = [index(d or b"", max_bytes, frames_per_packet, limits) if packets else (*inspect(d or b"", max_bytes, limits), []) for d in b.column("content").to_pylist()]
             tracks = [[dict(zip(_TRACK_NAMES, (*t[:4], Decimal(t[4]), t[5]), strict=True)) for t in g[2]] for g in got]
             rows = [[dict(zip(_PACKET_NAMES, (k, p[0], p[1], p[2], Decimal(p[3]), p[4], p[5]), strict=True)) for k, p in enumerate(g[3])] for g in got]
             yield pa.RecordBatch.from_arrays(
@@ -157,7 +157,7 @@ def packet_payloads(found: DataFrame, sources: DataFrame, max_bytes: int = S.MAX
     return both.select("source_id", F.inline(F.transform("packets", cut)))
 
 
-def samples_by_packets(sources: DataFrame, frames_per_packet: int = 1) -> DataFrame:
+def samples_by_packets(sources: DataFrame, frames_per_packet: int = 1, max_bytes: int = S.MAX_SOURCE_BYTES, limits: S.Limits = S.LIMITS) -> DataFrame:
     """(source_id, status, packet, frame, channel, value): uncompressed WAV decoded by its packet table, a source's rows or its status only.
 
     Packets must cover the source's samples without a gap; a source that fails has one row with its status.
@@ -167,12 +167,12 @@ def samples_by_packets(sources: DataFrame, frames_per_packet: int = 1) -> DataFr
     names = ["source_id", "status", "packet", "frame", "channel", "value"]
 
     def one(data: bytes) -> tuple[int, list[tuple], np.ndarray]:
-        status, container, _, found = index(data, frames_per_packet=frames_per_packet)
+        status, container, _, found = index(data, max_bytes, frames_per_packet, limits)
         if status or container != S.WAV:
             return status or S.UNSUPPORTED, [], np.zeros((0, 1), np.int64)
         w = riff.open_wav(data)
         try:
-            return S.OK, found, decode_packets(data, found, w.tag, w.bits, w.channels, w.samples)
+            return S.OK, found, decode_packets(data, found, w.tag, w.bits, w.channels, w.samples, limits)
         except Bad:
             return S.MALFORMED, [], np.zeros((0, 1), np.int64)
 

@@ -87,12 +87,12 @@ def open_wav(data: bytes) -> Wav:
     return got
 
 
-def wav_tracks(data: bytes) -> list[tuple]:
+def wav_tracks(data: bytes, limits: S.Limits = S.LIMITS) -> list[tuple]:
     w = open_wav(data)
     return [(1, S.AUDIO, w.tag, w.rate, w.samples, TAG_NAMES[w.tag])]
 
 
-def wav_packets(data: bytes, frames_per_packet: int = 1) -> list[tuple]:
+def wav_packets(data: bytes, frames_per_packet: int = 1, limits: S.Limits = S.LIMITS) -> list[tuple]:
     """One packet a block; ``frames_per_packet`` > 1 groups blocks (our extension, for longer files)."""
     w = open_wav(data)
     step = w.align * frames_per_packet
@@ -213,9 +213,9 @@ def _payload(data: bytes, avi: Avi, row: tuple[bytes, int, int, int]) -> int:
     raise Bad
 
 
-def avi_tracks(data: bytes) -> list[tuple]:
+def avi_tracks(data: bytes, limits: S.Limits = S.LIMITS) -> list[tuple]:
     avi = open_avi(data)
-    need(len(avi.streams) <= S.MAX_TRACKS)
+    need(len(avi.streams) <= limits.tracks)
     out = []
     for k, s in enumerate(avi.streams):
         need(s.kind in (S.AUDIO, S.VIDEO) and s.codec and s.scale)
@@ -224,7 +224,7 @@ def avi_tracks(data: bytes) -> list[tuple]:
     return out
 
 
-def avi_packets(data: bytes) -> list[tuple]:
+def avi_packets(data: bytes, limits: S.Limits = S.LIMITS) -> list[tuple]:
     """Audio and video rows of the index; a stream's time advances by its scale a chunk."""
     avi = open_avi(data)
     time = dict.fromkeys(range(len(avi.streams)), 0)

@@ -39,25 +39,25 @@ def adts_header(data: bytes, at: int) -> Adts:
     return Adts(size, profile, AAC_RATES[rate], channels, blocks)
 
 
-def adts_frames(data: bytes) -> list[tuple[int, Adts]]:
+def adts_frames(data: bytes, limits: S.Limits = S.LIMITS) -> list[tuple[int, Adts]]:
     at, out = 0, []
     while at < len(data):
         h = adts_header(data, at)
         out.append((at, h))
-        need(len(out) <= S.MAX_ADTS_FRAMES)
+        need(len(out) <= limits.frames)
         at += h.size
     need(out and len({(h.profile, h.rate, h.channels) for _, h in out}) == 1)
     return out
 
 
-def adts_tracks(data: bytes) -> list[tuple]:
-    frames = adts_frames(data)
+def adts_tracks(data: bytes, limits: S.Limits = S.LIMITS) -> list[tuple]:
+    frames = adts_frames(data, limits)
     return [(1, S.AUDIO, 6, frames[0][1].rate, sum(1024 * h.blocks for _, h in frames), "AAC")]
 
 
-def adts_packets(data: bytes) -> list[tuple]:
+def adts_packets(data: bytes, limits: S.Limits = S.LIMITS) -> list[tuple]:
     time, out = 0, []
-    for at, h in adts_frames(data):
+    for at, h in adts_frames(data, limits):
         out.append((at, h.size, 1, time, 1024 * h.blocks, S.KEYFRAME))
         time += 1024 * h.blocks
     return out
@@ -90,13 +90,13 @@ def ogg_page(data: bytes, at: int) -> Page:
     return Page(granule, serial, sequence, flags, packets, bool(n) and table[-1] == 255, end)
 
 
-def ogg_pages(data: bytes) -> list[Page]:
+def ogg_pages(data: bytes, limits: S.Limits = S.LIMITS) -> list[Page]:
     at, out = 0, []
     while at < len(data):
         p = ogg_page(data, at)
         need(not out or (p.serial == out[0].serial and p.sequence == out[-1].sequence + 1))
         out.append(p)
-        need(len(out) <= S.MAX_OGG_PAGES)
+        need(len(out) <= limits.pages)
         at = p.end
     need(out and out[0].flags & 2 and out[0].packets)
     return out
@@ -123,8 +123,8 @@ def _last_granule(pages: list[Page]) -> int:
     return next((p.granule for p in reversed(pages) if p.granule != S.NO_GRANULE), 0)
 
 
-def ogg_tracks(data: bytes) -> list[tuple]:
-    pages = ogg_pages(data)
+def ogg_tracks(data: bytes, limits: S.Limits = S.LIMITS) -> list[tuple]:
+    pages = ogg_pages(data, limits)
     name, rate = _ogg_head(data, pages)
     return [(1, S.AUDIO, 5 if name == "opus" else 8, rate, _last_granule(pages), name.upper())]
 
@@ -192,8 +192,8 @@ def _ogg_packets(pages: list[Page]) -> Iterator[tuple[Page, int, int]]:
             yield p, at, size
 
 
-def ogg_packets(data: bytes) -> list[tuple]:
-    pages = ogg_pages(data)
+def ogg_packets(data: bytes, limits: S.Limits = S.LIMITS) -> list[tuple]:
+    pages = ogg_pages(data, limits)
     name, _ = _ogg_head(data, pages)
     found = list(_ogg_packets(pages))
     out, time = [], 0
@@ -202,7 +202,7 @@ def ogg_packets(data: bytes) -> list[tuple]:
         for _, at, size in found[2:]:
             n = opus_duration(data[at : at + size])
             out.append((at, size, 1, time, n, S.KEYFRAME))
-            need(len(out) <= S.MAX_PACKETS)
+            need(len(out) <= limits.packets)
             time += n
         return out
     need(len(found) >= 3 and all(data[at : at + 7] == bytes([k]) + b"vorbis" for k, (_, at, _) in zip((1, 3, 5), found, strict=False)))
@@ -211,7 +211,7 @@ def ogg_packets(data: bytes) -> list[tuple]:
         need(id(p) not in seen and size and not data[at] & 1 and p.granule not in (S.NO_GRANULE,) and p.granule >= time)
         seen.add(id(p))
         out.append((at, size, 1, time, p.granule - time, S.KEYFRAME))
-        need(len(out) <= S.MAX_PACKETS)
+        need(len(out) <= limits.packets)
         time = p.granule
     need(time == _last_granule(pages))
     return out
