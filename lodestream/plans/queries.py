@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs, samples, scalars
 from ..operators import machines, policy, replay, timeline, validity
-from ..sources import encode, media, streams
+from ..sources import boxtree, encode, media, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -469,9 +469,14 @@ _INDEX_SQL = {
 }
 
 
+def mp4_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file an order, made without Python: a sample a line, of its quantity in bytes and in ticks, every second one a key."""
+    return boxtree.mp4_files(order_sizes(spark, sf_dir), "o", "sizes", "sizes", 2, 2)
+
+
 def _index_query(kind: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = media.packets(media.indexed(container_sources(spark, sf_dir, kind)))
+        rows = boxtree.packets(boxtree.inspected(mp4_sources(spark, sf_dir))) if kind == "mp4" else media.packets(media.indexed(container_sources(spark, sf_dir, kind)))
         return longs(rows.select("source_id", "seq", "byte_size", "timestamp_ticks", "duration_ticks", "flags"), "seq", "timestamp_ticks", "flags")
 
     run.__name__ = f"q31_{kind}_index"
@@ -502,7 +507,7 @@ def q31_flac_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT CAST(l_orderkey AS VARCHAR) AS source_id, CAST(1 AS BIGINT) AS container_id, CAST(1 AS BIGINT) AS track_id, CAST(1 AS BIGINT) AS kind, CAST(1836069985 AS BIGINT) AS codec_id, CAST(1000 AS BIGINT) AS time_scale,
 CAST(sum(CAST(trunc(l_quantity) AS BIGINT)) AS BIGINT) AS duration_ticks, 'mp4a' AS codec_name FROM lineitem GROUP BY l_orderkey""")
 def q32_track_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return longs(media.tracks(media.indexed(container_sources(spark, sf_dir, "mp4"), packets=False)), "container_id", "kind", "duration_ticks")
+    return longs(boxtree.tracks(boxtree.inspected(mp4_sources(spark, sf_dir))), "container_id", "kind", "duration_ticks")
 
 
 @query(f"""WITH {_LINES} SELECT source_id, CAST(seq AS BIGINT) AS seq, q AS n_bytes, CAST(CASE WHEN q > 0 THEN 7 * q % 251 END AS BIGINT) AS first_byte FROM l""")
