@@ -163,24 +163,45 @@ def decode_source(data: bytes, max_bytes: int = media.S.MAX_SOURCE_BYTES, limits
     return media.S.UNSUPPORTED, nothing, 0
 
 
+class _Held:
+    """Rows of several sources until they are one batch; a column that is None is null."""
+
+    def __init__(self, names: list[str], kinds: list[pa.DataType]):
+        self.names, self.kinds = names, kinds
+        self.n, self.idents, self.counts, self.columns = 0, [], [], [[] for _ in names]
+
+    def add(self, ident: str, columns: list[np.ndarray | None], n: int) -> None:
+        self.idents.append(ident)
+        self.counts.append(n)
+        self.n += n
+        for held, c, kind in zip(self.columns, columns, self.kinds, strict=True):
+            held.append(pa.nulls(n, kind) if c is None else pa.array(c).cast(kind))
+
+    def batch(self) -> pa.RecordBatch:
+        ids = pa.array(self.idents, pa.string()).take(pa.array(np.repeat(np.arange(len(self.idents)), self.counts).astype(np.int64)))
+        found = [ids, *(pa.concat_arrays(c) if c else pa.array([], k) for c, k in zip(self.columns, self.kinds, strict=True))]
+        self.__init__(self.names, self.kinds)
+        return pa.RecordBatch.from_arrays(found, names=["source_id", *self.names])
+
+
 def decoded(sources: DataFrame, rows_at_once: int = 500_000, max_bytes: int = media.S.MAX_SOURCE_BYTES, limits: media.S.Limits = media.S.LIMITS) -> DataFrame:
     """(source_id, status, frame, channel, value): the samples of a source, or one row with its status and nulls (also for one without samples)."""
-    kinds = {"frame": pa.int64(), "channel": pa.int32(), "value": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held(["status", "frame", "channel", "value"], [pa.int32(), pa.int64(), pa.int32(), pa.int32()])
         for b in batches:
             for ident, data in zip(b.column("source_id").to_pylist(), b.column("content").to_pylist(), strict=True):
                 status, got, _ = decode_source(data or b"", max_bytes, limits)
                 frames, channels = got.shape
                 if status or not frames:
-                    yield pa.RecordBatch.from_arrays([pa.array([ident], pa.string()), pa.array([status], pa.int32()), *(pa.nulls(1, t) for t in kinds.values())], names=["source_id", "status", *kinds])
-                    continue
-                for at in range(0, frames, rows_at_once):
+                    held.add(ident, [np.array([status]), None, None, None], 1)
+                for at in range(0, 0 if status else frames, rows_at_once):
                     part = got[at : at + rows_at_once]
                     n = len(part)
-                    columns = [np.repeat(np.arange(at, at + n), channels), np.tile(np.arange(channels, dtype=np.int32), n), part.ravel().astype(np.int32)]
-                    many = pa.array(np.zeros(n * channels, np.int32))
-                    yield pa.RecordBatch.from_arrays([pa.array([ident], pa.string()).take(many), pa.array(np.zeros(n * channels, np.int32)), *(pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True))], names=["source_id", "status", *kinds])
+                    held.add(ident, [np.zeros(n * channels, np.int32), np.repeat(np.arange(at, at + n), channels), np.tile(np.arange(channels, dtype=np.int32), n), part.ravel()], n * channels)
+                    if held.n >= rows_at_once:
+                        yield held.batch()
+            yield held.batch()
 
     return sources.select(F.col("source_id").cast("string"), "content").mapInArrow(run, "source_id string, status int, frame bigint, channel int, value int")
 

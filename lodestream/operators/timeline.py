@@ -59,27 +59,39 @@ def in_pieces(rows: DataFrame, large: Column, order: str, pieces: int = PIECES)
     return placed.withColumn("_piece", F.when(large & F.col("_order").isNotNull(), F.col("_piece").cast("int") + 1).otherwise(0)).drop("_order")
 
 
-def running(rows: DataFrame, source: str, order: list[str], sums: dict[str, Column], before: dict[str, Column] | None = None, least: int = LARGE, pieces: int = PIECES) -> DataFrame:
+def running(
+    rows: DataFrame, source: str, order: list[str], sums: dict[str, Column], before: dict[str, Column] | None = None, least: int = LARGE, pieces: int = PIECES,
+    latest: dict[str, Column] | None = None, earlier: dict[str, Column] | None = None, large: Column | str | None = "count",
+) -> DataFrame:
     """``rows`` with, by name, sums over all earlier rows of the source (0 at its start) and values of the row before.
 
-    Each piece of a large source gets one more row ahead of its own, which holds the sums of the
+    ``latest`` and ``earlier`` are running maxima, with the row itself and without it; nulls do not count.  With the order in front, a
+    maximum of structs is the last value that is not null.
+
+    Each piece of a large source gets one more row ahead of its own, which holds the sums and maxima of the
     earlier pieces and the values of their last row; so a window over the piece alone is enough,
     without a join.
+
+    Which sources are large is counted, a job over ``rows`` when the plan is made; ``large`` spares it: a condition
+    that holds for their rows, or None if there are none (for rows that are dear to make, and for streams).
     """
-    before = before or {}
-    values = {f"_{name}": value for name, value in (sums | before).items()}
+    before, latest, earlier = before or {}, latest or {}, earlier or {}
+    values = {f"_{name}": value for name, value in (sums | before | latest | earlier).items()}
     valued = rows.withColumns(values)
 
-    def looked(by: list[str], along: list[str]) -> dict[str, Column]:
+    def looked(by: list[str], along: list[str], carry: bool = False) -> dict[str, Column]:
         w = Window.partitionBy(*by).orderBy(*along)
-        return {k: exclusive_sum(F.col(f"_{k}"), by, along) for k in sums} | {k: F.lag(f"_{k}").over(w) for k in before}
+        own, past = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+        found = {k: exclusive_sum(F.col(f"_{k}"), by, along) for k in sums} | {k: F.lag(f"_{k}").over(w) for k in before}
+        return found | {k: F.max(f"_{k}").over(past if carry else own) for k in latest} | {k: F.max(f"_{k}").over(past) for k in earlier}
 
-    large = large_sources(rows, source, least)
+    if isinstance(large, str):
+        large = large_sources(rows, source, least)
     if large is None:
         return valued.withColumns(looked([source], order)).drop(*values)
     cut = in_pieces(valued, large, order[0], pieces).withColumn("_mark", F.lit(1))
-    totals = cut.where(large).groupBy(source, "_piece").agg(*(F.sum(f"_{k}").alias(f"_{k}") for k in sums), *(F.max_by(f"_{k}", F.struct(*order)).alias(f"_{k}") for k in before))
-    carried = totals.select(source, "_piece", F.lit(0).alias("_mark"), *(c.alias(f"_{k}") for k, c in looked([source], ["_piece"]).items()))
+    totals = cut.where(large).groupBy(source, "_piece").agg(*(F.sum(f"_{k}").alias(f"_{k}") for k in sums), *(F.max_by(f"_{k}", F.struct(*order)).alias(f"_{k}") for k in before), *(F.max(f"_{k}").alias(f"_{k}") for k in latest | earlier))
+    carried = totals.select(source, "_piece", F.lit(0).alias("_mark"), *(c.alias(f"_{k}") for k, c in looked([source], ["_piece"], True).items()))
     both = cut.unionByName(carried, allowMissingColumns=True)
     return both.withColumns(looked([source, "_piece"], ["_mark", *order])).where("_mark = 1").drop("_piece", "_mark", *values)
 
@@ -172,18 +184,19 @@ def publisher_states(events: DataFrame, publisher: str, order: str) -> DataFrame
     Events are of a kind publish, update, poll or close, with info_ok, reply_session, reply_revision, command and
     command_revision.  A publish replaces what was open, also if it is refused; a refused update changes nothing; a
     bad command ends the session.  Only those events that open or end a session matter to later ones, so the state
-    is the last of these.
+    is the last of these.  ``order`` is unique within a publisher.
     """
     kind = F.col("kind")
     opened = F.col("info_ok") & number_ok(F.col("reply_session")) & number_ok(F.col("reply_revision"))
     good = command_ok(F.col("command"), F.col("command_revision"))
     left = F.when(kind == "publish", F.when(opened, F.col("reply_session")).otherwise(0)).when((kind == "close") | ((kind == "poll") & ~good), 0)
-    w = Window.partitionBy(publisher).orderBy(order)
-    state = lambda last: F.coalesce(F.last("_left", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, last)), F.lit(0))
-    seen = events.withColumn("_left", left.cast("decimal(20,0)")).withColumns({"_before": state(-1), "session_id": state(0)})
+    moved = left.cast("decimal(20,0)")
+    last = F.when(moved.isNotNull(), F.struct(F.col(order).alias("at"), moved.alias("session")))
+    seen = running(events, publisher, [order], {}, latest={"_now": last}, earlier={"_past": last})
+    seen = seen.withColumns({"_before": F.coalesce("_past.session", F.lit(0)), "session_id": F.coalesce("_now.session", F.lit(0))})
     there = F.col("_before") != 0
     ok = F.when(kind == "publish", opened).when(kind == "update", there & F.col("info_ok")).when(kind == "poll", there & good).otherwise(kind == "close")
-    return seen.withColumn("accepted", ok).drop("_left", "_before")
+    return seen.withColumn("accepted", ok).drop("_now", "_past", "_before")
 
 
 def duplicate_tracks(tracks: DataFrame, source: str, track: str) -> DataFrame:

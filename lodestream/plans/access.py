@@ -1,4 +1,4 @@
-"""Queries of access to files: reads by position, selection of tracks at the source, seeking.
+"""Queries of access to files: reads by position, selection of tracks at the source, seeking, long streams, checksums.
 
 Files are made from the driver's tables, written to the shared folder by the library's own sink, and removed when the
 query's rows are in a reliable checkpoint.
@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import status as S
+from ..functions import checksums
 from ..operators import seeking, timeline
-from ..sources import datasource, positional, store
+from ..sources import datasource, longstreams, positional, store
 from .queries import MAKERS, blobs, longs, query, table
 
 #: Documents a file of q53, bytes of a packet, and where packets that no file has begin.
@@ -88,3 +89,54 @@ def q54_backward_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = seeking.seek(asked, packets, "ms", "scale", ["o_orderkey"], ["source", "track"], "ts", "n", F.col("q") % 16 == 1)
     shown = {"start_packet": F.col("start.n"), "start_ticks": F.col("start.time"), "discard_packets": F.col("discard_packets"), "discard_ticks": F.col("discard_ticks")}
     return longs(got.select("o_orderkey", "source", "track", "ticks", "seek_status", *(F.coalesce(c, F.lit(-1)).alias(k) for k, c in shown.items())), "seek_status", "source")
+
+
+#: Bytes of text in a frame of q56.
+FRAME = 1000
+
+
+def adts_frame(payload: str) -> str:
+    """SQL of one frame (AAC LC, 44,100 Hz, two channels) around a binary expression, as hex digits: a header of 56 bits and the payload."""
+    size = f"(octet_length({payload}) + 7)"
+    return f"concat('FFF1', lpad(hex(({322 << 30}L | shiftleft(CAST({size} AS BIGINT), 13) | {0x7FF << 2}L)), 10, '0'), hex({payload}))"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, doc_id // {DOCS_A_FILE} AS f, strlen(coalesce(text, '')) AS n FROM documents),
+k AS (SELECT f, doc_id, k, least({FRAME}, n - {FRAME} * k) + 7 AS size FROM d, unnest(range((n + {FRAME - 1}) // {FRAME})) AS u(k))
+SELECT f AS file, row_number() OVER w - 1 AS seq, CAST(coalesce(sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset, size AS byte_size, (row_number() OVER w - 1) * 1024 AS timestamp_ticks
+FROM k WINDOW w AS (PARTITION BY f ORDER BY doc_id, k)""")
+def q56_long_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as AAC frames, 64 documents a stream: frames found by many tasks, each from its own piece of a file."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.call_function("div", F.col("doc_id"), F.lit(DOCS_A_FILE)).alias("file"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("body"))
+    cut = F.expr(f"transform(sequence(0, greatest(div(octet_length(body) - 1, {FRAME}), 0)), k -> substring(body, CAST(k * {FRAME} + 1 AS INT), {FRAME}))")
+    framed = docs.select("file", "doc_id", F.when(F.octet_length("body") > 0, cut).otherwise(F.array()).alias("parts"))
+    made = framed.select("file", "doc_id", F.expr(f"array_join(transform(parts, p -> {adts_frame('p')}), '')").alias("hex"))
+    files = made.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("doc_id", "hex"))).alias("all"))
+    folder = written(spark, files.select(F.format_string("file-%012d.aac", "file").alias("source_id"), F.unhex(F.array_join(F.col("all.hex"), "")).alias("content")), "q56")
+    found, _ = longstreams.adts_index(spark, folder, piece=1 << 16)
+    file = F.regexp_extract("source_id", "file-([0-9]+)[.]aac$", 1).cast("bigint")
+    kept = found.select(file.alias("file"), "seq", "byte_offset", "byte_size", "timestamp_ticks").checkpoint()
+    store.remove(folder)
+    return kept
+
+
+#: Pages of q57's spans.
+PAGES_A_SPAN = 50
+
+
+def _crc_sql(kind: checksums.Kind) -> str:
+    register = [f"{int(x)}::BIGINT" for x in checksums._table(kind)]
+    return f"list_reduce(list_prepend(0::BIGINT, bytes), lambda c, b: xor([{', '.join(register)}][(xor(c >> {kind.bits - 8}, b) & 255) + 1], (c << 8) & {kind.mask}))"
+
+
+@query(f"""
+WITH s AS (SELECT page_id // {PAGES_A_SPAN} AS span, string_agg(url, '' ORDER BY page_id, url) AS t FROM pages WHERE url IS NOT NULL GROUP BY 1),
+b AS (SELECT span, [strpos('123456789ABCDEF', substr(hex(encode(t)), 2 * k + 1, 1))::BIGINT * 16 + strpos('123456789ABCDEF', substr(hex(encode(t)), 2 * k + 2, 1)) FOR k IN range(strlen(t))] AS bytes FROM s)
+SELECT span, len(bytes)::BIGINT AS n_bytes, {_crc_sql(checksums.OGG)} AS crc32, {_crc_sql(checksums.FLAC16)} AS crc16 FROM b""")
+def q57_span_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checksums of the addresses of fifty pages each, one after the other, from shares computed address by address."""
+    p = table(spark, sf_dir, "pages").where("url is not null").select(F.call_function("div", F.col("page_id"), F.lit(PAGES_A_SPAN)).alias("span"), "page_id", F.encode("url", "utf-8").alias("body"))
+    placed = timeline.running(p, "span", ["page_id", "body"], {"at": F.octet_length("body").cast("bigint")}).select("span", "at", "body")
+    one, two = (checksums.checksums(placed, k, ["span"], "at", "body").withColumnRenamed("crc", n) for k, n in ((checksums.OGG, "crc32"), (checksums.FLAC16, "crc16")))
+    return one.join(two.drop("n_bytes"), "span")

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codecs, samples, scalars
-from ..operators import machines, policy, replay, timeline, validity
-from ..sources import boxtree, encode, media, streams
+from ..operators import machines, policy, replay, scans, timeline, validity
+from ..sources import boxtree, encode, media, streams, wavtree
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -68,14 +68,16 @@ def q04_pcm_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT range AS code, xor(range, 85) AS a, 255 - range AS u FROM range(256)),
-p AS (SELECT code, a, u, ((a >> 4) & 7) AS ae, ((a & 15) << 4) AS al, ((u >> 4) & 7) AS ue, (((u & 15) << 3) + 132) AS ul FROM c),
-s AS (SELECT code, a, u, CASE WHEN ae = 0 THEN al + 8 ELSE (al + 264) << (ae - 1) END AS am, (ul << ue) - 132 AS um FROM p)
-SELECT CAST(code AS BIGINT) AS code, CAST(CASE WHEN a >= 128 THEN am ELSE -am END AS BIGINT) AS alaw, CAST(CASE WHEN a >= 128 THEN -am ELSE am END AS BIGINT) AS alaw_compat,
+WITH c AS (SELECT event_id, event_id % 256 AS code, xor(event_id % 256, 85) AS a, 255 - event_id % 256 AS u FROM events),
+p AS (SELECT event_id, code, a, u, ((a >> 4) & 7) AS ae, ((a & 15) << 4) AS al, ((u >> 4) & 7) AS ue, (((u & 15) << 3) + 132) AS ul FROM c),
+s AS (SELECT event_id, code, a, u, CASE WHEN ae = 0 THEN al + 8 ELSE (al + 264) << (ae - 1) END AS am, (ul << ue) - 132 AS um FROM p)
+SELECT event_id, CAST(code AS BIGINT) AS code, CAST(CASE WHEN a >= 128 THEN am ELSE -am END AS BIGINT) AS alaw, CAST(CASE WHEN a >= 128 THEN -am ELSE am END AS BIGINT) AS alaw_compat,
 CAST(CASE WHEN u >= 128 THEN -um ELSE um END AS BIGINT) AS ulaw FROM s""")
 def q06_g711(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A code an event, by its number."""
     c = F.col("code")
-    return longs(spark.range(256).withColumnRenamed("id", "code").select("code", samples.alaw(c).alias("alaw"), samples.alaw(c, True).alias("alaw_compat"), samples.ulaw(c).alias("ulaw")), "alaw", "alaw_compat", "ulaw")
+    codes = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 256).alias("code"))
+    return longs(codes.select("event_id", "code", samples.alaw(c).alias("alaw"), samples.alaw(c, True).alias("alaw_compat"), samples.ulaw(c).alias("ulaw")), "code", "alaw", "alaw_compat", "ulaw")
 
 
 #: A state is packed in one number: the sum of the samples above 23 bits, the value above 7, the step.
@@ -298,7 +300,7 @@ w AS (SELECT *, CASE WHEN NOT bound THEN 1 WHEN NOT plays THEN 2 WHEN NOT sound
 SELECT session, seq, CAST(ok AS BIGINT) AS accepted, CAST(bound AS BIGINT) AS bound, CAST(why = 0 AS BIGINT) AS allow_playback, CAST(why = 0 AND surface = 3 AND fl <> 0 AS BIGINT) AS show_lock_controls,
 CAST(why = 0 AS BIGINT) AS request_power_inhibit, CAST(why AS BIGINT) AS reason FROM w""")
 def q21_lifecycle_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return longs(replay.replay(playback_events(spark, sf_dir), machines.Lifecycle(), "session", ["seq"]), "accepted", "bound", "allow_playback", "show_lock_controls", "request_power_inhibit", "reason")
+    return longs(scans.lifecycle(playback_events(spark, sf_dir), "session", "seq"), "accepted", "bound", "allow_playback", "show_lock_controls", "request_power_inhibit", "reason")
 
 
 def _owner_sql(wanted: str, command: str) -> str:
@@ -314,12 +316,12 @@ SELECT session, seq, CAST(result AS BIGINT) AS result, CAST(active AS BIGINT) AS
 
 @query(_owner_sql("state = 3 AND (flags >> CAST(command - 1 AS INT)) & 1 = 1", "command"))
 def q22_lock_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return longs(replay.replay(playback_events(spark, sf_dir), machines.Owner(True), "session", ["seq"]), "result", "active", "pending", "active_command")
+    return longs(scans.owner(playback_events(spark, sf_dir), "session", "seq", True), "result", "active", "pending", "active_command")
 
 
 @query(_owner_sql("TRUE", "0"))
 def q23_power_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return longs(replay.replay(playback_events(spark, sf_dir), machines.Owner(False), "session", ["seq"]), "result", "active", "pending", "active_command")
+    return longs(scans.owner(playback_events(spark, sf_dir), "session", "seq", False), "result", "active", "pending", "active_command")
 
 
 @query("""
@@ -398,9 +400,11 @@ def q25_container_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("kind", "container_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT CAST(range AS BIGINT) AS pixel, CAST(4278190080 + (range >> 11 & 31) * 8 * 65536 + (range >> 5 & 63) * 4 * 256 + (range & 31) * 8 AS BIGINT) AS argb FROM range(65536)")
+@query("SELECT event_id, pixel, CAST(4278190080 + (pixel >> 11 & 31) * 8 * 65536 + (pixel >> 5 & 63) * 4 * 256 + (pixel & 31) * 8 AS BIGINT) AS argb FROM (SELECT event_id, event_id * 31 % 65536 AS pixel FROM events)")
 def q26_raw_video(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(65536).select(F.col("id").alias("pixel"), scalars.rgb565_to_argb(F.col("id")).alias("argb"))
+    """A pixel of 16 bits an event, by its number."""
+    pixels = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") * 31 % 65536).alias("pixel"))
+    return pixels.select("event_id", "pixel", scalars.rgb565_to_argb(F.col("pixel")).alias("argb"))
 
 
 @query("""
@@ -492,7 +496,7 @@ CAST({_flags} AS BIGINT) AS flags FROM l""")(_index_query(_kind))
 FROM (SELECT source_id, n, sum(q) AS total FROM l GROUP BY source_id, n) CROSS JOIN LATERAL (SELECT unnest(range(CAST(total AS BIGINT))) AS seq) WHERE total <= 256""")
 def q31_wav_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PCM: one packet a sample frame; sources of more than 256 are rejected whole."""
-    rows = media.packets(media.indexed(container_sources(spark, sf_dir, "wav")))
+    rows = wavtree.packets(wavtree.inspected(container_sources(spark, sf_dir, "wav")))
     return longs(rows.select("source_id", "seq", "byte_size", "timestamp_ticks"), "seq", "timestamp_ticks")
 
 
@@ -512,8 +516,7 @@ def q32_track_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_LINES} SELECT source_id, CAST(seq AS BIGINT) AS seq, q AS n_bytes, CAST(CASE WHEN q > 0 THEN 7 * q % 251 END AS BIGINT) AS first_byte FROM l""")
 def q33_packet_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources = container_sources(spark, sf_dir, "avi")
-    got = media.packet_payloads(media.indexed(sources), sources)
+    got = media.indexed_payloads(container_sources(spark, sf_dir, "avi")).where("status = 0")
     return longs(got.select("source_id", "seq", F.octet_length("payload").alias("n_bytes"), scalars.read_be(F.col("payload"), 0, 1).alias("first_byte")), "seq", "n_bytes")
 
 
@@ -616,14 +619,14 @@ def q42_session_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT page_id, ['MJPG', 'jpeg', 'DIB ', 'RAW ', 'H264', 'mjpg'][CAST(page_id % 6 AS INT) + 1] AS code, CASE WHEN page_id % 2 = 0 THEN '' ELSE url END AS a, CASE WHEN page_id % 3 = 0 THEN '' ELSE html END AS b FROM pages)
-SELECT page_id, code, CASE WHEN code IN ('MJPG', 'mjpg', 'JPEG') THEN 'mjpeg' WHEN code = 'DIB ' THEN 'raw' ELSE 'unknown' END AS codec,
+WITH p AS (SELECT page_id, ['MJPG', 'jpeg', 'DIB ', 'RAW ', 'H264', 'mjpg', 'JPEG', repeat(chr(0), 4)][CAST(page_id % 8 AS INT) + 1] AS code, CASE WHEN page_id % 2 = 0 THEN '' ELSE url END AS a, CASE WHEN page_id % 3 = 0 THEN '' ELSE html END AS b FROM pages)
+SELECT page_id, hex(encode(code)) AS code, CASE WHEN code IN ('MJPG', 'mjpg', 'JPEG') THEN 'mjpeg' WHEN code IN ('DIB ', repeat(chr(0), 4)) THEN 'raw' ELSE 'unknown' END AS codec,
 CASE WHEN length(a) > 0 AND strlen(a) <= 4096 THEN a WHEN length(b) > 0 AND strlen(b) <= 4096 THEN b ELSE '' END AS title FROM p""")
 def q43_codec_and_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("page_id")
-    code = F.element_at(F.array(*map(F.lit, ("MJPG", "jpeg", "DIB ", "RAW ", "H264", "mjpg"))), (n % 6 + 1).cast("int"))
+    code = F.element_at(F.array(*map(F.lit, ("MJPG", "jpeg", "DIB ", "RAW ", "H264", "mjpg", "JPEG", "\0\0\0\0"))), (n % 8 + 1).cast("int"))
     df = table(spark, sf_dir, "pages").select("page_id", code.alias("code"), F.when(n % 2 == 0, "").otherwise(F.col("url")).alias("a"), F.when(n % 3 == 0, "").otherwise(F.col("html")).alias("b"))
-    return df.select("page_id", "code", validity.video_codec(F.col("code")).alias("codec"), validity.metadata(F.col("a"), F.col("b")).alias("title"))
+    return df.select("page_id", F.hex(F.encode("code", "utf-8")).alias("code"), validity.video_codec(F.col("code")).alias("codec"), validity.metadata(F.col("a"), F.col("b")).alias("title"))
 
 
 @query("""
@@ -661,8 +664,7 @@ WITH s AS (SELECT l_orderkey, sum(2 * CAST(trunc(l_quantity) AS BIGINT)) AS body
 SELECT CAST(l_orderkey AS VARCHAR) AS source_id, 'index' AS stage, CAST(CASE WHEN 44 + body > 400 THEN -1 ELSE 0 END AS BIGINT) AS code, CAST(CASE WHEN 44 + body > 400 THEN 0 ELSE (body // 2 + 15) // 16 END AS BIGINT) AS n_packets FROM s""")
 def q46_oversize_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WAV sources under a limit of 400 bytes, 16 sample frames a packet: one status row a source, always."""
-    found = media.indexed(container_sources(spark, sf_dir, "wav"), max_bytes=400, frames_per_packet=16)
-    return longs(found.select("source_id", F.lit("index").alias("stage"), F.col("status").alias("code"), F.size("packets").alias("n_packets")), "code", "n_packets")
+    return longs(wavtree.statuses(wavtree.inspected(container_sources(spark, sf_dir, "wav"), 400), 16), "code", "n_packets")
 
 
 @query(f"""
@@ -684,7 +686,7 @@ def q48_playback_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("event_type")
     kind = F.when(t == "click", "position").when(t == "error", "rate").when(t == "purchase", "pause").otherwise("resume")
     e = table(spark, sf_dir, "events").select("user_id", "event_id", kind.alias("kind"), (F.col("value").cast("bigint") * 60).alias("value"))
-    got = replay.replay(e, machines.Clock(), "user_id", ["event_id"])
+    got = scans.clock(e, "user_id", "event_id")
     return longs(got, "accepted", "rate_permille", "paused").select("user_id", "event_id", "accepted", "position_ns", "rate_permille", "paused")
 
 

@@ -92,7 +92,6 @@ def index(data: bytes, max_bytes: int = S.MAX_SOURCE_BYTES, frames_per_packet: i
     return S.OK, container, tracks, sorted(packets, key=lambda p: p[0])  # sorted() is stable
 
 
-_TRACK_NAMES = [f.split(" ")[0] for f in schemas.TRACK.split(", ")]
 _PACKET_NAMES = [f.split(" ")[0] for f in schemas.PACKET.split(", ")]
 
 
@@ -103,21 +102,25 @@ def _arrow(name: str) -> pa.DataType:
     return to_arrow_type(schema[name].dataType)
 
 
+def _lists(rows: list[list[tuple]], kind: pa.DataType) -> pa.ListArray:
+    """A list of structs for each source, column by column."""
+    fields = list(kind.value_type)
+    columns = list(zip(*(r for own in rows for r in own), strict=True)) or [()] * len(fields)
+    structs = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], fields=fields)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), structs)
+
+
 def indexed(sources: DataFrame, packets: bool = True, max_bytes: int = S.MAX_SOURCE_BYTES, frames_per_packet: int = 1, limits: S.Limits = S.LIMITS) -> DataFrame:
     """source_id, status, container_id, tracks, packets: one row a source, whatever becomes of it."""
-    from decimal import Decimal
-
     track_type, packet_type = _arrow("tracks"), _arrow("packets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [index(d or b"", max_bytes, frames_per_packet, limits) if packets else (*inspect(d or b"", max_bytes, limits), []) for d in b.column("content").to_pylist()]
-            tracks = [[dict(zip(_TRACK_NAMES, (*t[:4], Decimal(t[4]), t[5]), strict=True)) for t in g[2]] for g in got]
-            rows = [[dict(zip(_PACKET_NAMES, (k, p[0], p[1], p[2], Decimal(p[3]), p[4], p[5]), strict=True)) for k, p in enumerate(g[3])] for g in got]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("source_id"), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.int32()), pa.array(tracks, track_type), pa.array(rows, packet_type)],
-                names=["source_id", "status", "container_id", "tracks", "packets"],
-            )
+            tracks = _lists([g[2] for g in got], track_type)
+            rows = _lists([[(k, *p) for k, p in enumerate(g[3])] for g in got], packet_type)
+            codes = [pa.array([g[k] for g in got], pa.int32()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column("source_id"), *codes, tracks, rows], names=["source_id", "status", "container_id", "tracks", "packets"])
 
     return sources.select(F.col("source_id").cast("string"), "content").mapInArrow(run, f"source_id string, {schemas.INDEXED}")
 
@@ -157,6 +160,30 @@ def packet_payloads(found: DataFrame, sources: DataFrame, max_bytes: int = S.MAX
     return both.select("source_id", F.inline(F.transform("packets", cut)))
 
 
+def indexed_payloads(sources: DataFrame, max_packet_bytes: int = S.MAX_PACKET_BYTES, max_bytes: int = S.MAX_SOURCE_BYTES, frames_per_packet: int = 1, limits: S.Limits = S.LIMITS) -> DataFrame:
+    """All packets of ``packet_payloads``, cut in the pass that indexes them, so that a source's bytes are made and moved once.
+
+    Columns: source_id, status, those of a packet, packet_status and payload.  A source that is rejected has one row with its status.
+    """
+    fields = list(_arrow("packets").value_type)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for ident, data in zip(b.column("source_id").to_pylist(), b.column("content").to_pylist(), strict=True):
+                status, _, _, found = index(data or b"", max_bytes, frames_per_packet, limits)
+                if status:
+                    rows.append((ident, status, *[None] * (len(fields) + 2)))
+                for k, p in enumerate(found):
+                    fits = p[1] <= max_packet_bytes
+                    rows.append((ident, S.OK, k, *p, S.OK if fits else S.INVALID, data[p[0] : p[0] + p[1]] if fits else None))
+            columns = list(zip(*rows, strict=True)) or [()] * (len(fields) + 4)
+            kinds = [pa.string(), pa.int32(), *(f.type for f in fields), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["source_id", "status", *_PACKET_NAMES, "packet_status", "payload"])
+
+    return sources.select(F.col("source_id").cast("string"), "content").mapInArrow(run, f"source_id string, status int, {schemas.PACKET}, packet_status int, payload binary")
+
+
 def samples_by_packets(sources: DataFrame, frames_per_packet: int = 1, max_bytes: int = S.MAX_SOURCE_BYTES, limits: S.Limits = S.LIMITS) -> DataFrame:
     """(source_id, status, packet, frame, channel, value): uncompressed WAV decoded by its packet table, a source's rows or its status only.
 

@@ -82,15 +82,20 @@ def extents(packets: list[tuple[int, int]]) -> Iterator[tuple[int, int, list[int
         yield start, end - start, run
 
 
-def read_packets(packets: DataFrame, max_bytes: int = S.MAX_PACKET_BYTES, span: int = SPAN, source: str = "source_id", opener: Callable[[str], Any] = store.opened, cancelled: Callable[[], bool] | None = None) -> DataFrame:
+def read_packets(packets: DataFrame, max_bytes: int = S.MAX_PACKET_BYTES, span: int = SPAN, source: str = "source_id", opener: Callable[[str], Any] = store.opened, cancelled: Callable[[], bool] | None = None, then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str = "") -> DataFrame:
     """``packets`` (a path in ``source``, byte_offset, byte_size, ...) with packet_status, fetched and payload.
 
-    One row a packet, whatever becomes of it.  ``cancelled`` is asked before each request, in the task.
+    One row a packet, whatever becomes of it.  ``cancelled`` is asked before each request, in the task.  ``then`` makes other
+    rows, of ``schema``, of each batch while the payloads are there, so that they need not leave the task.
     """
     names = packets.columns
     last = 2**63 - 1  # offsets are signed here; files cannot be longer
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in given(batches):
+            yield got if then is None else then(got)
+
+    def given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, file = None, None
 
         def batch(b: pa.RecordBatch, rows: list[int], found: dict[int, tuple[int, int, bytes | None]]) -> pa.RecordBatch:
@@ -143,4 +148,4 @@ def read_packets(packets: DataFrame, max_bytes: int = S.MAX_PACKET_BYTES, span:
     part = F.call_function("div", F.col("byte_offset").cast("bigint"), F.lit(span))
     dealt = packets.withColumn("_part", part).repartition(F.col(source), F.col("_part")).sortWithinPartitions(source, "byte_offset").drop("_part")
     kept = ", ".join(f"`{n}` {packets.schema[n].dataType.simpleString()}" for n in names)
-    return dealt.mapInArrow(read, f"{kept}, packet_status int, fetched bigint, payload binary")
+    return dealt.mapInArrow(read, schema or f"{kept}, packet_status int, fetched bigint, payload binary")

@@ -54,3 +54,12 @@ def test_scalars(spark):
     assert read(scalars.rescaled_ns(F.lit(3), F.lit(1), F.lit(7))) == 428571429
     assert [read(scalars.text_admitted(F.lit(t))) for t in ("ok é", "a\nb", "x" * 128, None)] == [True, False, False, False]
     assert [read(scalars.rational_ok(F.lit(a), F.lit(b))) for a, b in ((30, 1), (1001, 1), (0, 1))] == [True, False, False]
+
+
+def test_payloads_in_one_pass(spark):
+    rows = [(k, bytearray(make([3, 0, 4, 5]))) for k, make in sorted(MAKERS.items())] + [("junk", bytearray(b"?")), ("none", None)]
+    sources = spark.createDataFrame(rows, "source_id string, content binary")
+    want = media.packet_payloads(media.indexed(sources), sources, 4)
+    got = media.indexed_payloads(sources, 4)
+    assert sorted(map(repr, got.where("status = 0").drop("status").collect())) == sorted(map(repr, want.collect()))
+    assert {r.source_id for r in got.where("status <> 0").collect()} == {"junk", "none"} | {r.source_id for r in media.statuses(media.indexed(sources)).where("code <> 0").collect()}
