@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs, samples, scalars
 from ..operators import machines, policy, replay, scans, timeline, validity
-from ..sources import boxtree, encode, media, streams, wavtree
+from ..sources import avitree, boxtree, encode, framed, longstreams, media, streams, wavtree
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -480,7 +480,16 @@ def mp4_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _index_query(kind: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = boxtree.packets(boxtree.inspected(mp4_sources(spark, sf_dir))) if kind == "mp4" else media.packets(media.indexed(container_sources(spark, sf_dir, kind)))
+        if kind == "mp4":
+            rows = boxtree.packets(boxtree.inspected(mp4_sources(spark, sf_dir)))
+        elif kind == "avi":
+            rows = avitree.packets(avitree.inspected(container_sources(spark, sf_dir, kind)))
+        elif kind == "adts":
+            rows = framed.packets(framed.adts(framed.walked(container_sources(spark, sf_dir, kind), longstreams.ADTS)))
+        elif kind in ("opus", "vorbis"):
+            rows = framed.packets(framed.ogg(framed.walked(container_sources(spark, sf_dir, kind), framed.OGG)))
+        else:
+            rows = media.packets(media.indexed(container_sources(spark, sf_dir, kind)))
         return longs(rows.select("source_id", "seq", "byte_size", "timestamp_ticks", "duration_ticks", "flags"), "seq", "timestamp_ticks", "flags")
 
     run.__name__ = f"q31_{kind}_index"
@@ -637,9 +646,8 @@ def q44_failure_atomic(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = F.col("source_id").cast("bigint") % 3
     made = container_sources(spark, sf_dir, "adts")
     cut = F.when(o == 0, F.col("content")).when(o == 1, F.substring("content", F.lit(1), F.octet_length("content") - 1)).otherwise(F.lit(bytearray()))
-    found = media.indexed(made.withColumn("content", cut))
-    counted = found.select("source_id", F.size("packets").cast("bigint").alias("n_packets"))
-    return longs(media.statuses(found).join(counted, "source_id"), "code")
+    found = framed.adts(framed.walked(made.withColumn("content", cut), longstreams.ADTS))
+    return longs(framed.statuses(found), "code", "n_packets")
 
 
 # --- requests, limits and formats --------------------------------------------------------------
