@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -142,25 +142,34 @@ def decode_packets(data: bytes, packets: list[tuple], tag: int, bits: int, chann
     return np.concatenate(out)
 
 
+def _decode_flac(data: bytes, limits: media.S.Limits) -> tuple[np.ndarray, int]:
+    return flac.decode(data, flac.flac_packets(data, limits)), flac.open_flac(data).rate
+
+
+def _decode_wav(data: bytes, limits: media.S.Limits) -> tuple[np.ndarray, int]:
+    w = riff.open_wav(data)
+    body = data[w.start : w.start + w.size]
+    if w.tag == riff.IMA:
+        return np.concatenate(ima_blocks([body[k : k + w.align] for k in range(0, w.size, w.align)], w.channels)), w.rate
+    return pcm_to_s16(body, w.tag, w.bits).reshape(-1, w.channels), w.rate
+
+
+#: container id: decoder of a whole source to (samples (frames, channels), rate); the extension point for further ones, which raise Bad.
+DECODERS: dict[int, Callable[[bytes, media.S.Limits], tuple[np.ndarray, int]]] = {media.S.FLAC: _decode_flac, media.S.WAV: _decode_wav}
+
+
 def decode_source(data: bytes, max_bytes: int = media.S.MAX_SOURCE_BYTES, limits: media.S.Limits = media.S.LIMITS) -> tuple[int, np.ndarray, int]:
-    """(status, samples (frames, channels), sample rate) of a WAV or FLAC source; all or nothing."""
+    """(status, samples (frames, channels), sample rate) of a source of a container in DECODERS; all or nothing."""
     nothing = np.zeros((0, 1), np.int64)
     status, container, _ = media.inspect(data, max_bytes, limits)
     if status:
         return status, nothing, 0
+    if container not in DECODERS:
+        return media.S.UNSUPPORTED, nothing, 0
     try:
-        if container == media.S.FLAC:
-            info = flac.open_flac(data)
-            return 0, flac.decode(data, flac.flac_packets(data, limits)), info.rate
-        if container == media.S.WAV:
-            w = riff.open_wav(data)
-            body = data[w.start : w.start + w.size]
-            if w.tag == riff.IMA:
-                return 0, np.concatenate(ima_blocks([body[k : k + w.align] for k in range(0, w.size, w.align)], w.channels)), w.rate
-            return 0, pcm_to_s16(body, w.tag, w.bits).reshape(-1, w.channels), w.rate
+        return 0, *DECODERS[container](data, limits)
     except Bad:
         return media.S.MALFORMED, nothing, 0
-    return media.S.UNSUPPORTED, nothing, 0
 
 
 class _Held:

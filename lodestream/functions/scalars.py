@@ -120,8 +120,3 @@ def opus_frame_ticks(toc: Column) -> Column:
     step = config.bitwiseAND(3)
     power = lambda base: F.call_function("shiftleft", F.lit(base), step)
     return F.when(config < 12, F.element_at(F.array(*map(F.lit, (480, 960, 1920, 2880))), step + 1)).when(config < 16, F.when(config.bitwiseAND(1) == 0, 480).otherwise(960)).otherwise(power(120))
-
-
-def padded_even(size: Column) -> Column:
-    """RIFF chunk bodies are padded to even sizes."""
-    return size + size % 2

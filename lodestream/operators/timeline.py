@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..functions.scalars import U32
+from ..status import AUDIO
 from .validity import command_ok, number_ok
 
 #: Chunk numbers handled by one task of ``asof``.
@@ -210,6 +211,11 @@ def best_track(tracks: DataFrame, source: str, track: str, is_default: str) -> D
     return tracks.groupBy(source).agg(F.min_by(F.struct(*tracks.columns), key).alias("_row")).select("_row.*")
 
 
+def best_audio(tracks: DataFrame, source: str, track: str, kind: str, is_default: str) -> DataFrame:
+    """``best_track`` among those of kind AUDIO; a source without one has no row."""
+    return best_track(tracks.where(F.col(kind) == AUDIO), source, track, is_default)
+
+
 def clock_positions(events: DataFrame, player: str, order: str, elapsed: str, fps: Column, frames: Column) -> DataFrame:
     """Time after each update of a clock that saturates at 32 bits and does not loop, and its target frame."""
     step = F.coalesce(F.col(elapsed).cast("bigint"), F.lit(0))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs, samples, scalars
 from ..operators import machines, policy, replay, scans, timeline, validity
-from ..sources import avitree, boxtree, encode, framed, longstreams, media, streams, wavtree
+from ..sources import avitree, boxtree, elements, encode, framed, longstreams, media, streams, wavtree
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -489,7 +489,8 @@ def _index_query(kind: str) -> Query:
         elif kind in ("opus", "vorbis"):
             rows = framed.packets(framed.ogg(framed.walked(container_sources(spark, sf_dir, kind), framed.OGG)))
         else:
-            rows = media.packets(media.indexed(container_sources(spark, sf_dir, kind)))
+            found = elements.walked(container_sources(spark, sf_dir, kind))
+            rows = elements.packets(found, elements.inspected(found))
         return longs(rows.select("source_id", "seq", "byte_size", "timestamp_ticks", "duration_ticks", "flags"), "seq", "timestamp_ticks", "flags")
 
     run.__name__ = f"q31_{kind}_index"

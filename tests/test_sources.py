@@ -63,3 +63,16 @@ def test_payloads_in_one_pass(spark):
     got = media.indexed_payloads(sources, 4)
     assert sorted(map(repr, got.where("status = 0").drop("status").collect())) == sorted(map(repr, want.collect()))
     assert {r.source_id for r in got.where("status <> 0").collect()} == {"junk", "none"} | {r.source_id for r in media.statuses(media.indexed(sources)).where("code <> 0").collect()}
+
+
+def test_best_audio_and_further_decoders(spark):
+    rows = [("a", 1, 2, False), ("a", 2, 1, False), ("a", 3, 1, True), ("b", 1, 1, False), ("b", 4, 1, False), ("c", 1, 2, True)]
+    tracks = spark.createDataFrame(rows, "source_id string, track_id int, kind int, is_default boolean")
+    assert {(r.source_id, r.track_id) for r in timeline.best_audio(tracks, "source_id", "track_id", "kind", "is_default").collect()} == {("a", 3), ("b", 1)}
+    made = encode.adts([b"ab", b"c"])
+    assert codecs.decode_source(made)[0] == -2
+    codecs.DECODERS[media.S.ADTS] = lambda data, limits: (codecs.np.array([[len(data)]]), 8000)
+    try:
+        assert codecs.decode_source(made)[1].tolist() == [[len(made)]]
+    finally:
+        del codecs.DECODERS[media.S.ADTS]
