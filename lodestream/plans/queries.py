@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs, samples, scalars
 from ..operators import machines, policy, replay, scans, timeline, validity
-from ..sources import avitree, boxtree, elements, encode, framed, longstreams, media, streams, wavtree
+from ..sources import avitree, boxtree, elements, encode, flacframes, framed, longstreams, media, streams, wavtree
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -456,7 +456,9 @@ def q29_wav_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT CAST(l_orderkey AS VARCHAR) AS source_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, trunc(l_quantity)) - 1 AS frame, CAST(trunc(l_quantity) AS BIGINT) AS value FROM lineitem""")
 def q30_flac_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return longs(codecs.samples(container_sources(spark, sf_dir, "flac")).select("source_id", "frame", "value"), "value")
+    """Frames found, checked and decoded as rows."""
+    frames = flacframes.checked(flacframes.walked(container_sources(spark, sf_dir, "flac")))
+    return longs(flacframes.samples(frames).select("source_id", "frame", "value"), "value")
 
 
 _LINES = """l AS (SELECT CAST(l_orderkey AS VARCHAR) AS source_id, row_number() OVER w - 1 AS seq, CAST(trunc(l_quantity) AS BIGINT) AS q,
@@ -513,7 +515,7 @@ def q31_wav_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_LINES} SELECT source_id, CAST(seq AS BIGINT) AS seq, least(n - seq * 2, 2) AS duration_ticks, seq * 2 AS timestamp_ticks
 FROM (SELECT DISTINCT source_id, n, seq // 2 AS seq FROM l)""")
 def q31_flac_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = media.packets(media.indexed(container_sources(spark, sf_dir, "flac")))
+    rows = flacframes.packets(flacframes.checked(flacframes.walked(container_sources(spark, sf_dir, "flac"))))
     return longs(rows.select("source_id", "seq", "duration_ticks", "timestamp_ticks"), "seq", "timestamp_ticks")
 
 
