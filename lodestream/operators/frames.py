@@ -1,6 +1,6 @@
 """Conversion and scaling of video frames, by tiles.
 
-A frame is cut into tiles of the output.  A tile takes the rectangle of the input that its weights reach, its borders included, so it
+A frame is cut into tiles of the output.  A strip of tiles takes the rows of the input that its weights reach, its borders included, so it
 is scaled by itself and frames of any size are the work of many tasks; the tiles of a frame are put together by the
 aggregate over it, or stay tiles.
 
@@ -71,11 +71,11 @@ def weights(first: int, n: int, old: int, new: int) -> tuple[int, np.ndarray]:
     return low, h / h.sum(axis=1, keepdims=True)
 
 
-def scaled_tile(data: bytes, width: int, height: int, form: str, out_width: int, out_height: int, x: int, y: int, w: int, h: int) -> np.ndarray:
-    """(h, w, 4) bytes of a rectangle of the scaled frame."""
+def scaled_tile(slab: bytes, top: int, rows: int, width: int, height: int, form: str, out_width: int, out_height: int, x: int, y: int, w: int, h: int) -> np.ndarray:
+    """(h, w, 4) bytes of a rectangle of the scaled frame, from the frame's rows ``top`` to ``top + rows - 1``."""
     left, across = weights(x, w, width, out_width)
-    top, down = weights(y, h, height, out_height)
-    part = to_bgra(data, width, height, form, left, top, across.shape[1], down.shape[1]).astype(np.float64)
+    low, down = weights(y, h, height, out_height)
+    part = to_bgra(slab, width, rows, form, left, low - top, across.shape[1], down.shape[1]).astype(np.float64)
     # the sums of a pixel are taken in the same order whatever the tile: place by place
     wide = np.zeros((part.shape[0], w, 4))
     for k in range(across.shape[1]):
@@ -89,27 +89,59 @@ def scaled_tile(data: bytes, width: int, height: int, form: str, out_width: int,
 def tiles(frames: DataFrame, out_width: int | None = None, out_height: int | None = None, form: str = "bgra", tile: int = TILE) -> DataFrame:
     """TILES of frames (source_id, frame_index, width, height, pixels), scaled to a size or not; frame_status INVALID and no pixels where a frame is not what it says.
 
-    Each tile is a row before it is computed and is dealt with the frame's bytes that it needs, so a frame's tiles may be on many tasks.
+    A strip of tiles is a row before it is computed, with the rows of the frame that its weights reach and no others, so a frame's
+    strips may be on many tasks and its bytes are moved about once.
     """
-    cut = frames.select(F.col("source_id").cast("string"), F.col("frame_index").cast("bigint"), "width", "height", "pixels")
-    wide, high = (F.lit(v).cast("int") if v else F.col(n).cast("int") for v, n in ((out_width, "width"), (out_height, "height")))
-    half = F.ceil(F.col("width") / 2) * F.ceil(F.col("height") / 2)
-    size = F.col("width").cast("bigint") * F.col("height") * 4 if form == "bgra" else F.col("width").cast("bigint") * F.col("height") + 2 * half
-    fits = F.col("width").between(1, MAX_SIDE) & F.col("height").between(1, MAX_SIDE) & wide.between(1, MAX_SIDE) & high.between(1, MAX_SIDE) & (wide * high <= MAX_PIXELS) & (F.octet_length("pixels") == size)
+    c = F.col
+    cut = frames.select(c("source_id").cast("string"), c("frame_index").cast("bigint"), c("width").cast("int").alias("width"), c("height").cast("int").alias("height"), "pixels")
+    wide, high = (F.lit(v).cast("int") if v else c(n) for v, n in ((out_width, "width"), (out_height, "height")))
+    half = F.ceil(c("width") / 2).cast("bigint")
+    size = c("width").cast("bigint") * c("height") * 4 if form == "bgra" else c("width").cast("bigint") * c("height") + 2 * half * F.ceil(c("height") / 2)
+    fits = c("width").between(1, MAX_SIDE) & c("height").between(1, MAX_SIDE) & wide.between(1, MAX_SIDE) & high.between(1, MAX_SIDE) & (wide * high <= MAX_PIXELS) & (F.octet_length("pixels") == size)
     good = F.coalesce(fits, F.lit(False))
-    steps = lambda n: F.sequence(F.lit(0), F.when(good, n - 1).otherwise(F.lit(0)), F.lit(tile))
-    rows = cut.withColumns({"good": good, "out_width": wide, "out_height": high}).withColumn("x", F.explode(steps(F.col("out_width")))).withColumn("y", F.explode(steps(F.col("out_height"))))
+    strips = F.sequence(F.lit(0), F.when(good, high - 1).otherwise(F.lit(0)), F.lit(tile))
+    rows = cut.withColumns({"good": good, "out_width": wide, "out_height": high}).withColumn("y", F.explode(strips))
+    # the rows that ``span`` says, from an even one on, as rows of chroma belong to two
+    scale = c("height") / c("out_height")
+    reach = F.greatest(F.lit(1.0), scale)
+    last = F.least(c("y") + tile, c("out_height"))
+    top = F.greatest(F.lit(0), F.floor((c("y") + 0.5) * scale - 0.5 - reach)).cast("int")
+    end = F.least(c("height"), F.ceil((last - 0.5) * scale - 0.5 + reach) + 1).cast("int")
+    rows = rows.withColumns({"top": top - top % 2, "n": end - (top - top % 2)})
+    piece = lambda at, n: F.substring("pixels", (at + 1).cast("int"), n.cast("int"))
+    area, low, many = c("width") * c("height"), F.call_function("div", c("top"), F.lit(2)), F.ceil(c("n") / 2)
+    if form == "bgra":
+        slab = piece(c("top") * c("width") * 4, c("n") * c("width") * 4)
+    elif form == "i420":
+        planes = half * F.ceil(c("height") / 2)
+        slab = F.concat(piece(c("top") * c("width"), c("n") * c("width")), piece(area + low * half, many * half), piece(area + planes + low * half, many * half))
+    else:
+        slab = F.concat(piece(c("top") * c("width"), c("n") * c("width")), piece(area + low * half * 2, many * half * 2))
+    rows = rows.select("source_id", "frame_index", "width", "height", "good", "out_width", "out_height", "y", "top", "n", F.when(c("good"), slab).alias("slab"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.int64(), *[pa.int32()] * 7, pa.binary()]
+
+        def batch(found: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*found, strict=True)) or [()] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], names=[x.split(" ")[0] for x in TILES.split(", ")])
+
         for b in batches:
-            names = ("source_id", "frame_index", "width", "height", "pixels", "good", "out_width", "out_height", "x", "y")
-            for source, k, w0, h0, pixels, ok, w1, h1, x, y in zip(*(b.column(c) for c in names), strict=True):
-                row = [source.as_py(), k.as_py(), S.OK if ok.as_py() else S.INVALID, w1.as_py(), h1.as_py(), x.as_py(), y.as_py(), None, None, None]
-                if ok.as_py():
-                    w, h = min(tile, row[3] - row[5]), min(tile, row[4] - row[6])
-                    row[7:] = w, h, scaled_tile(pixels.as_buffer(), w0.as_py(), h0.as_py(), form, row[3], row[4], row[5], row[6], w, h).tobytes()
-                kinds = [pa.string(), pa.int64(), *[pa.int32()] * 7, pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=[c.split(" ")[0] for c in TILES.split(", ")])
+            found, held = [], 0
+            names = ("source_id", "frame_index", "width", "height", "good", "out_width", "out_height", "y", "top", "n")
+            for source, k, w0, h0, ok, w1, h1, y, top, n, body in zip(*(b.column(x).to_pylist() for x in names), b.column("slab"), strict=True):
+                if not ok:
+                    found.append((source, k, S.INVALID, w1, h1, 0, y, None, None, None))
+                    continue
+                h = min(tile, h1 - y)
+                for x in range(0, w1, tile):
+                    w = min(tile, w1 - x)
+                    found.append((source, k, S.OK, w1, h1, x, y, w, h, scaled_tile(body.as_buffer(), top, n, w0, h0, form, w1, h1, x, y, w, h).tobytes()))
+                    held += w * h * 4
+                if held > 1 << 25:
+                    yield batch(found)
+                    found, held = [], 0
+            yield batch(found)
 
     return rows.mapInArrow(run, TILES)
 

@@ -1,4 +1,4 @@
-"""Queries of access to files: reads by position, selection of tracks at the source, seeking, long streams, checksums.
+"""Queries of access to files: reads by position, selection of tracks at the source, seeking, long streams, checksums; and of conversion.
 
 Files are made from the driver's tables, written to the shared folder by the library's own sink, and removed when the
 query's rows are in a reliable checkpoint.
@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import status as S
-from ..functions import checksums
-from ..operators import seeking, timeline
+from ..functions import checksums, samples, scalars
+from ..operators import frames, resample, seeking, timeline
 from ..sources import datasource, longstreams, positional, store
+from ..streaming import pump
 from .queries import MAKERS, blobs, longs, query, table
 
 #: Documents a file of q53, bytes of a packet, and where packets that no file has begin.
@@ -140,3 +141,51 @@ def q57_span_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = timeline.running(p, "span", ["page_id", "body"], {"at": F.octet_length("body").cast("bigint")}).select("span", "at", "body")
     one, two = (checksums.checksums(placed, k, ["span"], "at", "body").withColumnRenamed("crc", n) for k, n in ((checksums.OGG, "crc32"), (checksums.FLAC16, "crc16")))
     return one.join(two.drop("n_bytes"), "span")
+
+
+#: Bytes of a frame of q58.
+PUMPED = 256
+
+
+@query(f"""
+WITH d AS (SELECT coalesce(lang, '-') AS source_id, doc_id, coalesce(text, '') AS t FROM documents),
+s AS (SELECT source_id, hex(encode(string_agg(t, '' ORDER BY doc_id))) AS h FROM d GROUP BY source_id),
+f AS (SELECT source_id, unnest(range((length(h) // 2 + {PUMPED - 1}) // {PUMPED})) AS k, h FROM s)
+SELECT source_id, k AS frame_index, CAST(least({PUMPED}, length(h) // 2 - {PUMPED} * k) AS BIGINT) AS n_samples, md5(substr(h, {2 * PUMPED} * k + 1, {2 * PUMPED})) AS samples_md5, CAST(0 AS BIGINT) AS last FROM f
+UNION ALL SELECT source_id, (length(h) // 2 + {PUMPED - 1}) // {PUMPED}, CAST(0 AS BIGINT), '', CAST(1 AS BIGINT) FROM s""")
+def q58_pump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as packets of a language's stream, to frames of 256 bytes and a row that says a stream is drained."""
+    docs = table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("-")).alias("source_id"), "doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("samples"))
+    packets = timeline.running(docs, "source_id", ["doc_id"], {"seq": F.lit(1).cast("bigint")})
+    got = pump.pumped(packets, PUMPED, 1)
+    digest = F.when(F.col("samples").isNull(), "").otherwise(F.md5(F.hex("samples").cast("binary")))
+    return longs(got.select("source_id", "frame_index", "n_samples", digest.alias("samples_md5"), "last"), "n_samples", "last")
+
+
+@query("""
+WITH w AS (SELECT CAST(vec_id AS VARCHAR) AS source_id, pos - 1 AS frame, trunc(greatest(least(x, 1::FLOAT), -1::FLOAT) * 32767::FLOAT)::DOUBLE AS value
+FROM (SELECT vec_id, generate_subscripts(embedding, 1) AS pos, unnest(embedding) AS x FROM embeddings)),
+n AS (SELECT source_id, max(frame) + 1 AS n FROM w GROUP BY source_id), o AS (SELECT source_id, n, unnest(range((n * 11025 + 7999) // 8000)) AS j FROM n),
+p AS (SELECT source_id, n, j, j * 8000 // 11025 + unnest(range(-16, 17)) AS k FROM o),
+h AS (SELECT *, j * 8000 / 11025.0::DOUBLE - k AS u FROM p),
+g AS (SELECT source_id, j, k, CASE WHEN abs(u) >= 16 THEN 0 WHEN u = 0 THEN 1 ELSE sin(pi() * u) / (pi() * u) * (1 + cos(pi() * u / 16)) / 2 END AS weight FROM h)
+SELECT g.source_id, j AS frame, CAST(round(greatest(-32768, least(32767, sum(weight * coalesce(value, 0)) / sum(weight)))) AS BIGINT) AS value FROM g LEFT JOIN w ON g.source_id = w.source_id AND g.k = w.frame GROUP BY g.source_id, j""")
+def q59_resample_sinc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as samples of 8,000 Hz, brought to 11,025 Hz by the windowed sinc."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("source_id"), F.posexplode("embedding").alias("pos", "x"))
+    own = e.select("source_id", F.col("pos").cast("bigint").alias("frame"), F.lit(0).alias("channel"), samples.f32(F.col("x")).cast("int").alias("value"))
+    return longs(resample.resampled(own, 8000, 11_025).select("source_id", "frame", "value"), "value")
+
+
+@query("""
+WITH f AS (SELECT vec_id, [CAST(floor(abs(x) * 1000) AS BIGINT) % 256 FOR x IN embedding] AS v FROM embeddings),
+p AS (SELECT vec_id, k, v[k + 1] - 16 AS c, v[(k // 8 // 2) * 4 + (k % 8) // 2 + 1] - 128 AS d, v[(k // 8 // 2) * 4 + (k % 8) // 2 + 17] - 128 AS e FROM f, unnest(range(64)) AS u(k))
+SELECT vec_id, k AS pixel, greatest(0, least(255, (298 * c + 516 * d + 128) >> 8)) AS b, greatest(0, least(255, (298 * c - 100 * d - 208 * e + 128) >> 8)) AS g, greatest(0, least(255, (298 * c + 409 * e + 128) >> 8)) AS r FROM p""")
+def q60_planar_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as planar frames of eight by eight pixels, converted in four tiles each."""
+    hexed = lambda a: F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 2, "0")), "")
+    v = F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 1000).cast("bigint") % 256)
+    e = table(spark, sf_dir, "embeddings").select("vec_id", v.alias("v"))
+    made = e.select(F.col("vec_id").cast("string").alias("source_id"), F.lit(0).alias("frame_index"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.unhex(F.concat(hexed(F.col("v")), hexed(F.slice("v", 1, 32)))).alias("pixels"))
+    got = frames.assembled(frames.tiles(made, form="i420", tile=4)).select(F.col("source_id").cast("bigint").alias("vec_id"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.substring("pixels", k * 4 + 1, F.lit(4)))).alias("pixel", "p"))
+    return longs(got.select("vec_id", "pixel", *(scalars.read_be(F.col("p"), k, 1).alias(n) for k, n in enumerate("bgr"))), "pixel")
