@@ -45,6 +45,8 @@ LISTED = 65_536
 HELD_WORDS = 400_000
 #: Tokens of the documents whose recursions run together, and of one document between two kept states.
 BATCH_TOKENS, SPAN = 400_000, 400_000
+#: Documents whose tokens a task holds at once when it looks them up.
+LOOKED = 512
 HELD_OUT = 10
 #: Stands for the end of a text; no word contains a space.
 END = " "
@@ -334,7 +336,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Per document its classes, the word terms known here, and its other words with their numbers of occurrence."""
             v = shared.value
-            for b in batches:
+            for b in (whole.slice(k, LOOKED) for whole in batches for k in range(0, whole.num_rows, LOOKED)):
                 got = [v.sequence(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in b.column("text")]
                 base = [float(v.base[k].sum()) for _, k, _ in got]
                 inside = [float(v.inside[k].sum() - divisor[s[s >= COMMON] - COMMON].sum()) for s, k, _ in got]
