@@ -18,7 +18,7 @@ from .. import status as S
 from ..functions.checksums import OGG
 from ..operators import chains
 from ..operators.timeline import running
-from . import positional
+from . import positional, store
 
 #: Bytes of a file that one walk covers, beside what a record may reach beyond.
 PIECE = 1 << 20
@@ -73,10 +73,14 @@ class Ogg:
 ADTS, OGG_PAGES = Adts(), Ogg()
 
 
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """(source_id, n_bytes) of the files of a folder, empty ones included (Spark's own file sources leave those out)."""
+    return spark.createDataFrame([(f.path, f.size) for f in store.listed(path)], "source_id string, n_bytes bigint")
+
+
 def pieces(spark: SparkSession, path: str, form: Adts | Ogg, piece: int = PIECE) -> DataFrame:
     """(source_id, n_bytes, piece, byte_offset, byte_size): planned from the lengths of the files alone."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("source_id"), F.col("length").alias("n_bytes"))
-    cut = files.where("n_bytes > 0").select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.call_function("div", F.col("n_bytes") - 1, F.lit(piece)))).alias("piece"))
+    cut = listing(spark, path).where("n_bytes > 0").select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.call_function("div", F.col("n_bytes") - 1, F.lit(piece)))).alias("piece"))
     begin = F.col("piece") * piece
     return cut.select("*", begin.alias("byte_offset"), F.least(F.col("n_bytes") - begin, F.lit(piece + form.ahead)).alias("byte_size"))
 
@@ -118,7 +122,7 @@ def records(spark: SparkSession, path: str, form: Adts | Ogg, piece: int = PIECE
     """(source_id, seq, byte_offset, byte_size, the form's fields) of the sources whose chain is whole, and (source_id, whole) of all."""
     cut = pieces(spark, path, form, piece)
     reached = chains.ranked(links(cut, form, piece), "source_id", "entry", "exit", "n")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("source_id"), F.col("length").alias("n_bytes"))
+    files = listing(spark, path)
     last = reached.groupBy("source_id").agg(F.max("entry").alias("last"))
     whole = files.join(last, "source_id", "left").select("source_id", F.coalesce((F.col("last") == F.col("n_bytes")) & (F.col("n_bytes") > 0), F.lit(False)).alias("whole"))
     entries = reached.join(whole.where("whole"), "source_id").select("source_id", F.call_function("div", F.col("entry"), F.lit(piece)).alias("piece"), "entry", "rank")
