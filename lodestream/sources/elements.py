@@ -156,12 +156,11 @@ def _source() -> WindowSpec:
 def packets(rows: DataFrame, found: DataFrame, limits: S.Limits = S.LIMITS) -> DataFrame:
     """PACKETS of the inspected sources whose blocks all hold."""
     c = F.col
-    known = found.where(c("status") == S.OK).select("source_id", F.explode("tracks.track_id").alias("track_id"))
-    sound = found.where(c("status") == S.OK).select("source_id")
+    sound = found.where(c("status") == S.OK).select("source_id", F.col("tracks.track_id").alias("ids"))
     own = rows.where(c("kind").isin("time", "block", "broken")).join(sound, "source_id")
     ahead = Window.partitionBy("source_id", "cluster").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     own = own.withColumns({"base": F.max(F.when(c("kind") == "time", c("value"))).over(ahead), "again": (c("kind") == "time") & (F.count(F.when(c("kind") == "time", 1)).over(ahead) > 0)})
-    own = own.withColumn("track_id", c("value").cast("bigint")).join(known.withColumn("known", F.lit(True)), ["source_id", "track_id"], "left")
+    own = own.withColumn("track_id", c("value").cast("bigint")).withColumn("known", F.array_contains("ids", c("track_id")))
     stamp = (c("base") + c("relative")).cast("decimal(21,0)")
     laced = F.forall("sizes", lambda s: s > 0) & ((F.size("sizes") == 1) | (c("duration") == 0))
     block = c("known") & c("base").isNotNull() & (stamp >= 0) & laced & (c("duration") <= F.lit(2**63 - 1))
