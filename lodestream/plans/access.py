@@ -184,7 +184,7 @@ SELECT vec_id, k AS pixel, greatest(0, least(255, (298 * c + 516 * d + 128) >> 8
 def q60_planar_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as planar frames of eight by eight pixels, converted in four tiles each."""
     hexed = lambda a: F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 2, "0")), "")
-    v = F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 1000).cast("bigint") % 256)
+    v = F.transform("embedding", lambda x: F.floor(F.abs(x) * F.lit(1000.0).cast("float")).cast("bigint") % 256)
     e = table(spark, sf_dir, "embeddings").select("vec_id", v.alias("v"))
     made = e.select(F.col("vec_id").cast("string").alias("source_id"), F.lit(0).alias("frame_index"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.unhex(F.concat(hexed(F.col("v")), hexed(F.slice("v", 1, 32)))).alias("pixels"))
     got = frames.assembled(frames.tiles(made, form="i420", tile=4)).select(F.col("source_id").cast("bigint").alias("vec_id"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.substring("pixels", k * 4 + 1, F.lit(4)))).alias("pixel", "p"))
