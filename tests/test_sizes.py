@@ -1,9 +1,12 @@
 """What larger tables showed: values at the edge of a rounding, and steps whose cost a record is bounded."""
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
 
+from lodestream.functions import checksums
 from lodestream.plans.queries import ORACLES, QUERIES
 
 
@@ -26,3 +29,13 @@ def test_planar_frames_where_single_and_double_products_differ(spark, tmp_path):
     assert len(odd) > 64
     got, want = both(spark, tmp_path, "q60_planar_frames", embeddings=pd.DataFrame({"vec_id": [1, 2], "embedding": [odd[:64], -odd[-64:]]}))
     assert got == want and len(got) == 128
+
+
+def test_a_short_page_has_its_checksum_in_microseconds():
+    pages = [bytes([k % 251]) * (20 + k % 60) for k in range(20_000)]
+    began = time.perf_counter()
+    found = [checksums.OGG.of(p) for p in pages]
+    assert time.perf_counter() - began < 3  # 12 s by lanes of numpy
+    assert found[:50] == [checksums._plain(checksums.OGG, p) for p in pages[:50]]
+    for kind in (checksums.FLAC16, checksums.FLAC8):
+        assert [kind.of(p) for p in pages[:50]] == [checksums._plain(kind, p) for p in pages[:50]]
