@@ -156,8 +156,9 @@ UNION ALL SELECT source_id, (length(h) // 2 + {PUMPED - 1}) // {PUMPED}, CAST(0
 def q58_pump(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as packets of a language's stream, to frames of 256 bytes and a row that says a stream is drained."""
     docs = table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("-")).alias("source_id"), "doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("samples"))
-    packets = timeline.running(docs, "source_id", ["doc_id"], {"seq": F.lit(1).cast("bigint")})
-    got = pump.pumped(packets, PUMPED, 1)
+    large = timeline.large_sources(docs.select("source_id"), "source_id", pump.ROWS)
+    packets = timeline.running(docs, "source_id", ["doc_id"], {"seq": F.lit(1).cast("bigint")}, large=large)
+    got = pump.pumped(packets, PUMPED, 1, large=large)
     digest = F.when(F.col("samples").isNull(), "").otherwise(F.md5(F.hex("samples").cast("binary")))
     return longs(got.select("source_id", "frame_index", "n_samples", digest.alias("samples_md5"), "last"), "n_samples", "last")
 

@@ -24,6 +24,8 @@ from ..operators.timeline import running
 
 #: Bytes of a sample frame: two of 16 bits.
 WIDTH = 4
+#: Packets of a source beyond which ``pumped`` cuts it into pieces: they carry their samples, so far fewer than other rows fill a task.
+ROWS = 4096
 RESULT = "source_id string, frame_index bigint, n_samples int, samples binary, last boolean, status int"
 _COLUMNS = [c.split(" ")[0] for c in RESULT.split(", ")]
 
@@ -90,6 +92,7 @@ def pumped(packets: DataFrame, frame: int, width: int = WIDTH, **options: Any) -
 
     A frame has ``frame`` sample frames at most, so a group is bounded; a source is in as many groups as it has frames.
     """
+    options = {"least": ROWS} | options
     n = F.call_function("div", F.octet_length("samples"), F.lit(width)).cast("bigint")
     own = packets.select("source_id", "seq", "samples").dropDuplicates(["source_id", "seq"])
     placed = running(own, "source_id", ["seq"], {"at": n}, **options).withColumn("n", n)

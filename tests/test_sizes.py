@@ -50,3 +50,14 @@ def test_a_step_over_boxes_names_its_size_once(spark):
     for walk, reads in ((boxtree.siblings, 3), (wavtree.chunks, 1)):  # a header of 64 bits is read by two more; 19 and 4 before
         made = df.select(walk(F.col("content"), F.lit(0).cast("bigint"), F.lit(8).cast("bigint"), ("ftyp",)).alias("w"))
         assert made._jdf.queryExecution().analyzed().toString().count("conv(") <= reads
+
+
+def test_a_long_stream_of_packets_is_cut_into_pieces(spark):
+    from pyspark.sql import functions as F
+
+    from lodestream.streaming import pump
+
+    packets = spark.range(6000).select(F.when(F.col("id") < 5500, "a").otherwise("b").alias("source_id"), F.when(F.col("id") < 5500, F.col("id")).otherwise(F.col("id") - 5500).alias("seq"), F.encode(F.repeat(F.lit("x"), (F.col("id") % 9).cast("int")), "utf-8").alias("samples"))
+    got = pump.pumped(packets, 16, 1)
+    assert "_piece" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, pump.pumped(packets, 16, 1, large=None).collect()), key=repr)
