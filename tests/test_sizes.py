@@ -61,3 +61,14 @@ def test_a_long_stream_of_packets_is_cut_into_pieces(spark):
     got = pump.pumped(packets, 16, 1)
     assert "_piece" in got._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, pump.pumped(packets, 16, 1, large=None).collect()), key=repr)
+
+
+def test_frames_of_many_lines_are_dealt_to_more_tasks(spark, monkeypatch):
+    from lodestream.plans import queries
+
+    monkeypatch.setattr(queries, "LINES_A_TASK", 500, raising=False)
+    folder = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{folder}/lineitem.parquet").count() // 500
+    got = queries.QUERIES["q31_adts_index"](spark, folder)
+    assert n > 4 and f", {n})" in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == n * 500 + spark.read.parquet(f"{folder}/lineitem.parquet").count() % 500
