@@ -12,7 +12,8 @@ sets of five-word shingles; groups are connected components.
 A table entry holds the first and the last of the texts with that segment, in the order of a hash,
 so work grows with a group's size and not with its square: entries of one or two texts are complete, in larger ones every text still meets two.
 Rounds follow in which the texts of an entry meet that one of them which has most links by then, if it is in another
-group; they end when one finds no further link.
+group; they end when one finds no further link.  Last, all pairs that meet in an entry of more than two and are still in different
+groups are compared, so the groups are those of all pairs that meet in any entry.
 
 Defined results: a text of fewer than five (two) words is one shingle; texts without words (null
 too) are equal.  Nodes are distinct texts by 64-bit hash.
@@ -38,6 +39,8 @@ BITS, SEGMENTS, WEAK = 512, 16, 3
 #: Differing bits beyond which a candidate is dropped before its shingles are compared.  Texts of similarity 0.8 share
 #: at least 8/9 of their two-word shingles, so about 78 of 512 bits differ; this is six standard deviations more.
 FAR = 128
+#: Groups of an entry that are one block of ``mixed_pairs``.
+GROUPS = 256
 _MIX = np.arange(1, 2 * (BITS // 64), 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -117,6 +120,40 @@ def hub_pairs(live: DataFrame) -> DataFrame:
     return met.select(F.least("print", "hub").alias("a"), F.greatest("print", "hub").alias("b")).distinct()
 
 
+def mixed_pairs(scratch: Scratch, live: DataFrame) -> DataFrame:
+    """All (a, b) with a < b of texts in different groups that meet in an entry of more than two; ``live``: print, segments, weak, root.
+
+    Groups meet ahead of their texts, so texts that one group already holds cost nothing; an entry of many
+    groups is dealt in blocks of them.
+    """
+    key = F.col("key")
+    each = live.select("print", "root", F.explode("segments").alias("key"))
+    large = scratch.save(each.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("first"), F.max("root").alias("last")).where("n > 2").select("key", "first", "last"), "large")
+    spread = live.select("print", "root", "weak", F.posexplode("segments").alias("segment", "own"))
+    balls = spread.select("print", "root", F.explode(ball(F.col("own"), F.col("weak"), F.col("segment"))).alias("key"))
+    probes = scratch.save(balls.join(large.hint("merge"), "key").where("root <> first or root <> last").select("key", "root", "print"), "probes")
+    members = scratch.save(each.join(large.select("key").hint("merge"), "key", "left_semi"), "members")
+    owners = members.select("key", "root").distinct()
+    blocks = owners.groupBy("key").agg(F.ceil(F.count("*") / GROUPS).alias("blocks"))
+    own = owners.join(blocks.hint("merge"), "key").select("key", F.col("root").alias("other"), F.pmod(F.xxhash64("root"), "blocks").alias("block"))
+    asked = probes.select("key", "root").distinct().join(blocks.hint("merge"), "key").select("key", "root", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
+    met = scratch.save(asked.join(own.hint("merge"), ["key", "block"]).where("root <> other").select("key", "root", "other"), "met")
+    texts = met.join(probes.hint("merge"), ["key", "root"]).select(key, F.col("other").alias("root"), "print")
+    both = texts.join(members.select("key", "root", F.col("print").alias("member")).hint("merge"), ["key", "root"])
+    return both.select(F.least("print", "member").alias("a"), F.greatest("print", "member").alias("b")).distinct()
+
+
+def near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs whose complete fingerprints differ in at most FAR bits, before any text is read."""
+    p, q = (nodes.select(F.col("print").alias(k), F.col("segments").alias(v)) for k, v in (("a", "p"), ("b", "q")))
+    return pairs.join(p.hint("merge"), "a").join(q.hint("merge"), "b").where(_apart() <= FAR).select("a", "b")
+
+
+def _apart() -> Column:
+    """Differing bits of the segments p and q."""
+    return F.aggregate(F.zip_with("p", "q", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, n: t + n)
+
+
 def alike(scratch: Scratch, texts: DataFrame, pairs: DataFrame, name: str = "sets") -> DataFrame:
     """The pairs whose complete fingerprints differ in at most FAR bits, of a similarity of ALIKE or more; ``texts``: print, text."""
     wanted = ends(pairs).distinct()
@@ -125,9 +162,8 @@ def alike(scratch: Scratch, texts: DataFrame, pairs: DataFrame, name: str = "set
     left = sets.select(F.col("print").alias("a"), F.col("shingles").alias("x"), F.col("segments").alias("p"))
     right = sets.select(F.col("print").alias("b"), F.col("shingles").alias("y"), F.col("segments").alias("q"))
     both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
-    apart = F.aggregate(F.zip_with("p", "q", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, n: t + n)
     shared, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
-    return both.where((apart <= FAR) & ((total == 0) | (shared >= ALIKE * (total - shared)))).select("a", "b")
+    return both.where((_apart() <= FAR) & ((total == 0) | (shared >= ALIKE * (total - shared)))).select("a", "b")
 
 
 def near_copies(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -139,17 +175,24 @@ def near_copies(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str) -
     found = edges = scratch.save(alike(scratch, texts.select("print", "text"), pairs), "edges")
     live = scratch.save(nodes.drop("low").join(ends(pairs).distinct().hint("merge"), "print", "left_semi"), "live")
     roots, k = scratch.save(components(scratch, edges), "roots-0"), 0
-    while not found.isEmpty():
+    placed = lambda: live.join(roots.hint("merge"), F.col("print") == F.col("node"), "left").withColumn("root", F.coalesce("root", "print")).drop("node")
+    mixed = True
+    while mixed and not found.isEmpty():
         k += 1
         links = ends(edges).groupBy("print").agg(F.count("*").alias("links"))
-        placed = live.join(links.hint("merge"), "print", "left").join(roots.hint("merge"), F.col("print") == F.col("node"), "left")
-        pairs = scratch.save(hub_pairs(placed.select("print", "segments", "weak", F.coalesce("root", "print").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))), f"pairs-{k}")
-        if pairs.isEmpty():
-            break
-        found = scratch.save(alike(scratch, texts.select("print", "text"), pairs, f"sets-{k}"), f"edges-{k}")
-        if not found.isEmpty():
+        linked = placed().join(links.hint("merge"), "print", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+        pairs = scratch.save(hub_pairs(linked), f"pairs-{k}")
+        if mixed := not pairs.isEmpty():
+            found = scratch.save(alike(scratch, texts.select("print", "text"), pairs, f"sets-{k}"), f"edges-{k}")
+        if mixed and not found.isEmpty():
             edges = scratch.save(edges.union(found).distinct(), f"all-{k}")
             roots = scratch.save(components(scratch, edges), f"roots-{k}")
+    if mixed:
+        rest = scratch.save(near(mixed_pairs(scratch, placed()), nodes), "rest")
+        found = scratch.save(alike(scratch, texts.select("print", "text"), rest, "sets-rest"), "edges-rest")
+        if not found.isEmpty():
+            edges = scratch.save(edges.union(found).distinct(), "all-rest")
+            roots = scratch.save(components(scratch, edges), "roots-rest")
     named = nodes.select("print", "low").join(roots, F.col("print") == F.col("node"), "left").select("print", "low", F.coalesce("root", "print").alias("root"))
     best = named.where("low is not null").groupBy("root").agg(F.min(F.struct("low", "print")).alias("best"))
     return best.select("best.low", "best.print")

@@ -108,3 +108,44 @@ def test_a_large_group_around_one_text(spark):
         rows.append((k + 1, " ".join(t)))
     left = {r[0] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert 0 in left and len(left) <= 1 + 150 // 20
+
+
+def test_groups_are_those_of_all_pairs_that_meet(spark):
+    """Texts that differ in five words each, few of them alike: groups as by all pairs of which one's ball holds a segment of the other."""
+    from lodestream.llm import nearcopies
+
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    rows = []
+    for k in range(250):
+        t = list(base)
+        for at in rng.sample(range(300), 5):
+            t[at] = f"w{rng.randrange(5000)}"
+        rows.append((k, " ".join(t)))
+    sets = [set(nearcopies.shingles(t.encode()).tolist()) for _, t in rows]
+    keys, balls = [], []
+    for _, t in rows:
+        segments, weak = nearcopies.wide_print(t.encode())
+        keys.append(set(segments.tolist()))
+        found = set()
+        for s, w in zip(segments.tolist(), weak.reshape(-1, nearcopies.WEAK).tolist(), strict=True):
+            own = [s]
+            for b in w:
+                own += [x ^ 1 << b for x in own]
+            found.update(own)
+        balls.append(found)
+    group = list(range(len(rows)))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if (keys[i] & balls[j] or keys[j] & balls[i]) and shared >= nearcopies.ALIKE * (len(sets[i]) + len(sets[j]) - shared):
+                a, b = root(i), root(j)
+                group[max(a, b)] = min(a, b)
+    left = {r[0] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert left == {root(i) for i in range(len(rows))} and 20 < len(left) < len(rows)
