@@ -72,3 +72,10 @@ def test_frames_of_many_lines_are_dealt_to_more_tasks(spark, monkeypatch):
     got = queries.QUERIES["q31_adts_index"](spark, folder)
     assert n > 4 and f", {n})" in got._jdf.queryExecution().executedPlan().toString()
     assert got.count() == n * 500 + spark.read.parquet(f"{folder}/lineitem.parquet").count() % 500
+
+
+def test_the_probed_files_are_made_in_one_pass_over_the_lines(spark):
+    from lodestream.plans import queries
+
+    got = queries.QUERIES["q25_container_probe"](spark, "/root/testdata/sf0.001")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("collect_list") == 1  # a pass a kind before
