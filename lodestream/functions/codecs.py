@@ -75,32 +75,46 @@ def _ima_tables() -> tuple[np.ndarray, np.ndarray]:
 def ima_blocks(blocks: list[bytes], channels: int) -> list[np.ndarray]:
     """(frames, channels) of each block: a header a channel, then groups of four bytes a channel.
 
-    Blocks do not depend on each other, so all of one length advance together, a code at a time.
+    Blocks do not depend on each other, so all of a similar length advance together, a code at a time; the longest
+    come first, and the shorter ones drop out at their ends.
     """
     out: list[np.ndarray] = [np.zeros((0, channels), np.int16)] * len(blocks)
-    change, after = _ima_tables()
     head = 4 * channels
     lengths = np.array([len(b) for b in blocks], np.int64)
-    for length in np.unique(lengths).tolist():
-        need(length > head and length % head == 0)
-        places = np.flatnonzero(lengths == length)
-        raw = np.frombuffer(b"".join(blocks[k] for k in places), np.uint8).reshape(-1, length)
-        heads = raw[:, :head].reshape(-1, channels, 4)
-        value, step = heads[..., :2].copy().view("<i2")[..., 0].astype(np.int64), heads[..., 2].astype(np.int64)
-        need((step < len(_STEPS)).all())
-        groups = raw[:, head:].reshape(len(places), -1, channels, 4).transpose(1, 3, 0, 2)
-        codes = np.stack([groups & 15, groups >> 4], axis=2).reshape(-1, len(places), channels)
-        got = np.empty((len(codes) + 1, len(places), channels), np.int16)
-        got[0] = value
-        for k, code in enumerate(codes, 1):
-            value = np.clip(value + change[step, code], -32768, 32767)
-            step = after[step, code]
-            got[k] = value
-        for j, k in enumerate(places):
-            out[k] = got[:, j]
+    need((lengths > head).all() and (lengths % head == 0).all())
+    alike = np.frexp(lengths - 1)[1]  # within a factor of two
+    for of in np.unique(alike).tolist():
+        places = np.flatnonzero(alike == of)
+        places = places[np.argsort(-lengths[places], kind="stable")]
+        got, frames = _ima_together([blocks[k] for k in places], lengths[places], channels)
+        for j, (k, n) in enumerate(zip(places.tolist(), frames.tolist(), strict=True)):
+            out[k] = got[j * channels : (j + 1) * channels, :n].T
     return out
 
 
+def _ima_together(blocks: list[bytes], lengths: np.ndarray, channels: int) -> tuple[np.ndarray, np.ndarray]:
+    """(channels of all blocks, frames) and each block's number of frames; longest blocks first."""
+    change, after = (t.astype(np.int32).ravel() for t in _ima_tables())
+    n, head, longest = len(blocks), 4 * channels, int(lengths[0])
+    raw = np.frombuffer(b"".join([b.ljust(longest, b"\0") for b in blocks]), np.uint8).reshape(n, longest)
+    heads = raw[:, :head].reshape(n, channels, 4)
+    value, step = heads[..., :2].copy().view("<i2").ravel().astype(np.int32), heads[..., 2].ravel().astype(np.int32)
+    need((step < len(_STEPS)).all())
+    groups = raw[:, head:].reshape(n, -1, channels, 4).transpose(1, 3, 0, 2)
+    codes = np.stack([groups & 15, groups >> 4], axis=2).reshape(-1, n * channels)
+    frames = (lengths - head) // head * 8
+    live = n - np.searchsorted(frames[::-1], np.arange(len(codes)), side="right")
+    got = np.zeros((len(codes) + 1, n * channels), np.int16)
+    got[0] = value
+    for k, (code, m) in enumerate(zip(codes, (live * channels).tolist(), strict=True), 1):
+        at, v = step[:m] * 16 + code[:m], value[:m]
+        v += change.take(at)
+        np.minimum(np.maximum(v, -32768, out=v), 32767, out=v)
+        after.take(at, out=step[:m], mode="clip")
+        got[k, :m] = v
+    return np.ascontiguousarray(got.T), frames + 1
+
+
 def ima_block(block: bytes, channels: int) -> np.ndarray:
     return ima_blocks([block], channels)[0]
 

@@ -79,3 +79,29 @@ def test_the_probed_files_are_made_in_one_pass_over_the_lines(spark):
 
     got = queries.QUERIES["q25_container_probe"](spark, "/root/testdata/sf0.001")
     assert got._jdf.queryExecution().optimizedPlan().toString().count("collect_list") == 1  # a pass a kind before
+
+
+def test_ima_blocks_of_many_lengths_advance_together(monkeypatch):
+    from lodestream.functions import codecs
+
+    rng = np.random.default_rng(7)
+    blocks = [bytes([1, 2, 16, 0]) + rng.integers(0, 256, 4 * n, np.uint8).tobytes() for n in rng.integers(1, 256, 600)]
+    began = time.perf_counter()
+    found = codecs.ima_blocks(blocks, 1)
+    assert time.perf_counter() - began < 0.8  # 2.5 s a length at a time
+    assert all(np.array_equal(f, codecs.ima_block(b, 1)) for f, b in zip(found[:40], blocks, strict=False))
+
+
+def test_a_frame_header_is_read_once(monkeypatch):
+    from lodestream.sources import encode, flac
+
+    data, calls, real = encode.flac([[k] for k in range(40)], block=2), [], flac.frame_header
+    monkeypatch.setattr(flac, "frame_header", lambda *a: calls.append(a[1]) or real(*a))
+    assert len(flac.flac_packets(data)) == 20 == len(calls)  # 39 before
+
+
+def test_samples_of_a_source_are_gathered_by_frame(spark):
+    from lodestream.plans import queries
+
+    plan = queries.QUERIES["q30_flac_roundtrip"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("_bad")  # rows of samples come after the last window, not before it
