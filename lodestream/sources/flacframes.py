@@ -42,11 +42,11 @@ def walked(sources: DataFrame, max_bytes: int = S.MAX_SOURCE_BYTES) -> DataFrame
             return one(S.UNSUPPORTED, S.UNSUPPORTED)
         at, out = info.first, []
         try:
-            while at < len(data):
-                h = flac.frame_header(data, at, info)
-                end = flac._frame_end(data, at, h, info)
+            h = flac.frame_header(data, at, info) if at < len(data) else None
+            while h is not None:
+                end, follower = flac._frame_end(data, at, h, info)
                 out.append((ident, S.OK, S.OK, len(out), at, end - at, h.variable, h.number, h.block, info.total, info.rate, info.channels, info.bits, data[at:end]))
-                at = end
+                at, h = end, follower
         except Bad:
             return one(S.UNSUPPORTED, S.OK, info)
         return out or one(S.UNSUPPORTED, S.OK, info)
@@ -102,21 +102,19 @@ def samples(found: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts: list[tuple[str, int, np.ndarray | None]] = []
-            for source, time, block, rate, channels, bits, payload in zip(*(b.column(k).to_pylist() for k in ("source_id", "timestamp_ticks", "block", "rate", "channels", "bits", "payload")), strict=True):
+            found: list[np.ndarray | None] = []
+            for block, rate, channels, bits, payload in zip(*(b.column(k).to_pylist() for k in ("block", "rate", "channels", "bits", "payload")), strict=True):
                 try:
                     got = flac.decode_frame(payload, flac.Info(rate, channels, bits, 0, 0))
-                    parts.append((source, time, got if len(got) == block else None))
+                    found.append(got.ravel() if len(got) == block else None)
                 except Bad:
-                    parts.append((source, time, None))
-            sizes = [1 if g is None else g.size for _, _, g in parts]
-            ids = pa.array([p[0] for p in parts], pa.string()).take(pa.array(np.repeat(np.arange(len(parts)), sizes)))
-            frame = [np.zeros(1, np.int64) if g is None else np.repeat(np.arange(t, t + len(g)), g.shape[1]) for _, t, g in parts]
-            channel = [np.zeros(1, np.int32) if g is None else np.tile(np.arange(g.shape[1], dtype=np.int32), len(g)) for _, _, g in parts]
-            value = [pa.nulls(1, pa.int32()) if g is None else pa.array(g.ravel().astype(np.int32)) for _, _, g in parts]
-            whole = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(whole(frame, np.int64)), pa.array(whole(channel, np.int32)), pa.concat_arrays(value) if value else pa.array([], pa.int32())], names=["source_id", "frame", "channel", "value"])
+                    found.append(None)
+            sizes, whole = np.array([0 if g is None else len(g) for g in found], np.int64), [g for g in found if g is not None]
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32(), mask=np.array([*(g is None for g in found), False]))
+            values = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(whole).astype(np.int32) if whole else [], pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("source_id"), b.column("timestamp_ticks"), b.column("channels"), values], names=["source_id", "time", "channels", "values"])
 
     good = found.where(F.col("index_status") == S.OK).select("source_id", "timestamp_ticks", "block", "rate", "channels", "bits", "payload")
-    rows = good.mapInArrow(run, SAMPLES).withColumn("_bad", F.max(F.col("value").isNull().cast("int")).over(_source()))
-    return rows.where("_bad = 0").drop("_bad")
+    decoded = good.mapInArrow(run, "source_id string, time bigint, channels int, values array<int>").withColumn("_bad", F.max(F.col("values").isNull().cast("int")).over(_source()))
+    each = decoded.where("_bad = 0").select("source_id", "time", "channels", F.posexplode("values").alias("at", "value"))
+    return each.select("source_id", (F.col("time") + F.call_function("div", F.col("at"), F.col("channels"))).alias("frame"), (F.col("at") % F.col("channels")).alias("channel"), "value")
