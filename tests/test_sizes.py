@@ -105,3 +105,13 @@ def test_samples_of_a_source_are_gathered_by_frame(spark):
 
     plan = queries.QUERIES["q30_flac_roundtrip"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("_bad")  # rows of samples come after the last window, not before it
+
+
+def test_matroska_sources_are_read_without_windows_or_joins(spark):
+    from pyspark.sql import functions as F
+
+    from lodestream.sources import elements
+
+    rows = elements.walked(spark.createDataFrame([("a", bytearray(b"x"))], "source_id string, content binary"))
+    plan = elements.packets(rows, elements.inspected(rows)).withColumn("n", F.lit(1))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Window" not in plan and "Join" not in plan  # two walks, a join and two windows before
