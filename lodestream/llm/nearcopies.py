@@ -13,7 +13,9 @@ A table entry holds the first and the last of the texts with that segment, in th
 so work grows with a group's size and not with its square: entries of one or two texts are complete, in larger ones every text still meets two.
 Rounds follow in which the texts of an entry meet that one of them which has most links by then, if it is in another
 group; they end when one finds no further link.  Last, all pairs that meet in an entry of more than two and are still in different
-groups are compared, so the groups are those of all pairs that meet in any entry.
+groups are compared, so the groups are those of all pairs that meet in any entry.  Each shingle of a text flips one of FOLDED bits; the
+bits in which two texts differ are at most the shingles that one of them lacks, so this comparison inside the join leaves out
+only pairs that cannot be alike, and pairs that are no links hardly ever become rows.
 
 Defined results: a text of fewer than five (two) words is one shingle; texts without words (null
 too) are equal.  Nodes are distinct texts by 64-bit hash.
@@ -22,6 +24,8 @@ too) are equal.  Nodes are distinct texts by 64-bit hash.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +43,10 @@ BITS, SEGMENTS, WEAK = 512, 16, 3
 #: Differing bits beyond which a candidate is dropped before its shingles are compared.  Texts of similarity 0.8 share
 #: at least 8/9 of their two-word shingles, so about 78 of 512 bits differ; this is six standard deviations more.
 FAR = 128
-#: Groups of an entry that are one block of ``mixed_pairs``.
-GROUPS = 256
+#: Texts of an entry that are one block of ``mixed_pairs``.
+BLOCK = 1024
+#: Bits that the shingles of a text are folded into.
+FOLDED = 1024
 _MIX = np.arange(1, 2 * (BITS // 64), 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -76,11 +82,17 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("print"), b.column("id"), pa.array([s for s, _ in got], pa.list_(pa.int64())), pa.array([w for _, w in got], pa.list_(pa.int8()))], names=["print", "id", "segments", "weak"])
 
 
+def folded(found: np.ndarray) -> np.ndarray:
+    """FOLDED bits, each set if an odd number of the hashes fall on it."""
+    return np.packbits(np.bincount((found % np.uint64(FOLDED)).astype(np.int64), minlength=FOLDED) & 1, bitorder="little").view("<i8")
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in b.column("text").cast(pa.large_binary())]
-        columns = [pa.array([x(t) for t in texts], pa.list_(pa.int64())) for x in (lambda t: shingles(t).view(np.int64), lambda t: wide_print(t)[0])]
-        yield pa.RecordBatch.from_arrays([b.column("print"), *columns], names=["print", "shingles", "segments"])
+        found = [shingles(t) for t in texts]
+        columns = [pa.array(x, pa.list_(pa.int64())) for x in ([f.view(np.int64) for f in found], [wide_print(t)[0] for t in texts], [folded(f) for f in found])]
+        yield pa.RecordBatch.from_arrays([b.column("print"), *columns], names=["print", "shingles", "segments", "folded"])
 
 
 def ball(key: Column, weak: Column, segment: Column) -> Column:
@@ -121,32 +133,36 @@ def hub_pairs(live: DataFrame) -> DataFrame:
 
 
 def mixed_pairs(scratch: Scratch, live: DataFrame) -> DataFrame:
-    """All (a, b) with a < b of texts in different groups that meet in an entry of more than two; ``live``: print, segments, weak, root.
+    """The (a, b) with a < b of texts in different groups that meet in an entry of more than two, but for those whose folded bits
+    rule a link out; ``live``: print, segments, weak, root, size, folded.
 
-    Groups meet ahead of their texts, so texts that one group already holds cost nothing; an entry of many
-    groups is dealt in blocks of them.
+    Texts of an entry's largest group meet only its other texts, so those that one group already holds cost nothing.  Either kind
+    is dealt in blocks.
     """
-    key = F.col("key")
+    own = F.col("root") == F.col("main")
     each = live.select("print", "root", F.explode("segments").alias("key"))
-    large = scratch.save(each.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("first"), F.max("root").alias("last")).where("n > 2").select("key", "first", "last"), "large")
+    groups = each.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("main"))
+    first = F.ceil(F.col("most") / BLOCK)
+    large = scratch.save(groups.where("n > 2").select("key", "main", first.alias("first"), (first + F.ceil((F.col("n") - F.col("most")) / BLOCK)).alias("blocks")), "large")
     spread = live.select("print", "root", "weak", F.posexplode("segments").alias("segment", "own"))
     balls = spread.select("print", "root", F.explode(ball(F.col("own"), F.col("weak"), F.col("segment"))).alias("key"))
-    probes = scratch.save(balls.join(large.hint("merge"), "key").where("root <> first or root <> last").select("key", "root", "print"), "probes")
-    members = scratch.save(each.join(large.select("key").hint("merge"), "key", "left_semi"), "members")
-    owners = members.select("key", "root").distinct()
-    blocks = owners.groupBy("key").agg(F.ceil(F.count("*") / GROUPS).alias("blocks"))
-    own = owners.join(blocks.hint("merge"), "key").select("key", F.col("root").alias("other"), F.pmod(F.xxhash64("root"), "blocks").alias("block"))
-    asked = probes.select("key", "root").distinct().join(blocks.hint("merge"), "key").select("key", "root", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
-    met = scratch.save(asked.join(own.hint("merge"), ["key", "block"]).where("root <> other").select("key", "root", "other"), "met")
-    texts = met.join(probes.hint("merge"), ["key", "root"]).select(key, F.col("other").alias("root"), "print")
-    both = texts.join(members.select("key", "root", F.col("print").alias("member")).hint("merge"), ["key", "root"])
-    return both.select(F.least("print", "member").alias("a"), F.greatest("print", "member").alias("b")).distinct()
+    asked = balls.join(large.hint("merge"), "key").where(~own | (F.col("blocks") > F.col("first"))).select("key", "print", F.when(own, F.col("first")).otherwise(0).alias("low"), "blocks")
+    dealt = F.pmod(F.xxhash64("print"), F.greatest(F.when(own, F.col("first")).otherwise(F.col("blocks") - F.col("first")), F.lit(1)))
+    placed = each.join(large.hint("merge"), "key").select("key", "print", (dealt + F.when(own, 0).otherwise(F.col("first"))).alias("block"))
+    sides = []
+    for rows, names in ((asked, ("a", "x", "m", "p")), (placed, ("b", "y", "n", "q"))):
+        named = live.select("print", *(F.col(c).alias(k) for c, k in zip(("print", "root", "size", "folded"), names, strict=True)))
+        sides.append(scratch.save(rows.join(named.hint("merge"), "print").drop("print"), f"side-{names[0]}"))
+    probes = sides[0].select("key", F.explode(F.sequence("low", F.col("blocks") - 1)).alias("block"), "a", "x", "m", "p")
+    met = probes.join(sides[1].hint("merge"), ["key", "block"]).where((F.col("x") != F.col("y")) & _may_be_alike())
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs whose complete fingerprints differ in at most FAR bits, before any text is read."""
-    p, q = (nodes.select(F.col("print").alias(k), F.col("segments").alias(v)) for k, v in (("a", "p"), ("b", "q")))
-    return pairs.join(p.hint("merge"), "a").join(q.hint("merge"), "b").where(_apart() <= FAR).select("a", "b")
+def _may_be_alike() -> Column:
+    """Whether sets of m and n shingles, folded into p and q, can have the similarity: the shingles that one of them lacks are few enough."""
+    most = (F.col("m") + F.col("n")) * ((1 - ALIKE) / (1 + ALIKE)) + 1e-6
+    differ = [F.bit_count(F.get("p", F.lit(k)).bitwiseXOR(F.get("q", F.lit(k)))) for k in range(FOLDED // 64)]
+    return (F.abs(F.col("m") - F.col("n")) <= most) & (reduce(add, differ) <= most)
 
 
 def _apart() -> Column:
@@ -154,11 +170,14 @@ def _apart() -> Column:
     return F.aggregate(F.zip_with("p", "q", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, n: t + n)
 
 
-def alike(scratch: Scratch, texts: DataFrame, pairs: DataFrame, name: str = "sets") -> DataFrame:
-    """The pairs whose complete fingerprints differ in at most FAR bits, of a similarity of ALIKE or more; ``texts``: print, text."""
-    wanted = ends(pairs).distinct()
-    one = texts.join(wanted.hint("merge"), "print", "left_semi").groupBy("print").agg(F.first("text").alias("text"))
-    sets = scratch.save(one.mapInArrow(_sets, "print bigint, shingles array<bigint>, segments array<bigint>"), name)
+def sets_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """print, shingles, segments, folded of the texts of some pair; ``texts``: print, text."""
+    one = texts.join(ends(pairs).distinct().hint("merge"), "print", "left_semi").groupBy("print").agg(F.first("text").alias("text"))
+    return one.mapInArrow(_sets, "print bigint, shingles array<bigint>, segments array<bigint>, folded array<bigint>")
+
+
+def alike(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose complete fingerprints differ in at most FAR bits, of a similarity of ALIKE or more; ``sets``: as of ``sets_of``."""
     left = sets.select(F.col("print").alias("a"), F.col("shingles").alias("x"), F.col("segments").alias("p"))
     right = sets.select(F.col("print").alias("b"), F.col("shingles").alias("y"), F.col("segments").alias("q"))
     both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
@@ -172,8 +191,9 @@ def near_copies(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str) -
     printed = texts.mapInArrow(_prints, "print bigint, id bigint, segments array<bigint>, weak array<tinyint>")
     nodes = scratch.save(printed.groupBy("print").agg(F.min("id").alias("low"), F.first("segments").alias("segments"), F.first("weak").alias("weak")), "nodes")
     pairs = scratch.save(candidates(nodes), "pairs")
-    found = edges = scratch.save(alike(scratch, texts.select("print", "text"), pairs), "edges")
-    live = scratch.save(nodes.drop("low").join(ends(pairs).distinct().hint("merge"), "print", "left_semi"), "live")
+    sets = scratch.save(sets_of(texts.select("print", "text"), pairs), "sets")
+    found = edges = scratch.save(alike(sets, pairs), "edges")
+    live = scratch.save(nodes.drop("low").join(sets.select("print", F.size("shingles").cast("bigint").alias("size"), "folded").hint("merge"), "print"), "live")
     roots, k = scratch.save(components(scratch, edges), "roots-0"), 0
     placed = lambda: live.join(roots.hint("merge"), F.col("print") == F.col("node"), "left").withColumn("root", F.coalesce("root", "print")).drop("node")
     mixed = True
@@ -183,13 +203,13 @@ def near_copies(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str) -
         linked = placed().join(links.hint("merge"), "print", "left").withColumn("links", F.coalesce("links", F.lit(0)))
         pairs = scratch.save(hub_pairs(linked), f"pairs-{k}")
         if mixed := not pairs.isEmpty():
-            found = scratch.save(alike(scratch, texts.select("print", "text"), pairs, f"sets-{k}"), f"edges-{k}")
+            found = scratch.save(alike(sets, pairs), f"edges-{k}")
         if mixed and not found.isEmpty():
             edges = scratch.save(edges.union(found).distinct(), f"all-{k}")
             roots = scratch.save(components(scratch, edges), f"roots-{k}")
     if mixed:
-        rest = scratch.save(near(mixed_pairs(scratch, placed()), nodes), "rest")
-        found = scratch.save(alike(scratch, texts.select("print", "text"), rest, "sets-rest"), "edges-rest")
+        rest = scratch.save(mixed_pairs(scratch, placed()), "rest")
+        found = scratch.save(alike(sets, rest), "edges-rest")
         if not found.isEmpty():
             edges = scratch.save(edges.union(found).distinct(), "all-rest")
             roots = scratch.save(components(scratch, edges), "roots-rest")

@@ -149,3 +149,45 @@ def test_groups_are_those_of_all_pairs_that_meet(spark):
                 group[max(a, b)] = min(a, b)
     left = {r[0] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert left == {root(i) for i in range(len(rows))} and 20 < len(left) < len(rows)
+
+
+def test_texts_that_are_no_links_are_not_paired(spark, monkeypatch):
+    """Of 400 unlike variants of one text few pairs become rows, and these hold all links between the groups; whatever the size of a block."""
+    from lodestream.llm import nearcopies
+    from lodestream.llm.common import Scratch
+
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    texts = []
+    for _ in range(400):
+        t = list(base)
+        for at in rng.sample(range(150), rng.choice([2, 5, 6, 8, 10])):
+            t[at] = f"w{rng.randrange(5000)}"
+        texts.append(" ".join(t))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    counts, save = {}, Scratch.save
+
+    def counted(self, df, name, by=None):
+        got = save(self, df, name, by)
+        if name in ("nodes", "rest"):
+            counts[name] = got.count()
+        return got
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    left = [{r[0] for r in simhash.drop_near_duplicates(docs).collect()}]
+    assert counts["nodes"] == 400 and counts["rest"] <= 400
+    monkeypatch.setattr(nearcopies, "BLOCK", 16, raising=False)
+    left.append({r[0] for r in simhash.drop_near_duplicates(docs).collect()})
+    assert left[0] == left[1]
+
+
+def test_folded_bits_never_rule_out_a_link():
+    """The bits in which two sets differ are at most the members that one of them lacks."""
+    from lodestream.llm import nearcopies
+
+    rng = random.Random(12)
+    for n in (0, 1, 5, 300, 5000):
+        a = [rng.getrandbits(64) for _ in range(n)]
+        b = a[n // 9 :] + [rng.getrandbits(64) for _ in range(n // 10)]
+        x, y = (nearcopies.folded(nearcopies.np.array(sorted(s), nearcopies.np.uint64)) for s in (a, b))
+        assert sum(int(k).bit_count() for k in (x ^ y).view(nearcopies.np.uint64)) <= len(set(a) ^ set(b))
