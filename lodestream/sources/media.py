@@ -110,6 +110,15 @@ def _lists(rows: list[list[tuple]], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), structs)
 
 
+def _column(values: tuple, kind: pa.DataType) -> pa.Array:
+    if pa.types.is_decimal(kind):
+        try:
+            return pa.array(values, pa.int64()).cast(pa.decimal128(19, 0)).cast(kind)
+        except (pa.ArrowInvalid, OverflowError):
+            pass
+    return pa.array(values, kind)
+
+
 def indexed(sources: DataFrame, packets: bool = True, max_bytes: int = S.MAX_SOURCE_BYTES, frames_per_packet: int = 1, limits: S.Limits = S.LIMITS) -> DataFrame:
     """source_id, status, container_id, tracks, packets: one row a source, whatever becomes of it."""
     track_type, packet_type = _arrow("tracks"), _arrow("packets")
@@ -170,16 +179,24 @@ def indexed_payloads(sources: DataFrame, max_packet_bytes: int = S.MAX_PACKET_BY
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
-            for ident, data in zip(b.column("source_id").to_pylist(), b.column("content").to_pylist(), strict=True):
+            source, payloads = [], []
+            for at, data in enumerate(b.column("content").to_pylist()):
                 status, _, _, found = index(data or b"", max_bytes, frames_per_packet, limits)
                 if status:
-                    rows.append((ident, status, *[None] * (len(fields) + 2)))
-                for k, p in enumerate(found):
-                    fits = p[1] <= max_packet_bytes
-                    rows.append((ident, S.OK, k, *p, S.OK if fits else S.INVALID, data[p[0] : p[0] + p[1]] if fits else None))
-            columns = list(zip(*rows, strict=True)) or [()] * (len(fields) + 4)
-            kinds = [pa.string(), pa.int32(), *(f.type for f in fields), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["source_id", "status", *_PACKET_NAMES, "packet_status", "payload"])
+                    found = [(None, None, None, None, None, None)]
+                    payloads.append(None)
+                    rows.append((status, None, *found[0], None))
+                else:
+                    for k, p in enumerate(found):
+                        fits = p[1] <= max_packet_bytes
+                        rows.append((S.OK, k, *p, S.OK if fits else S.INVALID))
+                        payloads.append(data[p[0] : p[0] + p[1]] if fits else None)
+                source += [at] * len(found)
+            columns = list(zip(*rows, strict=True)) or [()] * (len(fields) + 2)
+            kinds = [pa.int32(), *(f.type for f in fields), pa.int32()]
+            # decimals are cast from integers where these fit, which is much faster than from Python's values
+            made = [_column(c, t) for c, t in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("source_id").take(pa.array(source, pa.int32())), *made, pa.array(payloads, pa.binary())], names=["source_id", "status", *_PACKET_NAMES, "packet_status", "payload"])
 
     return sources.select(F.col("source_id").cast("string"), "content").mapInArrow(run, f"source_id string, status int, {schemas.PACKET}, packet_status int, payload binary")
 

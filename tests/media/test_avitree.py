@@ -3,7 +3,7 @@
 import random
 
 from lodestream import status as S
-from lodestream.sources import avitree, boxtree, encode, media
+from lodestream.sources import avitree, boxtree, encode, media, riff
 
 
 def cases():
@@ -52,3 +52,14 @@ def test_equal_to_the_reader_in_python(spark):
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     found.unpersist()
+
+
+def test_a_file_is_walked_once(monkeypatch):
+    """Tracks and packets of an AVI file come from one walk of its chunks, and broken files stay broken when asked again."""
+    calls, chunks = [], riff.chunks
+    monkeypatch.setattr(riff, "chunks", lambda data, at, end: calls.append(at) or chunks(data, at, end))
+    data = encode.avi([(b"00dc", b"walked once"), (b"01wb", b"ab"), (b"00dc", b"x")], audio=True)
+    status, container, tracks, packets = media.index(data)
+    assert (status, container, len(tracks), calls.count(12)) == (0, 4, 2, 1)
+    assert [data[p[0] : p[0] + p[1]] for p in packets] == [b"walked once", b"ab", b"x"] and [p[3] for p in packets] == [0, 0, 1]
+    assert [media.index(data[:-1])[0] for _ in range(2)] == [media.S.UNSUPPORTED] * 2
