@@ -32,7 +32,7 @@ from pyspark.sql.types import StructType
 from .. import schemas
 from .. import status as S
 from . import store
-from .media import index
+from .media import index, inspect
 
 TRACK_PACKETS = schemas.PACKETS + ", kind int, codec_id bigint"
 RELATIONS = {"packets": schemas.PACKETS, "tracks": schemas.TRACKS, "status": schemas.STATUS, "track_packets": TRACK_PACKETS}
@@ -129,11 +129,15 @@ class Files:
     def wanted(self, path: str) -> bool:
         return all(t(path) for t in self.file_tests)
 
-    def rows(self, path: str, size: int) -> list[tuple]:
+    def rows(self, path: str, size: int, chosen: bool = False) -> list[tuple]:
+        """All rows of a file; ``chosen``: none if the tests leave none of its tracks, whose packets are not walked then."""
         status, container, tracks, packets = S.INVALID, 0, [], []
         if size <= self.max_bytes:
             with store.opened(path) as f:
-                status, container, tracks, packets = index(f.read(), self.max_bytes, self.frames, self.limits)
+                data = f.read()
+            if chosen and not self.asked(data):
+                return []
+            status, container, tracks, packets = index(data, self.max_bytes, self.frames, self.limits)
         if self.relation == "status":
             return [(path, "index", status)]
         if self.relation == "tracks":
@@ -141,9 +145,15 @@ class Files:
         of = {t[0]: (t[1], t[2]) for t in tracks} if self.relation == "track_packets" else {}
         return [(path, k, p[0], p[1], p[2], Decimal(p[3]), p[4], p[5], *of.get(p[2], ())) for k, p in enumerate(packets)]
 
+    def asked(self, data: bytes) -> bool:
+        """Whether some track of a file passes the tests on its number, kind and codec; if none does, its packets have no rows."""
+        places = {self.columns.index(c): k for k, c in enumerate(("track_id", "kind", "codec_id"))}
+        tests = [(places[at], t) for at, t in self.tests if at in places]
+        return not tests or any(all(t(track[k]) for k, t in tests) for track in inspect(data, self.max_bytes, self.limits)[2])
+
     def read(self, partition: FilePartition) -> Iterator[tuple]:
         for path, size, low, high in partition.files:
-            for row in self.rows(path, size)[low:high]:
+            for row in self.rows(path, size, self.relation == "track_packets")[low:high]:
                 if all(t(row[k]) for k, t in self.tests):
                     yield row
 
@@ -281,7 +291,7 @@ class Writer:
                 if not name or name[0] in "._" or name in names or row["content"] is None:
                     raise ValueError(f"a file needs a name of its own that is not hidden, and content: {row['source_id']!r}")
                 names.add(name)
-                store.write_file(f"{folder}/{name}", bytes(row["content"]))
+                store.write_file(f"{folder}/{name}", bytes(row["content"]), n > 0)
                 n += 1
             return Written(folder, n)
         import pyarrow as pa

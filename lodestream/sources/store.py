@@ -60,9 +60,11 @@ def listed(path: str) -> list[Listed]:
     return sorted(Listed(head + f.path, f.size, f.mtime_ns or 0) for f in found if f.type == fs.FileType.File and not hidden(f.path))
 
 
-def write_file(path: str, data: bytes) -> None:
+def write_file(path: str, data: bytes, made: bool = False) -> None:
+    """``made``: its folder is there."""
     system, own = located(path)
-    system.create_dir(posixpath.dirname(own), recursive=True)
+    if not made:
+        system.create_dir(posixpath.dirname(own), recursive=True)
     with system.open_output_stream(own) as f:
         f.write(data)
 

@@ -223,3 +223,30 @@ def test_a_repeated_batch_and_a_second_attempt_leave_each_row_once(spark, tmp_pa
     last.commit([last.write(rows(9, 11))], 4)
     assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/batch-*/*").collect()) == list(range(11))
     assert not store.exists(lost.folder) and os.listdir(tmp_path / "_staging") == []
+
+
+def test_packets_of_tracks_left_out_are_not_walked(tmp_path, monkeypatch):
+    """Of files that hold no track of the kind asked for the packets are not read; the rows are those of a reader without the filter."""
+    from pyspark.sql import datasource as D
+
+    from lodestream.sources import datasource, encode
+
+    (tmp_path / "a.mp4").write_bytes(encode.mp4([b"abc", b"de"], [3, 4]))
+    (tmp_path / "b.webm").write_bytes(encode.mkv([(0, [encode.element(0xA3, encode.block(b"x"))])]))
+    (tmp_path / "c.avi").write_bytes(encode.avi([(b"00dc", b"xy"), (b"01wb", b"ab")], audio=True))
+    (tmp_path / "d.avi").write_bytes(encode.avi([(b"00dc", b"xy")]))
+    (tmp_path / "e.mp4").write_bytes(b"no media")
+    walked, index = [], datasource.index
+    monkeypatch.setattr(datasource, "index", lambda data, *rest: walked.append(data) or index(data, *rest))
+
+    def rows(*filters):
+        reader = datasource.MediaReader({"path": str(tmp_path), "relation": "track_packets"})
+        assert list(reader.pushFilters(list(filters))) == []
+        return [r for p in reader.partitions() for r in reader.read(p)]
+
+    everything = rows()
+    assert len(everything) == 6 and len(walked) == 5
+    walked.clear()
+    assert rows(D.EqualTo(("kind",), 1)) == [r for r in everything if r[-2] == 1] and len(walked) == 2
+    walked.clear()
+    assert rows(D.EqualTo(("kind",), 2), D.EqualTo(("track_id",), 2)) == [] and walked == []
